@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from healthwatch.functions import fields
 from healthwatch.operators import baseline as bl
 from healthwatch.operators import zscore as zs
 from healthwatch.plans import sqlgen as sg
@@ -75,3 +78,89 @@ FROM zl WHERE z > 3 GROUP BY field
 def q_zscore_by_field(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
     return zs.zscore_by_field(zs.zscore_flags(inc, bl.fit_baseline(base)))
+
+
+# ---------------------------------------------------------------- E4
+_KS_SQL = f"""
+WITH {sg.stats_cte()},
+s AS ({sg.melt('base', flag='1 AS a')}
+UNION ALL {sg.melt('inc', flag='0 AS a')}),
+g AS (SELECT field, v, CAST(SUM(a) AS DOUBLE) AS na, CAST(SUM(1 - a) AS DOUBLE) AS nb FROM s GROUP BY field, v),
+c AS (SELECT field, SUM(na) OVER (PARTITION BY field ORDER BY v) / SUM(na) OVER (PARTITION BY field) AS fa,
+             SUM(nb) OVER (PARTITION BY field ORDER BY v) / SUM(nb) OVER (PARTITION BY field) AS fb,
+             SUM(na) OVER (PARTITION BY field) AS n, SUM(nb) OVER (PARTITION BY field) AS m FROM g),
+d AS (SELECT field, MAX(ABS(fa - fb)) AS ks, MAX(n) AS n, MAX(m) AS m FROM c GROUP BY field
+      HAVING MAX(m) >= 10 AND MAX(n) > 0),
+mn AS (SELECT field, SUM(v * nb) / SUM(nb) AS inc_mean FROM g GROUP BY field),
+l AS (SELECT field, ks, n, m, ks * SQRT(n * m / (n + m)) AS lam FROM d),
+p AS (SELECT field, ks, n, m, {sg.ks_p('lam')} AS p FROM l)
+SELECT p.field, ROUND(ks, 4) AS ks_statistic, ROUND(p, 6) AS p_value, p < CAST(0.0001 AS DOUBLE) AS drifted,
+       CAST(n AS BIGINT) AS n_baseline, CAST(m AS BIGINT) AS n_incoming,
+       ROUND(inc_mean, 2) AS incoming_mean, ROUND(st.mean, 2) AS baseline_mean,
+       ROUND(inc_mean - st.mean, 2) AS mean_shift
+FROM p JOIN mn ON p.field = mn.field JOIN st ON p.field = st.field
+"""
+
+
+@register("ks_drift", sql=_KS_SQL, views=("base", "inc"))
+def q_ks_drift(spark, sf_dir):
+    from healthwatch.operators import ks
+    base, inc = _halves(spark, sf_dir)
+    return ks.ks_drift(inc, bl.baseline_histogram(base), base_stats=bl.fit_baseline(base))
+
+
+# ---------------------------------------------------------------- E5-E7
+_P = sg.present_list()
+_SCHEMA_ROWS = f"""
+sc AS (SELECT event_id, {sg.contract_cols(_P, 'v1', fields.CONTRACT_V1)},
+              {sg.contract_cols(_P, 'v2', fields.CONTRACT_V2)} FROM {{view}}),
+sb AS (SELECT event_id, CASE WHEN d_v1 <= d_v2 THEN 'v1' ELSE 'v2' END AS best_schema,
+              LEAST(d_v1, d_v2) AS distance,
+              CASE WHEN d_v1 <= d_v2 THEN rate_v1 ELSE rate_v2 END AS match_rate,
+              CASE WHEN d_v1 <= d_v2 THEN miss_v1 ELSE miss_v2 END AS missing_fields,
+              CASE WHEN d_v1 <= d_v2 THEN extra_v1 ELSE extra_v2 END AS extra_fields,
+              LEAST(d_v1, d_v2) > CAST(0.15 AS DOUBLE) AS anomaly_detected, d_v1, d_v2 FROM sc)
+"""
+
+
+@register("schema_distance", sql="WITH " + _SCHEMA_ROWS.format(view="vitals") +
+          "SELECT event_id, d_v1, d_v2 FROM sb", views=("vitals",))
+def q_schema_distance(spark, sf_dir):
+    from healthwatch.operators import schema_drift as sd
+    return sd.schema_check(fx.vitals(spark, sf_dir)).select("event_id", "d_v1", "d_v2")
+
+
+@register("schema_best_match", sql="WITH " + _SCHEMA_ROWS.format(view="inc") + f"""
+SELECT event_id, best_schema, distance, match_rate, anomaly_detected,
+       {sg.joined('missing_fields')} AS missing_fields, {sg.joined('extra_fields')} AS extra_fields FROM sb""",
+          views=("inc",))
+def q_schema_best_match(spark, sf_dir):
+    from healthwatch.functions.columns import join_or_null
+    from healthwatch.operators import schema_drift as sd
+    _, inc = _halves(spark, sf_dir)
+    return sd.schema_check(inc).select(
+        "event_id", "best_schema", "distance", "match_rate", "anomaly_detected",
+        join_or_null(F.col("missing_fields")).alias("missing_fields"),
+        join_or_null(F.col("extra_fields")).alias("extra_fields"))
+
+
+@register("schema_summary", sql="WITH " + _SCHEMA_ROWS.format(view="inc") + """
+SELECT COUNT(*) AS total_events, COUNT(*) FILTER (WHERE anomaly_detected) AS flagged_events,
+       CASE WHEN COUNT(*) > 0 THEN ROUND(CAST(COUNT(*) FILTER (WHERE anomaly_detected) AS DOUBLE) / COUNT(*), 3)
+            ELSE CAST(0 AS DOUBLE) END AS flag_rate,
+       COUNT(*) FILTER (WHERE anomaly_detected) > 0 AS fault_detected FROM sb""", views=("inc",))
+def q_schema_summary(spark, sf_dir):
+    from healthwatch.operators import schema_drift as sd
+    _, inc = _halves(spark, sf_dir)
+    return sd.schema_summary(sd.schema_check(inc))
+
+
+@register("schema_field_counts", sql="WITH " + _SCHEMA_ROWS.format(view="inc") + """
+SELECT kind, field, COUNT(*) AS count FROM (
+  SELECT 'missing' AS kind, unnest(missing_fields) AS field FROM sb WHERE anomaly_detected
+  UNION ALL SELECT 'extra' AS kind, unnest(extra_fields) AS field FROM sb WHERE anomaly_detected) q
+GROUP BY kind, field""", views=("inc",))
+def q_schema_field_counts(spark, sf_dir):
+    from healthwatch.operators import schema_drift as sd
+    _, inc = _halves(spark, sf_dir)
+    return sd.schema_field_counts(sd.schema_check(inc))
