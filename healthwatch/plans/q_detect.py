@@ -81,8 +81,7 @@ def q_zscore_by_field(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- E4
-_KS_SQL = f"""
-WITH {sg.stats_cte()},
+KS_CTES = f"""{sg.stats_cte()},
 s AS ({sg.melt('base', flag='1 AS a')}
 UNION ALL {sg.melt('inc', flag='0 AS a')}),
 g AS (SELECT field, v, CAST(SUM(a) AS DOUBLE) AS na, CAST(SUM(1 - a) AS DOUBLE) AS nb FROM s GROUP BY field, v),
@@ -93,7 +92,10 @@ d AS (SELECT field, MAX(ABS(fa - fb)) AS ks, MAX(n) AS n, MAX(m) AS m FROM c GRO
       HAVING MAX(m) >= 10 AND MAX(n) > 0),
 mn AS (SELECT field, SUM(v * nb) / SUM(nb) AS inc_mean FROM g GROUP BY field),
 l AS (SELECT field, ks, n, m, ks * SQRT(n * m / (n + m)) AS lam FROM d),
-p AS (SELECT field, ks, n, m, {sg.ks_p('lam')} AS p FROM l)
+p AS (SELECT field, ks, n, m, {sg.ks_p('lam')} AS p FROM l)"""
+
+_KS_SQL = f"""
+WITH {KS_CTES}
 SELECT p.field, ROUND(ks, 4) AS ks_statistic, ROUND(p, 6) AS p_value, p < CAST(0.0001 AS DOUBLE) AS drifted,
        CAST(n AS BIGINT) AS n_baseline, CAST(m AS BIGINT) AS n_incoming,
        ROUND(inc_mean, 2) AS incoming_mean, ROUND(st.mean, 2) AS baseline_mean,
@@ -111,7 +113,7 @@ def q_ks_drift(spark, sf_dir):
 
 # ---------------------------------------------------------------- E5-E7
 _P = sg.present_list()
-_SCHEMA_ROWS = f"""
+SCHEMA_ROWS = f"""
 sc AS (SELECT event_id, {sg.contract_cols(_P, 'v1', fields.CONTRACT_V1)},
               {sg.contract_cols(_P, 'v2', fields.CONTRACT_V2)} FROM {{view}}),
 sb AS (SELECT event_id, CASE WHEN d_v1 <= d_v2 THEN 'v1' ELSE 'v2' END AS best_schema,
@@ -123,14 +125,14 @@ sb AS (SELECT event_id, CASE WHEN d_v1 <= d_v2 THEN 'v1' ELSE 'v2' END AS best_s
 """
 
 
-@register("schema_distance", sql="WITH " + _SCHEMA_ROWS.format(view="vitals") +
+@register("schema_distance", sql="WITH " + SCHEMA_ROWS.format(view="vitals") +
           "SELECT event_id, d_v1, d_v2 FROM sb", views=("vitals",))
 def q_schema_distance(spark, sf_dir):
     from healthwatch.operators import schema_drift as sd
     return sd.schema_check(fx.vitals(spark, sf_dir)).select("event_id", "d_v1", "d_v2")
 
 
-@register("schema_best_match", sql="WITH " + _SCHEMA_ROWS.format(view="inc") + f"""
+@register("schema_best_match", sql="WITH " + SCHEMA_ROWS.format(view="inc") + f"""
 SELECT event_id, best_schema, distance, match_rate, anomaly_detected,
        {sg.joined('missing_fields')} AS missing_fields, {sg.joined('extra_fields')} AS extra_fields FROM sb""",
           views=("inc",))
@@ -144,7 +146,7 @@ def q_schema_best_match(spark, sf_dir):
         join_or_null(F.col("extra_fields")).alias("extra_fields"))
 
 
-@register("schema_summary", sql="WITH " + _SCHEMA_ROWS.format(view="inc") + """
+@register("schema_summary", sql="WITH " + SCHEMA_ROWS.format(view="inc") + """
 SELECT COUNT(*) AS total_events, COUNT(*) FILTER (WHERE anomaly_detected) AS flagged_events,
        CASE WHEN COUNT(*) > 0 THEN ROUND(CAST(COUNT(*) FILTER (WHERE anomaly_detected) AS DOUBLE) / COUNT(*), 3)
             ELSE CAST(0 AS DOUBLE) END AS flag_rate,
@@ -155,7 +157,7 @@ def q_schema_summary(spark, sf_dir):
     return sd.schema_summary(sd.schema_check(inc))
 
 
-@register("schema_field_counts", sql="WITH " + _SCHEMA_ROWS.format(view="inc") + """
+@register("schema_field_counts", sql="WITH " + SCHEMA_ROWS.format(view="inc") + """
 SELECT kind, field, COUNT(*) AS count FROM (
   SELECT 'missing' AS kind, unnest(missing_fields) AS field FROM sb WHERE anomaly_detected
   UNION ALL SELECT 'extra' AS kind, unnest(extra_fields) AS field FROM sb WHERE anomaly_detected) q

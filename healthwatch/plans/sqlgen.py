@@ -18,17 +18,17 @@ def melt(view: str, fields: list[str] | None = None, ids: tuple[str, ...] = (),
         for f in fields)
 
 
-def stats_cte(view: str = "base") -> str:
+def stats_cte(view: str = "base", fields: list[str] | None = None) -> str:
     """``st(field, mean, std)`` rounded to 4 digits, as the baseline stores them."""
-    return (f"bs AS ({melt(view)}),\n"
+    return (f"bs AS ({melt(view, fields)}),\n"
             "st AS (SELECT field, ROUND(AVG(v), 4) AS mean, ROUND(STDDEV_POP(v), 4) AS std "
             "FROM bs GROUP BY field)")
 
 
-def z_cte(view: str = "inc", ids: tuple[str, ...] = ("event_id",)) -> str:
+def z_cte(view: str = "inc", ids: tuple[str, ...] = ("event_id",), fields: list[str] | None = None) -> str:
     """``zl(ids..., field, v, z)``: per present field z-score against ``st``."""
     idl = ", ".join(f"l.{i}" for i in ids)
-    return (f"il AS ({melt(view, ids=ids)}),\n"
+    return (f"il AS ({melt(view, fields, ids=ids)}),\n"
             f"zl AS (SELECT {idl}, l.field, l.v, CASE WHEN st.std = 0 THEN CAST(0 AS DOUBLE) "
             "ELSE ABS((l.v - st.mean) / st.std) END AS z FROM il l JOIN st ON l.field = st.field)")
 
