@@ -82,3 +82,21 @@ def detect_all(batch: DataFrame, stats: DataFrame, base_hist: DataFrame, contrac
     if include_security:
         parts.append(security_alert(batch))
     return reduce(DataFrame.unionByName, parts)
+
+
+def validate(batch: DataFrame, stats: DataFrame, base_hist: DataFrame, contracts=None,
+             include_security: bool = False) -> DataFrame:
+    """Steady-state check after a repair: re-run z-score, KS and schema (and
+    optionally security) on the batch.  ``STEADY_STATE`` iff none fires; an
+    empty batch is ``STILL_ANOMALOUS``.  One row: events_checked,
+    n_failures, failures (detectors in order), status."""
+    alerts = detect_all(batch, stats, base_hist, contracts, include_security=include_security,
+                        include_stall=True)
+    fails = alerts.agg(F.array_sort(F.collect_list(F.struct("priority", "detector"))).alias("_f"))
+    n = batch.agg(F.count(F.lit(1)).alias("events_checked"))
+    from healthwatch.functions.columns import combine_rows
+    out = combine_rows(n, fails)
+    return out.select("events_checked", F.size("_f").alias("n_failures"),
+                      F.array_join(F.transform("_f", lambda s: s["detector"]), ",").alias("failures"),
+                      F.when((F.size("_f") == 0) & (F.col("events_checked") > 0), "STEADY_STATE")
+                       .otherwise("STILL_ANOMALOUS").alias("status"))

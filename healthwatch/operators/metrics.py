@@ -21,7 +21,8 @@ def pipeline_kpis(batch: DataFrame, stats: DataFrame, base_hist: DataFrame,
     errors, attacker events.  z-score and schema flags are narrow columns on
     the same rows, so one aggregation covers four figures; the drifted-field
     count is a scalar subquery."""
-    checked = sd.schema_check(zs.zscore_flags(batch, stats_map(stats)))
+    # schema presence is read from the batch's own columns, before z columns are added
+    checked = zs.zscore_flags(sd.schema_check(batch), stats_map(stats))
     drifted = ksm.ks_drift(batch, base_hist, base_stats=stats).agg(F.count_if("drifted")).scalar()
     return checked.agg(F.count(F.lit(1)).alias("events"),
                        F.count_if("is_anomalous").alias("zscore_flagged"),

@@ -81,9 +81,10 @@ def q_zscore_by_field(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- E4
-KS_CTES = f"""{sg.stats_cte()},
+def ks_ctes(inc: str = "inc") -> str:
+    return f"""{sg.stats_cte()},
 s AS ({sg.melt('base', flag='1 AS a')}
-UNION ALL {sg.melt('inc', flag='0 AS a')}),
+UNION ALL {sg.melt(inc, flag='0 AS a')}),
 g AS (SELECT field, v, CAST(SUM(a) AS DOUBLE) AS na, CAST(SUM(1 - a) AS DOUBLE) AS nb FROM s GROUP BY field, v),
 c AS (SELECT field, SUM(na) OVER (PARTITION BY field ORDER BY v) / SUM(na) OVER (PARTITION BY field) AS fa,
              SUM(nb) OVER (PARTITION BY field ORDER BY v) / SUM(nb) OVER (PARTITION BY field) AS fb,
@@ -94,6 +95,9 @@ mn AS (SELECT field, SUM(v * nb) / SUM(nb) AS inc_mean FROM g GROUP BY field),
 l AS (SELECT field, ks, n, m, ks * SQRT(n * m / (n + m)) AS lam FROM d),
 p AS (SELECT field, ks, n, m, {sg.ks_p('lam')} AS p FROM l)"""
 
+
+KS_CTES = ks_ctes()
+
 _KS_SQL = f"""
 WITH {KS_CTES}
 SELECT p.field, ROUND(ks, 4) AS ks_statistic, ROUND(p, 6) AS p_value, p < CAST(0.0001 AS DOUBLE) AS drifted,

@@ -12,7 +12,7 @@ from healthwatch.operators import telemetry as tm
 from healthwatch.operators import triage as tr
 from healthwatch.operators import zscore as zs
 from healthwatch.plans import sqlgen as sg
-from healthwatch.plans.q_detect import KS_CTES, SCHEMA_ROWS
+from healthwatch.plans.q_detect import SCHEMA_ROWS, ks_ctes
 from healthwatch.plans.registry import register
 from healthwatch.sources import fixtures as fx
 from healthwatch.sources.tables import table
@@ -99,27 +99,32 @@ def q_consumer_lag(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- E15
-ALERT_CTES = f"""{KS_CTES}, {sg.z_cte()},
+def alert_ctes(inc: str = "inc", security: bool = True, stall: bool = True) -> str:
+    sec_part = "\n  UNION ALL SELECT 'security', 4, CAST(n AS BIGINT), patient_id FROM sec" if security else ""
+    stall_part = ("SELECT 'stall' AS detector, 0 AS priority, CAST(n AS BIGINT) AS signal_count, "
+                  "'No events received' AS detail\n  FROM tot WHERE n = 0\n  UNION ALL " if stall else "")
+    return f"""{ks_ctes(inc)}, {sg.z_cte(inc)},
 zf AS (SELECT COUNT(DISTINCT event_id) AS flagged, string_agg(DISTINCT field, ',' ORDER BY field) AS d
        FROM zl WHERE z > 3),
 kd AS (SELECT COUNT(*) AS n, string_agg(field, ',' ORDER BY field) AS d FROM p WHERE p < CAST(0.0001 AS DOUBLE)),
-{SCHEMA_ROWS.format(view='inc').strip()},
+{SCHEMA_ROWS.format(view=inc).strip()},
 sf AS (SELECT COUNT(*) FILTER (WHERE anomaly_detected) AS flagged FROM sb),
 sfc AS (SELECT kind || ':' || field AS kf FROM (
           SELECT 'missing' AS kind, unnest(missing_fields) AS field FROM sb WHERE anomaly_detected
           UNION ALL SELECT 'extra' AS kind, unnest(extra_fields) AS field FROM sb WHERE anomaly_detected) q
         GROUP BY kind, field),
 sdd AS (SELECT COALESCE(string_agg(kf, ',' ORDER BY kf), '') AS d FROM sfc),
-sec AS (SELECT patient_id, COUNT(*) AS n FROM inc WHERE patient_id IN ('PT-ATTACKER-0000')
+sec AS (SELECT patient_id, COUNT(*) AS n FROM {inc} WHERE patient_id IN ('PT-ATTACKER-0000')
         GROUP BY patient_id HAVING COUNT(*) > 5),
-tot AS (SELECT COUNT(*) AS n FROM inc),
+tot AS (SELECT COUNT(*) AS n FROM {inc}),
 alerts AS (
-  SELECT 'stall' AS detector, 0 AS priority, CAST(n AS BIGINT) AS signal_count, 'No events received' AS detail
-  FROM tot WHERE n = 0
-  UNION ALL SELECT 'zscore', 1, CAST(flagged AS BIGINT), d FROM zf WHERE flagged > 0
+  {stall_part}SELECT 'zscore' AS detector, 1 AS priority, CAST(flagged AS BIGINT) AS signal_count, d AS detail
+  FROM zf WHERE flagged > 0
   UNION ALL SELECT 'ks_test', 2, CAST(n AS BIGINT), d FROM kd WHERE n > 0
-  UNION ALL SELECT 'schema_entropy', 3, CAST(flagged AS BIGINT), (SELECT d FROM sdd) FROM sf WHERE flagged > 0
-  UNION ALL SELECT 'security', 4, CAST(n AS BIGINT), patient_id FROM sec)"""
+  UNION ALL SELECT 'schema_entropy', 3, CAST(flagged AS BIGINT), (SELECT d FROM sdd) FROM sf WHERE flagged > 0{sec_part})"""
+
+
+ALERT_CTES = alert_ctes()
 
 
 def _alerts(spark, sf_dir):
