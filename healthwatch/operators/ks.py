@@ -76,8 +76,8 @@ def ecdf_gap(g: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     cum = (gb.join(F.broadcast(offsets), ["field", "bucket"])   # fields x buckets rows
              .join(F.broadcast(totals), "field")                # one row per field
              .select("field", "n", "m",
-                     ((F.col("oa") + F.sum("na").over(wv)) / F.col("n")).alias("fa"),
-                     ((F.col("ob") + F.sum("nb").over(wv)) / F.col("m")).alias("fb")))
+                     F.try_divide(F.col("oa") + F.sum("na").over(wv), F.col("n")).alias("fa"),
+                     F.try_divide(F.col("ob") + F.sum("nb").over(wv), F.col("m")).alias("fb")))
     return cum.groupBy("field").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"),
                                     F.max("n").alias("n"), F.max("m").alias("m"))
 
@@ -93,8 +93,8 @@ def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None
     g = collapse(base_hist, incoming, fields)
     d = ecdf_gap(g, buckets).filter((F.col("m") >= min_samples) & (F.col("n") > 0))
     means = g.groupBy("field").agg(
-        (F.sum(F.col("value") * F.col("nb")) / F.sum("nb")).alias("inc_mean"),
-        F.round(F.sum(F.col("value") * F.col("na")) / F.sum("na"), 4).alias("base_mean"))
+        F.try_divide(F.sum(F.col("value") * F.col("nb")), F.sum("nb")).alias("inc_mean"),
+        F.round(F.try_divide(F.sum(F.col("value") * F.col("na")), F.sum("na")), 4).alias("base_mean"))
     if base_stats is not None:
         means = means.drop("base_mean").join(
             F.broadcast(base_stats.select("field", F.col("mean").alias("base_mean"))), "field")

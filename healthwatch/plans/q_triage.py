@@ -234,3 +234,11 @@ def q_detection_correct(spark, sf_dir):
     from healthwatch.operators import metrics as mt
     return mt.detection_correct(fx.evaluation(spark, sf_dir)).select(
         "run", "fault_type", "expected_detector", "detection_correct")
+
+
+# ---------------------------------------------------------------- E8 (rows-only check + unit tests)
+@register("isolation_forest")
+def q_isolation_forest(spark, sf_dir):
+    from healthwatch.operators import forest as fo
+    tel = fx.telemetry(spark, sf_dir)
+    return fo.isolation_forest(tel, tm.TELEMETRY_FIELDS, row_id="ts").select("ts", "score", "is_anomaly")
