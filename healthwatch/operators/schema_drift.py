@@ -48,15 +48,94 @@ def contract_distance(present: Column, expected: list[str]) -> tuple[Column, Col
     return dist, rate, missing, extra
 
 
+def _mask_columns(df: DataFrame, contracts, threshold, rename, columns) -> DataFrame | None:
+    """Bitmask form for table presence: bit i = column i is non-null.  Set
+    algebra becomes integer ops (``bit_count(E & ~P)``), so per-row cost is a
+    few machine instructions instead of array building and sorting."""
+    columns = columns or df.columns
+    names = [rename.get(c, c) for c in columns]
+    if len(names) > 62:
+        return None
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    pmask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+                 for i, c in enumerate(columns)), F.lit(0).cast("long"))
+    out = df.withColumn("_pm", pmask)
+    P = F.col("_pm")
+    d_cols, miss_masks, extra_masks, absent, rates = [], [], [], [], []
+    full = (1 << len(names)) - 1
+
+    def L(v):
+        return F.lit(v).cast("long")
+
+    notP = F.bitwise_not(P)
+    for ver, fields in contracts:
+        exp = set(fields)
+        e_mask = sum(bit[f] for f in exp if f in bit)
+        k_absent = sorted(f for f in exp if f not in bit)        # never a column: always missing
+        mm = L(e_mask).bitwiseAND(notP)
+        em = P.bitwiseAND(L(~e_mask & full))
+        miss = F.bit_count(mm) + F.lit(len(k_absent))
+        extra = F.bit_count(em)
+        n_exp = len(exp)
+        if n_exp == 0:
+            dist, rate = F.lit(0.0), F.lit(0.0)
+        else:
+            dist = F.round((miss + extra) / (F.lit(n_exp) + extra), 4)
+            rate = F.round(F.bit_count(L(e_mask).bitwiseAND(P)) / F.lit(n_exp), 4)
+        out = out.withColumn(f"d_{ver}", dist)
+        d_cols.append(f"d_{ver}")
+        miss_masks.append(mm)
+        extra_masks.append(em)
+        absent.append(k_absent)
+        rates.append(rate)
+    bi, bd = F.lit(0), F.col(d_cols[0])
+    for idx in range(1, len(d_cols)):
+        better = F.col(d_cols[idx]) < bd                     # strict: ties keep the earlier version
+        bi = F.when(better, F.lit(idx)).otherwise(bi)
+        bd = F.least(bd, F.col(d_cols[idx]))
+    out = out.withColumns({"_bi": bi, "distance": bd})
+
+    def pick(exprs):
+        e = exprs[0]
+        for idx in range(1, len(exprs)):
+            e = F.when(F.col("_bi") == idx, exprs[idx]).otherwise(e)
+        return e
+
+    def names_of(mask, extra_names):
+        arr = F.array_compact(F.array(*[F.when(mask.bitwiseAND(L(bit[n])) != 0, F.lit(n)) for n in names]))
+        return F.array_sort(F.concat(arr, extra_names))
+
+    out = out.withColumns({"_mm": pick(miss_masks), "_em": pick(extra_masks)})
+    no_names = F.array().cast("array<string>")
+    absent_arr = pick([F.array(*[F.lit(a) for a in ab]) if ab else no_names for ab in absent])
+    return (out.withColumns({
+                "best_schema": pick([F.lit(v) for v, _ in contracts]),
+                "match_rate": pick(rates),
+                "missing_fields": names_of(F.col("_mm"), absent_arr),
+                "extra_fields": names_of(F.col("_em"), no_names),
+                "anomaly_detected": F.col("distance") > threshold})
+               .drop("_pm", "_bi", "_mm", "_em"))
+
+
 def schema_check(df: DataFrame, contracts: list[tuple[str, list[str]]] | None = None,
                  threshold: float = SCHEMA_THRESHOLD, present: Column | None = None,
-                 **presence_kw) -> DataFrame:
-    """Add ``present``, ``d_<version>`` per contract and the best match:
-    ``best_schema`` (smallest rounded distance, earliest version on a tie),
-    ``distance``, ``match_rate``, ``missing_fields``, ``extra_fields``,
-    ``anomaly_detected`` (distance > threshold)."""
+                 presence: str = "non_null", columns: list[str] | None = None,
+                 rename: dict | None = None, json_col: str = "raw") -> DataFrame:
+    """Add ``d_<version>`` per contract and the best match: ``best_schema``
+    (smallest rounded distance, earliest version on a tie), ``distance``,
+    ``match_rate``, ``missing_fields``, ``extra_fields`` and
+    ``anomaly_detected`` (distance > threshold).
+
+    Table presence (NULL = missing) uses integer bitmasks; JSON key presence
+    (arbitrary extra keys) uses array set operations on ``present``."""
     contracts = contracts or CONTRACTS
-    present = present if present is not None else present_fields(df, **presence_kw)
+    rename = DEFAULT_RENAME if rename is None else rename
+    if present is None and presence == "non_null":
+        out = _mask_columns(df, contracts, threshold, rename, columns)
+        if out is not None:
+            return out
+    if present is None:
+        present = present_fields(df, columns, presence, json_col, rename)
     out = df.withColumn("present", present)
     cands = []
     for idx, (ver, fields) in enumerate(contracts):
@@ -72,7 +151,7 @@ def schema_check(df: DataFrame, contracts: list[tuple[str, list[str]]] | None =
                              "match_rate": F.col("best.match_rate"),
                              "missing_fields": F.col("best.missing_fields"),
                              "extra_fields": F.col("best.extra_fields")})
-               .drop("best")
+               .drop("best", "present")
                .withColumn("anomaly_detected", F.col("distance") > threshold))
 
 
@@ -91,9 +170,10 @@ def schema_summary(checked: DataFrame, keys: list[str] | None = None) -> DataFra
 
 def schema_field_counts(checked: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``(kind, field, count)``: how often each field was missing / extra,
-    over flagged events only."""
+    over flagged events only.  One explode of both tagged lists (a single
+    scan), then a partially aggregated group-by."""
     keys = keys or []
-    flagged = checked.filter("anomaly_detected")
-    miss = flagged.select(*keys, F.lit("missing").alias("kind"), F.explode("missing_fields").alias("field"))
-    extra = flagged.select(*keys, F.lit("extra").alias("kind"), F.explode("extra_fields").alias("field"))
-    return miss.unionByName(extra).groupBy(*keys, "kind", "field").agg(F.count(F.lit(1)).alias("count"))
+    tagged = F.concat(F.transform("missing_fields", lambda x: F.struct(F.lit("missing").alias("kind"), x.alias("field"))),
+                      F.transform("extra_fields", lambda x: F.struct(F.lit("extra").alias("kind"), x.alias("field"))))
+    return (checked.filter("anomaly_detected").select(*keys, F.explode(tagged).alias("t"))
+                   .groupBy(*keys, "t.kind", "t.field").agg(F.count(F.lit(1)).alias("count")))

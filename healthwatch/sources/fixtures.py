@@ -8,9 +8,13 @@ for the DuckDB oracle.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from healthwatch.session import checkpoint_dir
 from healthwatch.sources.tables import table
 
 # Rows from this instant on form the incoming half ("inc") of ``vitals``;
@@ -63,8 +67,29 @@ def vitals_from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Write a derived view once per application and folder, then scan it.
+
+    The monitored pipeline reads a stored sink table; deriving it on the fly
+    would hand every downstream plan the full derivation expressions (inlined
+    again by filter pushdown), which costs seconds of planning per query.
+    The table lives in the shared ``spark.checkpoint.dir`` folder, so it
+    survives executor loss and is visible to every executor of a cluster."""
+    app = spark.sparkContext.applicationId
+    key = hashlib.sha1(f"{app}|{os.path.abspath(sf_dir)}|{name}".encode()).hexdigest()[:16]
+    path = os.path.join(checkpoint_dir(spark), "views", key)
+    if key not in _MATERIALIZED:
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED.add(key)
+    return spark.read.parquet(path)
+
+
+_MATERIALIZED: set[str] = set()
+
+
 def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vitals_from_events(table(spark, sf_dir, "events"))
+    return materialized(spark, sf_dir, "vitals",
+                        lambda: vitals_from_events(table(spark, sf_dir, "events")))
 
 
 def split_base_inc(v: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +182,10 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vitals as JSON text; key presence carries schema faults and every
     97th event has its closing brace cut (malformed)."""
-    v = vitals(spark, sf_dir)
+    return materialized(spark, sf_dir, "raw", lambda: _raw_from_vitals(vitals(spark, sf_dir)))
+
+
+def _raw_from_vitals(v: DataFrame) -> DataFrame:
 
     def kv_num(name):
         return F.concat(F.lit(f'"{name}":'), F.col(name).cast("string"))
