@@ -55,6 +55,22 @@ def fit_baseline(df: DataFrame, fields: list[str] | None = None, approx: bool =
                 .filter(F.col("n_samples") > 0))
 
 
+def baseline_moments(df: DataFrame, fields: list[str] | None = None, digits: int = 4) -> DataFrame:
+    """``(field, n_samples, mean, std)`` — the part of the baseline the
+    z-score and KS detectors use, without the percentile aggregates (same
+    rounding as ``fit_baseline``)."""
+    fields = fields or NUMERIC_FIELDS
+    aggs = []
+    for f in fields:
+        c = F.col(f).cast("double")
+        aggs += [F.count(c).alias(f"{f}__n_samples"), F.round(F.avg(c), digits).alias(f"{f}__mean"),
+                 F.round(F.stddev_pop(c), digits).alias(f"{f}__std")]
+    rows = [F.struct(F.lit(f).alias("field"), *[F.col(f"{f}__{s}").alias(s) for s in ("n_samples", "mean", "std")])
+            for f in fields]
+    return (df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+              .filter(F.col("n_samples") > 0))
+
+
 def melt(df: DataFrame, fields: list[str] | None = None, ids: list[str] | None = None,
          keep_null: bool = False) -> DataFrame:
     """Wide -> long ``(ids..., field, value)``; null values dropped by default."""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from healthwatch.functions.fields import KS_ALPHA, KS_MIN_SAMPLES
 from healthwatch.functions.columns import combine_rows
 from healthwatch.operators.baseline import melt
+from healthwatch.session import write_table
 
 DEFAULT_BUCKETS = 64
 
@@ -53,31 +54,50 @@ def collapse(base_hist: DataFrame, incoming: DataFrame, fields: list[str] | None
                 .agg(F.sum("na").cast("double").alias("na"), F.sum("nb").cast("double").alias("nb")))
 
 
-def ecdf_gap(g: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def field_summary(g: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """One aggregation over the collapsed table per field: sample sizes,
+    distinct-value count, sums for the means and (for ``buckets > 1``) the
+    bucket bounds at approximate quantiles of the distinct values."""
+    aggs = [F.sum("na").alias("n"), F.sum("nb").alias("m"), F.count(F.lit(1)).alias("n_values"),
+            F.sum(F.col("value") * F.col("na")).alias("sum_a"), F.sum(F.col("value") * F.col("nb")).alias("sum_b")]
+    if buckets > 1:
+        aggs.append(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10000).alias("bounds"))
+    return g.groupBy("field").agg(*aggs)
+
+
+def ecdf_gap(g: DataFrame, buckets: int = DEFAULT_BUCKETS, per_field: DataFrame | None = None,
+             single_bucket_values: int = 1_000_000) -> DataFrame:
     """Per field: ``ks = max |F_a(v) - F_b(v)|`` over all distinct v, with
-    ``n`` (baseline) and ``m`` (incoming) sample sizes."""
-    totals = g.groupBy("field").agg(F.sum("na").alias("n"), F.sum("nb").alias("m"))
+    ``n`` (baseline) and ``m`` (incoming) sample sizes.
+
+    A field with at most ``single_bucket_values`` distinct values (bounded
+    resolution such as 1-decimal vitals: a few thousand values whatever the
+    row count) keeps one bucket; larger fields are cut at the quantile bounds
+    so no window partition exceeds ~1/buckets of the field."""
+    fs = per_field if per_field is not None else field_summary(g, buckets)
     if buckets > 1:
-        qs = [i / buckets for i in range(1, buckets)]
-        bounds = g.groupBy("field").agg(F.percentile_approx("value", qs, 10000).alias("bounds"))
-        gb = (g.join(F.broadcast(bounds), "field")          # fields x buckets values
-               .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("value"))))
-               .drop("bounds"))
+        bucket = F.when(F.col("n_values") <= single_bucket_values, F.lit(0)).otherwise(
+            F.size(F.filter("bounds", lambda b: b < F.col("value"))))
     else:
-        gb = g.withColumn("bucket", F.lit(0))
-    per_bucket = gb.groupBy("field", "bucket").agg(F.sum("na").alias("ba"), F.sum("nb").alias("bb"))
-    wb = Window.partitionBy("field").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "field", "bucket",
-        F.coalesce(F.sum("ba").over(wb), F.lit(0.0)).alias("oa"),
-        F.coalesce(F.sum("bb").over(wb), F.lit(0.0)).alias("ob"))
+        bucket = F.lit(0)
+    gb = (g.join(F.broadcast(fs.select("field", "n", "m", "n_values", *(["bounds"] if buckets > 1 else []))),
+                 "field")                                              # one row per field
+           .withColumn("bucket", bucket))
     wv = Window.partitionBy("field", "bucket").orderBy("value") \
                .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = (gb.join(F.broadcast(offsets), ["field", "bucket"])   # fields x buckets rows
-             .join(F.broadcast(totals), "field")                # one row per field
-             .select("field", "n", "m",
-                     F.try_divide(F.col("oa") + F.sum("na").over(wv), F.col("n")).alias("fa"),
-                     F.try_divide(F.col("ob") + F.sum("nb").over(wv), F.col("m")).alias("fb")))
+    if buckets > 1:
+        per_bucket = gb.groupBy("field", "bucket").agg(F.sum("na").alias("ba"), F.sum("nb").alias("bb"))
+        wb = Window.partitionBy("field").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per_bucket.select(                                   # fields x buckets rows
+            "field", "bucket",
+            F.coalesce(F.sum("ba").over(wb), F.lit(0.0)).alias("oa"),
+            F.coalesce(F.sum("bb").over(wb), F.lit(0.0)).alias("ob"))
+        gb = gb.join(F.broadcast(offsets), ["field", "bucket"])
+    else:
+        gb = gb.withColumns({"oa": F.lit(0.0), "ob": F.lit(0.0)})
+    cum = gb.select("field", "n", "m",
+                    F.try_divide(F.col("oa") + F.sum("na").over(wv), F.col("n")).alias("fa"),
+                    F.try_divide(F.col("ob") + F.sum("nb").over(wv), F.col("m")).alias("fb"))
     return cum.groupBy("field").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"),
                                     F.max("n").alias("n"), F.max("m").alias("m"))
 
@@ -90,11 +110,15 @@ def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None
     (round 4), ``p_value`` (round 6), ``drifted`` (unrounded p < alpha),
     sample sizes and, from the collapsed table, incoming/baseline means and
     their shift (round 2; the baseline mean is the stored 4-digit one)."""
-    g = collapse(base_hist, incoming, fields)
-    d = ecdf_gap(g, buckets).filter((F.col("m") >= min_samples) & (F.col("n") > 0))
-    means = g.groupBy("field").agg(
-        F.try_divide(F.sum(F.col("value") * F.col("nb")), F.sum("nb")).alias("inc_mean"),
-        F.round(F.try_divide(F.sum(F.col("value") * F.col("na")), F.sum("na")), 4).alias("base_mean"))
+    # The collapsed table feeds four consumers whose pruned subtrees differ,
+    # so exchange reuse cannot share it: cut its lineage once.  It holds one
+    # row per distinct (field, value) — bounded by value resolution, not by
+    # row count — and the reliable checkpoint survives executor loss.
+    g = write_table(collapse(base_hist, incoming, fields), "ks-collapsed")
+    fs = field_summary(g, buckets)
+    d = ecdf_gap(g, buckets, fs).filter((F.col("m") >= min_samples) & (F.col("n") > 0))
+    means = fs.select("field", F.try_divide(F.col("sum_b"), F.col("m")).alias("inc_mean"),
+                      F.round(F.try_divide(F.col("sum_a"), F.col("n")), 4).alias("base_mean"))
     if base_stats is not None:
         means = means.drop("base_mean").join(
             F.broadcast(base_stats.select("field", F.col("mean").alias("base_mean"))), "field")
@@ -103,7 +127,7 @@ def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None
     else:
         lam = F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
         d = d.withColumn("p", ks_pvalue(lam))
-    return (d.join(means, "field")
+    return (d.join(F.broadcast(means), "field")                     # one row per field
              .select("field",
                      F.round("ks", 4).alias("ks_statistic"),
                      F.round("p", 6).alias("p_value"),

@@ -45,7 +45,7 @@ FROM inc i LEFT JOIN (
 def q_zscore_events(spark, sf_dir):
     from pyspark.sql import functions as F
     base, inc = _halves(spark, sf_dir)
-    flags = zs.zscore_flags(inc, bl.fit_baseline(base))
+    flags = zs.zscore_flags(inc, bl.baseline_moments(base))
     return flags.select(
         "event_id", "patient_id", F.col("n_anomalous").cast("long").alias("n_anomalous"),
         "is_anomalous",
@@ -66,7 +66,7 @@ FROM tt, fl
 """, views=("base", "inc"))
 def q_zscore_summary(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
-    return zs.zscore_summary(zs.zscore_flags(inc, bl.fit_baseline(base)))
+    return zs.zscore_summary(zs.zscore_flags(inc, bl.baseline_moments(base)))
 
 
 @register("zscore_by_field", sql=f"""
@@ -77,7 +77,7 @@ FROM zl WHERE z > 3 GROUP BY field
 """, views=("base", "inc"))
 def q_zscore_by_field(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
-    return zs.zscore_by_field(zs.zscore_flags(inc, bl.fit_baseline(base)))
+    return zs.zscore_by_field(zs.zscore_flags(inc, bl.baseline_moments(base)))
 
 
 # ---------------------------------------------------------------- E4
@@ -112,7 +112,7 @@ FROM p JOIN mn ON p.field = mn.field JOIN st ON p.field = st.field
 def q_ks_drift(spark, sf_dir):
     from healthwatch.operators import ks
     base, inc = _halves(spark, sf_dir)
-    return ks.ks_drift(inc, bl.baseline_histogram(base), base_stats=bl.fit_baseline(base))
+    return ks.ks_drift(inc, bl.baseline_histogram(base), base_stats=bl.baseline_moments(base))
 
 
 # ---------------------------------------------------------------- E5-E7

@@ -110,7 +110,7 @@ def q_validate_pipeline(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
     kept, _ = rm.quarantine(inc, ATT)
     fixed = rm.impute_null(rm.drop_impossible(kept), "spo2", method="md5")
-    out = al.validate(fixed, bl.fit_baseline(base), bl.baseline_histogram(base))
+    out = al.validate(fixed, bl.baseline_moments(base), bl.baseline_histogram(base))
     return out.withColumn("n_failures", F.col("n_failures").cast("long"))
 
 

@@ -84,7 +84,7 @@ def q_telemetry_zscore(spark, sf_dir):
     tel = fx.telemetry(spark, sf_dir)
     cut = F.lit(fx.INC_START).cast("timestamp_ntz")
     tb, ti = tel.filter(F.col("ts") < cut), tel.filter(F.col("ts") >= cut)
-    flags = zs.zscore_flags(ti, bl.fit_baseline(tb, _TF), fields=_TF)
+    flags = zs.zscore_flags(ti, bl.baseline_moments(tb, _TF), fields=_TF)
     return flags.select("ts", F.col("n_anomalous").cast("long").alias("n_anomalous"),
                         F.when(F.col("n_anomalous") > 0, F.array_join("anomalous_fields", ","))
                          .alias("anomalous_fields"), "max_zscore")
@@ -129,7 +129,7 @@ ALERT_CTES = alert_ctes()
 
 def _alerts(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
-    return al.detect_all(inc, bl.fit_baseline(base), bl.baseline_histogram(base))
+    return al.detect_all(inc, bl.baseline_moments(base), bl.baseline_histogram(base))
 
 
 @register("alerts", sql=f"WITH {ALERT_CTES}\nSELECT * FROM alerts", views=("base", "inc"))

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Reliable checkpoints of intermediate tables are removed once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Long-running local sessions should not keep the event log on.
     "spark.eventLog.enabled": "false",
 }
@@ -56,3 +58,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint location for written tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def write_table(df, name: str):
+    """Cut lineage: write ``df`` once as parquet under the shared checkpoint
+    folder (one job) and return a scan of it.  Unlike an eager RDD
+    checkpoint this computes the input once, and later plans get column
+    pruning and filter pushdown on the written table."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
