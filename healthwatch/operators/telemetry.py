@@ -15,7 +15,7 @@ def _micros(ts: str) -> Column:
 
 
 def stall_gaps(df: DataFrame, gap_seconds: float = fd.STALL_SECONDS, ts: str = "ts",
-               keys: list[str] | None = None) -> DataFrame:
+               keys: list[str] | None = None, super_seconds: int = 86400) -> DataFrame:
     """Idle periods longer than ``gap_seconds`` between consecutive events
     (per ``keys`` group when given).
 
@@ -23,19 +23,29 @@ def stall_gaps(df: DataFrame, gap_seconds: float = fd.STALL_SECONDS, ts: str = "
     in one bucket are less than ``gap_seconds`` apart, so every longer gap
     runs from the last event of a non-empty bucket to the first event of the
     next non-empty one.  A partially aggregated ``min/max`` per bucket (hot
-    buckets collapse map-side) leaves one row per non-empty bucket — bounded
-    by time span / gap, not by data volume — and only that small table is
-    ordered."""
+    buckets collapse map-side) leaves one row per non-empty bucket.  Those
+    rows are ordered inside super-buckets of ``super_seconds`` (a window
+    partitioned by super-bucket, so the work spreads over many tasks); the
+    first bucket of each super-bucket takes its predecessor from the previous
+    non-empty super-bucket, found on the tiny per-super-bucket table."""
     keys = keys or []
     width = int(gap_seconds * 1_000_000)
+    sw = int(super_seconds * 1_000_000)
     us = _micros(ts)
     buckets = (df.select(*keys, us.alias("us"))
                  .filter(F.col("us").isNotNull())
                  .groupBy(*keys, F.floor(F.col("us") / width).alias("bucket"))
-                 .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us")))
-    w = Window.partitionBy(*keys).orderBy("bucket") if keys else Window.orderBy("bucket")
-    gaps = (buckets.withColumn("prev_us", F.lag("last_us").over(w))
-                   .filter(F.col("first_us") - F.col("prev_us") > width))
+                 .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+                 .withColumn("sb", F.floor(F.col("first_us") / sw)))
+    w_in = Window.partitionBy(*keys, "sb").orderBy("bucket")
+    within = buckets.withColumn("prev_us", F.lag("last_us").over(w_in))
+    # previous non-empty super-bucket's last event: one row per super-bucket
+    per_sb = buckets.groupBy(*keys, "sb").agg(F.max("last_us").alias("sb_last"))
+    w_sb = Window.partitionBy(*keys).orderBy("sb") if keys else Window.orderBy("sb")
+    carry = per_sb.select(*keys, "sb", F.lag("sb_last").over(w_sb).alias("carry_us"))
+    stitched = (within.join(carry, [*keys, "sb"], "left")           # one row per super-bucket
+                      .withColumn("prev_us", F.coalesce("prev_us", "carry_us")))
+    gaps = stitched.filter(F.col("first_us") - F.col("prev_us") > width)
     return gaps.select(*keys,
                        F.timestamp_micros("prev_us").alias("gap_start"),
                        F.timestamp_micros("first_us").alias("gap_end"),

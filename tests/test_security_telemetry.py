@@ -76,3 +76,13 @@ def test_latest_n_per_key_with_salt_matches_window(spark):
     w = Window.partitionBy("k").orderBy(F.col("t").desc())
     ref = sorted(df.withColumn("r", F.row_number().over(w)).filter("r <= 5").drop("r").collect())
     assert got == ref
+
+
+def test_stall_gaps_across_super_buckets(spark):
+    t0 = datetime(2024, 1, 1)
+    offs = [0, 50, 51, 300, 86390, 86410, 86500, 3 * 86400 + 7, 3 * 86400 + 20, 3 * 86400 + 95]
+    ts = [t0 + timedelta(seconds=s) for s in offs]
+    df = spark.createDataFrame([(t,) for t in ts], "ts timestamp")
+    for sup in (60, 3600, 86400):
+        got = sorted((r["gap_start"], r["gap_end"]) for r in tm.stall_gaps(df, 30, super_seconds=sup).collect())
+        assert got == _brute_gaps(ts, 30), sup
