@@ -61,3 +61,15 @@ def q_stream_detect(spark, sf_dir):
     cut = F.lit(fx.INC_START).cast("timestamp_ntz")
     stream = fx.vitals_from_events(sp.read_table_stream(spark, sf_dir, "events")).filter(F.col("ts") >= cut)
     return sp.stream_detect(stream, bl.baseline_moments(base), bl.baseline_histogram(base))
+
+
+# ---------------------------------------------------------------- E11 (stream form)
+@register("stream_stall_gaps", sql="""
+SELECT ward, prev AS gap_start, ts AS gap_end, CAST(epoch_us(ts) - epoch_us(prev) AS DOUBLE) / 1000000 AS gap_seconds
+FROM (SELECT ward, ts, lag(ts) OVER (PARTITION BY ward ORDER BY ts) AS prev FROM vitals) q
+WHERE epoch_us(ts) - epoch_us(prev) > 30000000""", views=("vitals",))
+def q_stream_stall_gaps(spark, sf_dir):
+    from healthwatch.streaming.stall import stream_stall_gaps
+    out = sp.run_to_table(stream_stall_gaps(_vitals_stream(spark, sf_dir), "ward"), "stall", mode="append")
+    return out.filter(F.col("kind") == "gap").select(
+        "ward", _ntz("gap_start").alias("gap_start"), _ntz("gap_end").alias("gap_end"), "gap_seconds")

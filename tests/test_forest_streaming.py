@@ -58,3 +58,23 @@ def test_stream_window_stats_complete(spark):
     s = sp.event_time(fx.vitals_from_events(sp.read_table_stream(spark, SF_SMOKE, "events")))
     out = sp.run_to_table(sp.window_stats(s, "1 day"), "test-window")
     assert out.agg(F.sum("events")).first()[0] == 1000
+
+
+def test_stream_stall_state_across_batches(spark, tmp_path):
+    from datetime import datetime, timedelta
+    from healthwatch.streaming.stall import stream_stall_gaps
+    t0 = datetime(2024, 1, 1)
+    files = [
+        [("a", 0), ("a", 10), ("b", 5)],
+        [("a", 100), ("a", 110)],            # gap a: 10 -> 100 spans the batch boundary
+        [("a", 500), ("a", 505)],            # watermark passes b's 5 + 30: b goes idle
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame([(k, t0 + timedelta(seconds=s)) for k, s in rows], "k string, ts timestamp") \
+             .coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+    src = (spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1)
+                .option("recursiveFileLookup", "true").parquet(str(tmp_path)))
+    out = sp.run_to_table(stream_stall_gaps(sp.event_time(src, delay="0 seconds"), "k"), "stall-test", mode="append")
+    rows = {(r["k"], r["kind"], r["gap_seconds"]) for r in out.collect()}
+    assert ("a", "gap", 90.0) in rows and ("a", "gap", 390.0) in rows
+    assert any(k == "b" and kind == "idle" for k, kind, _ in rows)
