@@ -104,3 +104,20 @@ def row_count(df: DataFrame) -> DataFrame:
 def topic_total(offsets: DataFrame) -> DataFrame:
     """Messages ever written per topic: the sum of partition high watermarks."""
     return offsets.groupBy("topic").agg(F.sum("high").alias("total_messages"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV sink with a header; array columns are written as comma-joined text
+    (CSV has no nested types)."""
+    out = df.select(*[F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name)
+                      if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema.fields])
+    out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_jsonl(spark, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """JSON-lines source; blank lines are skipped, a fixed schema avoids an
+    inference pass over the data."""
+    r = spark.read
+    if schema is not None:
+        r = r.schema(schema)
+    return r.json(path)
