@@ -134,3 +134,33 @@ def centroids(df: DataFrame, key: str, vec: str = "embedding", dims: int | None
     if dims is None:
         dims = len(df.select(vec).first()[0])
     return df.groupBy(key).agg(F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dims)]).alias(vec))
+
+
+def crisis_id(now_epoch_s: int | None = None) -> Column:
+    """``CRISIS-<epoch seconds>`` of the build time (or a given clock)."""
+    ts = F.lit(now_epoch_s) if now_epoch_s is not None else F.unix_timestamp(F.current_timestamp())
+    return F.concat(F.lit("CRISIS-"), ts.cast("string"))
+
+
+def incident_record(packet: DataFrame, plan: DataFrame, validation: DataFrame,
+                    diagnosis: str | None = None, now_epoch_s: int | None = None) -> DataFrame:
+    """One incident row from a packet, its action plan and the validation of
+    the repaired table.  The log id hashes the crisis id with the signals,
+    components and validation outcome (stable if the task is recomputed, and
+    distinct for different incidents raised in the same second); MTTR is left NULL for
+    ``metrics.backfill_mttr``.  The three one-row inputs are combined by a
+    union and a global aggregate, not a join."""
+    from healthwatch.functions.columns import combine_rows
+    acts = plan.agg(F.array_sort(F.collect_list(F.struct("step", "action"))).alias("_a"))  # <= 6 rows
+    cid = crisis_id(now_epoch_s)
+    p = packet.select(cid.alias("crisis_id"), "severity", "fault_signals", "affected_components")
+    v = validation.select(F.col("status").alias("validation_status"),
+                          F.col("failures").alias("validation_failures"))
+    row = combine_rows(p, acts, v)
+    return row.select(
+        F.concat(F.lit("INC-"), F.abs(F.xxhash64("crisis_id", "fault_signals", "affected_components",
+                                                  "validation_status")).cast("string")).alias("log_id"),
+        F.current_timestamp().alias("timestamp"), "crisis_id", "severity", "affected_components",
+        "fault_signals", F.lit(diagnosis).cast("string").alias("agent_diagnosis"),
+        F.array_join(F.transform("_a", lambda s: s["action"]), " | ").alias("actions_taken"),
+        "validation_status", "validation_failures", F.lit(None).cast("double").alias("mttr_seconds"))

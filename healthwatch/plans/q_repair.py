@@ -173,3 +173,31 @@ SELECT COUNT(*) AS total_incidents, COUNT(*) FILTER (WHERE validation_status = '
        MIN(CASE WHEN mttr_seconds <> 0 THEN mttr_seconds END) AS min_mttr FROM incidents""", views=("incidents",))
 def q_incident_summary(spark, sf_dir):
     return mt.incident_summary(fx.incidents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- G12
+def _incident_sql():
+    from healthwatch.plans import q_triage as qt
+    return f"""WITH fixed AS ({_FIXED})
+SELECT pk.severity, pk.affected_components, pk.fault_signals, ap.actions_taken,
+       v.validation_status, v.validation_failures
+FROM (WITH {qt.ALERT_CTES} {qt.PACKET_SELECT}) pk,
+     (WITH {qt.ALERT_CTES} SELECT string_agg(action, ' | ' ORDER BY step) AS actions_taken
+      FROM ({qt.PLAN_SELECT}) q) ap,
+     (WITH {alert_ctes('fixed', security=False, stall=False)}
+      SELECT CASE WHEN (SELECT COUNT(*) FROM alerts) = 0 AND (SELECT COUNT(*) FROM fixed) > 0
+                  THEN 'STEADY_STATE' ELSE 'STILL_ANOMALOUS' END AS validation_status,
+             COALESCE((SELECT string_agg(detector, ',' ORDER BY priority) FROM alerts), '') AS validation_failures) v"""
+
+
+@register("incident_record", sql=_incident_sql(), views=("base", "inc"))
+def q_incident_record(spark, sf_dir):
+    from healthwatch.operators import triage as tr
+    base, inc = _halves(spark, sf_dir)
+    stats, hist = bl.baseline_moments(base), bl.baseline_histogram(base)
+    alerts = al.detect_all(inc, stats, hist)
+    kept, _ = rm.quarantine(inc, ATT)
+    fixed = rm.impute_null(rm.drop_impossible(kept), "spo2", method="md5")
+    rec = tr.incident_record(tr.crisis_packet(alerts), tr.action_plan(alerts), al.validate(fixed, stats, hist))
+    return rec.select("severity", "affected_components", "fault_signals", "actions_taken",
+                      "validation_status", "validation_failures")

@@ -145,13 +145,16 @@ def _components_sql(det):
 
 
 # ---------------------------------------------------------------- F1-F3
-@register("crisis_packet", sql=f"""WITH {ALERT_CTES}
+PACKET_SELECT = f"""
 SELECT COALESCE(string_agg(detector, ',' ORDER BY priority, detector), '') AS fault_signals,
        COALESCE(array_to_string(list_sort(list_distinct(flatten(list(comp)))), ','), '') AS affected_components,
        COUNT(*) AS n_signals,
        CASE WHEN COUNT(*) = 0 THEN 'UNKNOWN'
             WHEN COALESCE(bool_or(detector = 'security'), false) OR COUNT(*) > 1 THEN 'CRITICAL' ELSE 'HIGH' END AS severity
-FROM (SELECT detector, priority, {_components_sql('detector')} AS comp FROM alerts) a""", views=("base", "inc"))
+FROM (SELECT detector, priority, {_components_sql('detector')} AS comp FROM alerts) a"""
+
+
+@register("crisis_packet", sql=f"WITH {ALERT_CTES}{PACKET_SELECT}", views=("base", "inc"))
 def q_crisis_packet(spark, sf_dir):
     return tr.crisis_packet(_alerts(spark, sf_dir))
 
@@ -184,10 +187,13 @@ def _action_sql():
     return f"{code} AS action_code, {rank} AS rk, {text} AS action"
 
 
-@register("action_plan", sql=f"""WITH {ALERT_CTES}
+PLAN_SELECT = f"""
 SELECT action_code, action, row_number() OVER (ORDER BY rk, action_code) AS step
 FROM (SELECT DISTINCT action_code, rk, action FROM (SELECT {_action_sql()} FROM alerts) a
-      WHERE action_code IS NOT NULL) q""", views=("base", "inc"))
+      WHERE action_code IS NOT NULL) q"""
+
+
+@register("action_plan", sql=f"WITH {ALERT_CTES}{PLAN_SELECT}", views=("base", "inc"))
 def q_action_plan(spark, sf_dir):
     return tr.action_plan(_alerts(spark, sf_dir)).withColumn("step", F.col("step").cast("long"))
 

@@ -82,8 +82,11 @@ def test_ks_bucketed_equals_single_window(spark, base):
     inc = spark.createDataFrame(normal_rows(300, 5000), SCHEMA).withColumn("heart_rate", F.col("heart_rate") + 3)
     g = ks.collapse(bl.baseline_histogram(base), inc)
     one = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=1).collect()}
-    many = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=16).collect()}
+    # single_bucket_values=0 forces the range-bucketed plan even for small fields
+    many = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=16, single_bucket_values=0).collect()}
     assert one == many
+    mixed = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=16, single_bucket_values=40).collect()}
+    assert one == mixed
 
 
 def test_ks_pvalue_series(spark):

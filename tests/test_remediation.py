@@ -198,3 +198,14 @@ def test_cli_baseline_then_detect(spark, tmp_path):
               "--out", str(tmp_path / "alerts")])
     got = {r["detector"] for r in spark.read.parquet(str(tmp_path / "alerts")).collect()}
     assert got == {"zscore", "ks_test", "schema_entropy", "security"}
+
+
+def test_incident_record_fields(spark):
+    alerts = spark.createDataFrame([("zscore", 1, 10, "heart_rate"), ("security", 4, 6, "PT-ATTACKER-0000")],
+                                   "detector string, priority int, signal_count long, detail string")
+    val = spark.createDataFrame([(10, 0, "", "STEADY_STATE")],
+                                "events_checked long, n_failures int, failures string, status string")
+    r = tr.incident_record(tr.crisis_packet(alerts), tr.action_plan(alerts), val, now_epoch_s=1700000000).first()
+    assert r["crisis_id"] == "CRISIS-1700000000" and r["log_id"].startswith("INC-")
+    assert r["actions_taken"] == "quarantine attacker id | impute impossible vitals with jitter"
+    assert (r["severity"], r["validation_status"], r["mttr_seconds"]) == ("CRITICAL", "STEADY_STATE", None)
