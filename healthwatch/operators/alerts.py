@@ -26,61 +26,97 @@ ALERT_COLUMNS = ["detector", "priority", "signal_count", "detail"]
 DETECTOR_ORDER = {"stall": 0, "zscore": 1, "ks_test": 2, "schema_entropy": 3, "security": 4}
 
 
-def _alert(df: DataFrame, name: str, count_col: str, detail) -> DataFrame:
-    return df.select(F.lit(name).alias("detector"), F.lit(DETECTOR_ORDER.get(name, 9)).alias("priority"),
+def _alert(df: DataFrame, name: str, count_col: str, detail, keys: list[str] | None = None) -> DataFrame:
+    return df.select(*(keys or []), F.lit(name).alias("detector"),
+                     F.lit(DETECTOR_ORDER.get(name, 9)).alias("priority"),
                      F.col(count_col).cast("long").alias("signal_count"), detail.alias("detail"))
 
 
-def zscore_alert(batch: DataFrame, stats, threshold: float = fd.ZSCORE_THRESHOLD) -> DataFrame:
+def _group(df: DataFrame, keys: list[str] | None):
+    return df.groupBy(*keys) if keys else df
+
+
+def zscore_alert(batch: DataFrame, stats, threshold: float = fd.ZSCORE_THRESHOLD,
+                 keys: list[str] | None = None) -> DataFrame:
     sm = stats if isinstance(stats, dict) else stats_map(stats)
     flags = zs.zscore_flags(batch, sm, threshold)
     fields = [f for f in sm if f in batch.columns]
-    agg = flags.agg(F.count_if("is_anomalous").alias("flagged"),
-                    *[F.count_if(F.col(f"z_{f}") > threshold).alias(f"{f}__c") for f in fields])
+    agg = _group(flags, keys).agg(F.count_if("is_anomalous").alias("flagged"),
+                                  *[F.count_if(F.col(f"z_{f}") > threshold).alias(f"{f}__c") for f in fields])
     detail = F.array_join(F.array_sort(F.array_compact(F.array(*[
         F.when(F.col(f"{f}__c") > 0, F.lit(f)) for f in fields]))), ",")
-    return _alert(agg.filter(F.col("flagged") > 0), "zscore", "flagged", detail)
+    return _alert(agg.filter(F.col("flagged") > 0), "zscore", "flagged", detail, keys)
 
 
 def ks_alert(batch: DataFrame, base_hist: DataFrame, base_stats: DataFrame | None = None,
-             alpha: float = fd.KS_ALPHA) -> DataFrame:
-    drift = ksm.ks_drift(batch, base_hist, alpha=alpha, base_stats=base_stats)
-    agg = drift.filter("drifted").agg(F.count(F.lit(1)).alias("n"),
-                                      F.array_join(F.array_sort(F.collect_list("field")), ",").alias("d"))
-    return _alert(agg.filter(F.col("n") > 0), "ks_test", "n", F.col("d"))
-
-
-def schema_alert(batch: DataFrame, contracts=None, threshold: float = fd.SCHEMA_THRESHOLD) -> DataFrame:
-    checked = sd.schema_check(batch, contracts, threshold)
-    flagged = checked.agg(F.count_if("anomaly_detected").alias("flagged"))
-    counts = sd.schema_field_counts(checked)        # one row per distinct field name
-    detail = counts.agg(F.array_join(F.array_sort(F.collect_list(
+             alpha: float = fd.KS_ALPHA, keys: list[str] | None = None) -> DataFrame:
+    if keys:
+        drift = ksm.ks_drift_by(batch, base_hist, keys, alpha=alpha)
+    else:
+        drift = ksm.ks_drift(batch, base_hist, alpha=alpha, base_stats=base_stats)
+    agg = _group(drift.filter("drifted"), keys).agg(      # <= one row per field per batch
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("d"))
+    return _alert(agg.filter(F.col("n") > 0), "ks_test", "n", F.col("d"), keys)
+
+
+def schema_alert(batch: DataFrame, contracts=None, threshold: float = fd.SCHEMA_THRESHOLD,
+                 keys: list[str] | None = None) -> DataFrame:
+    checked = sd.schema_check(batch, contracts, threshold,
+                              columns=[c for c in batch.columns if c not in (keys or [])])
+    flagged = _group(checked, keys).agg(F.count_if("anomaly_detected").alias("flagged"))
+    counts = sd.schema_field_counts(checked, keys)        # one row per distinct field name (per batch)
+    detail = _group(counts, keys).agg(F.array_join(F.array_sort(F.collect_list(
         F.concat("kind", F.lit(":"), "field"))), ",").alias("detail"))
+    if keys:
+        joined = flagged.filter(F.col("flagged") > 0).join(detail, keys, "left")   # one row per batch
+        return _alert(joined, "schema_entropy", "flagged", F.coalesce("detail", F.lit("")), keys)
     return _alert(flagged.filter(F.col("flagged") > 0), "schema_entropy", "flagged",
                   F.coalesce(detail.scalar(), F.lit("")))
 
 
 def security_alert(batch: DataFrame, ids: list[str] | None = None,
-                   min_events: int = fd.DENYLIST_MIN_EVENTS) -> DataFrame:
-    flood = sec.denylist_flood(batch, ids, min_events).filter("is_flood")
-    return _alert(flood, "security", "event_count", F.col("patient_id"))
-
-
-def stall_alert(batch: DataFrame) -> DataFrame:
+                   min_events: int = fd.DENYLIST_MIN_EVENTS, keys: list[str] | None = None) -> DataFrame:
+    flood = sec.denylist_flood(batch, ids, min_events, keys=keys).filter("is_flood")
+    return _alert(flood, "security", "event_count", F.col("patient_id"), keys)
+
+
+def stall_alert(batch: DataFrame, keys: list[str] | None = None, batch_seconds: int | None = None,
+                ts: str = "ts") -> DataFrame:
+    """Whole-frame mode: one alert when the batch is empty.  Keyed time
+    batches (``with_batch``): one alert per empty batch window between the
+    first and the last event."""
+    if keys and batch_seconds:
+        from healthwatch.operators.telemetry import empty_batches
+        empty = empty_batches(batch, batch_seconds, ts).select(
+            F.col("batch_start").cast(batch.schema[keys[0]].dataType).alias(keys[0]), F.lit(0).alias("n"))
+        return _alert(empty, "stall", "n", F.lit("No events received"), keys)
     n = batch.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0)
     return _alert(n, "stall", "n", F.lit("No events received"))
 
 
+def with_batch(df: DataFrame, batch_seconds: int, ts: str = "ts", name: str = "batch_start") -> DataFrame:
+    """Tag each row with the start of its fixed time batch (same type as ``ts``)."""
+    width = batch_seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    start = F.timestamp_micros(F.floor(us / width) * width).cast(df.schema[ts].dataType)
+    return df.withColumn(name, start)
+
+
 def detect_all(batch: DataFrame, stats: DataFrame, base_hist: DataFrame, contracts=None,
-               include_security: bool = True, include_stall: bool = True) -> DataFrame:
-    """Alert rows ``(detector, priority, signal_count, detail)`` for one batch."""
+               include_security: bool = True, include_stall: bool = True,
+               keys: list[str] | None = None, batch_seconds: int | None = None) -> DataFrame:
+    """Alert rows ``([keys...,] detector, priority, signal_count, detail)``:
+    for the whole frame, or per batch when ``keys`` are given (e.g. the
+    ``batch_start`` of ``with_batch`` — then ``batch_seconds`` enables stall
+    alerts for empty batch windows)."""
     sm = stats_map(stats)
     parts = []
-    if include_stall:
-        parts.append(stall_alert(batch))
-    parts += [zscore_alert(batch, sm), ks_alert(batch, base_hist, stats), schema_alert(batch, contracts)]
+    if include_stall and (not keys or batch_seconds):
+        parts.append(stall_alert(batch, keys, batch_seconds))
+    parts += [zscore_alert(batch, sm, keys=keys), ks_alert(batch, base_hist, stats, keys=keys),
+              schema_alert(batch, contracts, keys=keys)]
     if include_security:
-        parts.append(security_alert(batch))
+        parts.append(security_alert(batch, keys=keys))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -248,3 +248,57 @@ def q_isolation_forest(spark, sf_dir):
     from healthwatch.operators import forest as fo
     tel = fx.telemetry(spark, sf_dir)
     return fo.isolation_forest(tel, tm.TELEMETRY_FIELDS, row_id="ts").select("ts", "score", "is_anomaly")
+
+
+# ---------------------------------------------------------------- E15 per batch (one batch per day)
+def _alerts_by_day_sql():
+    from healthwatch.plans.q_detect import SCHEMA_ROWS as SR
+    return f"""
+WITH {sg.stats_cte()},
+ib AS (SELECT *, date_trunc('day', ts) AS batch_start FROM inc),
+{sg.z_cte('ib', ('batch_start', 'event_id'))},
+zf AS (SELECT batch_start, COUNT(DISTINCT event_id) AS flagged, string_agg(DISTINCT field, ',' ORDER BY field) AS d
+       FROM zl WHERE z > 3 GROUP BY batch_start),
+kb AS ({sg.melt('base')}),
+ki AS ({sg.melt('ib', ids=('batch_start',))}),
+bt AS (SELECT DISTINCT batch_start FROM ib),
+s2 AS (SELECT bt.batch_start, kb.field, kb.v, 1 AS a FROM bt, kb
+       UNION ALL SELECT batch_start, field, v, 0 AS a FROM ki),
+g2 AS (SELECT batch_start, field, v, CAST(SUM(a) AS DOUBLE) AS na, CAST(SUM(1 - a) AS DOUBLE) AS nb
+       FROM s2 GROUP BY batch_start, field, v),
+c2 AS (SELECT batch_start, field,
+              SUM(na) OVER (PARTITION BY batch_start, field ORDER BY v) / SUM(na) OVER (PARTITION BY batch_start, field) AS fa,
+              SUM(nb) OVER (PARTITION BY batch_start, field ORDER BY v) / NULLIF(SUM(nb) OVER (PARTITION BY batch_start, field), 0) AS fb,
+              SUM(na) OVER (PARTITION BY batch_start, field) AS n, SUM(nb) OVER (PARTITION BY batch_start, field) AS m FROM g2),
+d2 AS (SELECT batch_start, field, MAX(ABS(fa - fb)) AS ks, MAX(n) AS n, MAX(m) AS m FROM c2
+       GROUP BY batch_start, field HAVING MAX(m) >= 10 AND MAX(n) > 0),
+l2 AS (SELECT batch_start, field, ks * SQRT(n * m / (n + m)) AS lam FROM d2),
+p2 AS (SELECT batch_start, field, {sg.ks_p('lam')} AS p FROM l2),
+kd AS (SELECT batch_start, COUNT(*) AS n, string_agg(field, ',' ORDER BY field) AS d FROM p2
+       WHERE p < CAST(0.0001 AS DOUBLE) GROUP BY batch_start),
+{SR.format(view='ib').strip()},
+sbb AS (SELECT ib.batch_start, sb.* FROM sb JOIN ib ON sb.event_id = ib.event_id),
+sf AS (SELECT batch_start, COUNT(*) FILTER (WHERE anomaly_detected) AS flagged FROM sbb GROUP BY batch_start),
+sfc AS (SELECT batch_start, kind || ':' || field AS kf FROM (
+          SELECT batch_start, 'missing' AS kind, unnest(missing_fields) AS field FROM sbb WHERE anomaly_detected
+          UNION ALL SELECT batch_start, 'extra' AS kind, unnest(extra_fields) AS field FROM sbb WHERE anomaly_detected) q
+        GROUP BY batch_start, kind, field),
+sdd AS (SELECT batch_start, string_agg(kf, ',' ORDER BY kf) AS d FROM sfc GROUP BY batch_start),
+sec AS (SELECT batch_start, patient_id, COUNT(*) AS n FROM ib WHERE patient_id IN ('PT-ATTACKER-0000')
+        GROUP BY batch_start, patient_id HAVING COUNT(*) > 5),
+cal AS (SELECT unnest(generate_series(MIN(batch_start), MAX(batch_start), INTERVAL 1 DAY)) AS batch_start FROM ib)
+SELECT batch_start, 'stall' AS detector, 0 AS priority, CAST(0 AS BIGINT) AS signal_count, 'No events received' AS detail
+FROM cal WHERE batch_start NOT IN (SELECT batch_start FROM bt)
+UNION ALL SELECT batch_start, 'zscore', 1, CAST(flagged AS BIGINT), d FROM zf WHERE flagged > 0
+UNION ALL SELECT batch_start, 'ks_test', 2, CAST(n AS BIGINT), d FROM kd WHERE n > 0
+UNION ALL SELECT sf.batch_start, 'schema_entropy', 3, CAST(flagged AS BIGINT), COALESCE(sdd.d, '')
+          FROM sf LEFT JOIN sdd ON sf.batch_start = sdd.batch_start WHERE flagged > 0
+UNION ALL SELECT batch_start, 'security', 4, CAST(n AS BIGINT), patient_id FROM sec"""
+
+
+@register("alerts_by_day", sql=_alerts_by_day_sql(), views=("base", "inc"))
+def q_alerts_by_day(spark, sf_dir):
+    base, inc = _halves(spark, sf_dir)
+    batched = al.with_batch(inc, 86400)
+    return al.detect_all(batched, bl.baseline_moments(base), bl.baseline_histogram(base),
+                         keys=["batch_start"], batch_seconds=86400)

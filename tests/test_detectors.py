@@ -150,3 +150,20 @@ def test_schema_json_presence(spark):
     df = spark.createDataFrame([('{"event_id":"a","spo2":null}',)], "raw string")
     p = df.select(sd.present_fields(df, presence="json").alias("p")).first()["p"]
     assert p == ["event_id", "spo2"]          # key present even with a null value
+
+
+def test_ks_by_batch_equals_per_batch_ks(spark, base):
+    rows = normal_rows(300, 7000)
+    rows = [r[:3] + ((r[3] + 30.0) if i % 3 == 0 else r[3],) + r[4:] for i, r in enumerate(rows)]
+    inc = spark.createDataFrame(rows, SCHEMA).withColumn("batch", (F.monotonically_increasing_id() % 3).cast("int"))
+    inc = inc.cache()
+    hist = bl.baseline_histogram(base)
+    by = {(r["batch"], r["field"]): r for r in ks.ks_drift_by(inc, hist, ["batch"]).collect()}
+    forced = {(r["batch"], r["field"]): r for r in ks.ks_drift_by(inc, hist, ["batch"], buckets=8,
+                                                                                 single_bucket_values=0).collect()}
+    for b in range(3):
+        one = {r["field"]: r for r in ks.ks_drift(inc.filter(F.col("batch") == b), hist, buckets=1).collect()}
+        for f, r in one.items():
+            assert by[(b, f)]["ks_statistic"] == r["ks_statistic"], (b, f)
+            assert by[(b, f)]["p_value"] == r["p_value"]
+            assert forced[(b, f)]["ks_statistic"] == r["ks_statistic"]

@@ -209,3 +209,18 @@ def test_incident_record_fields(spark):
     assert r["crisis_id"] == "CRISIS-1700000000" and r["log_id"].startswith("INC-")
     assert r["actions_taken"] == "quarantine attacker id | impute impossible vitals with jitter"
     assert (r["severity"], r["validation_status"], r["mttr_seconds"]) == ("CRITICAL", "STEADY_STATE", None)
+
+
+def test_detect_all_per_batch_with_empty_batch(spark):
+    from datetime import datetime, timedelta
+    base, _ = fx.split_base_inc(fx.vitals(spark, SF_CHECK))
+    stats, hist = bl.baseline_moments(base), bl.baseline_histogram(base)
+    t0 = datetime(2024, 2, 1)
+    rows = [(f"e{i}", "PT-0001", "ICU", 80.0, 120.0, 75.0, 97.0, 36.9, 16.0, None,
+             t0 + timedelta(hours=h, minutes=i)) for h in (0, 1, 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "event_id string, patient_id string, ward string, heart_rate double, "
+                               "bp_systolic double, bp_diastolic double, spo2 double, temperature_c double, "
+                               "respiratory_rate double, diagnosis_code string, ts timestamp_ntz")
+    out = al.detect_all(al.with_batch(df, 3600), stats, hist, keys=["batch_start"], batch_seconds=3600)
+    stalls = [r["batch_start"] for r in out.filter("detector = 'stall'").collect()]
+    assert stalls == [t0 + timedelta(hours=2)]
