@@ -53,7 +53,7 @@ def ks_alert(batch: DataFrame, base_hist: DataFrame, base_stats: DataFrame | Non
     if keys:
         drift = ksm.ks_drift_by(batch, base_hist, keys, alpha=alpha)
     else:
-        drift = ksm.ks_drift(batch, base_hist, alpha=alpha, base_stats=base_stats)
+        drift = ksm.ks_drift(batch, base_hist, alpha=alpha)          # alerts need no baseline means
     agg = _group(drift.filter("drifted"), keys).agg(      # <= one row per field per batch
         F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("d"))
     return _alert(agg.filter(F.col("n") > 0), "ks_test", "n", F.col("d"), keys)
@@ -102,21 +102,69 @@ def with_batch(df: DataFrame, batch_seconds: int, ts: str = "ts", name: str = "b
     return df.withColumn(name, start)
 
 
+def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | None,
+                     include_security: bool, include_stall: bool, ids: list[str] | None) -> DataFrame:
+    """z-score, schema, security and (whole-frame) stall alerts from ONE
+    aggregation over the batch: z flags, schema masks and denylist matches
+    are narrow columns of the same rows, so every figure is a ``count_if``
+    of that single (partially aggregated) pass."""
+    keys = keys or []
+    contracts = contracts or fd.CONTRACTS
+    cols = [c for c in batch.columns if c not in keys]
+    checked = zs.zscore_flags(sd.schema_check(batch, contracts, columns=cols), sm)
+    zfields = [f for f in sm if f in cols]
+    rename = sd.DEFAULT_RENAME
+    names = sorted({rename.get(c, c) for c in cols} | {f for _, fl in contracts for f in fl})
+    ids = ids or [fd.ATTACKER_ID]
+    thr = fd.ZSCORE_THRESHOLD
+    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if("is_anomalous").alias("_zf"),
+            F.count_if("anomaly_detected").alias("_sf")]
+    aggs += [F.count_if(F.col(f"z_{f}") > thr).alias(f"_z_{i}") for i, f in enumerate(zfields)]
+    flagged = F.col("anomaly_detected")
+    aggs += [F.count_if(flagged & F.array_contains("missing_fields", n)).alias(f"_m_{i}") for i, n in enumerate(names)]
+    aggs += [F.count_if(flagged & F.array_contains("extra_fields", n)).alias(f"_e_{i}") for i, n in enumerate(names)]
+    if include_security:
+        aggs += [F.count_if(F.coalesce(F.col("patient_id") == x, F.lit(False))).alias(f"_s_{i}")
+                 for i, x in enumerate(ids)]
+    wide = _group(checked, keys).agg(*aggs)
+
+    def alert(name, count, detail, fire):
+        return F.struct(F.lit(name).alias("detector"), F.lit(DETECTOR_ORDER[name]).alias("priority"),
+                        count.cast("long").alias("signal_count"), detail.alias("detail"), fire.alias("fire"))
+
+    zdetail = F.array_join(F.array_compact(F.array(*[
+        F.when(F.col(f"_z_{i}") > 0, F.lit(f)) for i, f in sorted(enumerate(zfields), key=lambda t: t[1])]
+        or [F.lit(None).cast("string")])), ",")
+    sparts = sorted([(f"extra:{n}", f"_e_{i}") for i, n in enumerate(names)]
+                    + [(f"missing:{n}", f"_m_{i}") for i, n in enumerate(names)])
+    sdetail = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(t)) for t, c in sparts])), ",")
+    cands = [alert("zscore", F.col("_zf"), zdetail, F.col("_zf") > 0),
+             alert("schema_entropy", F.col("_sf"), sdetail, F.col("_sf") > 0)]
+    if include_security:
+        cands += [alert("security", F.col(f"_s_{i}"), F.lit(x), F.col(f"_s_{i}") > fd.DENYLIST_MIN_EVENTS)
+                  for i, x in enumerate(ids)]
+    if include_stall and not keys:
+        cands.append(alert("stall", F.col("_n"), F.lit("No events received"), F.col("_n") == 0))
+    return (wide.select(*keys, F.explode(F.array(*cands)).alias("a"))
+                .filter("a.fire").select(*keys, "a.detector", "a.priority", "a.signal_count", "a.detail"))
+
+
 def detect_all(batch: DataFrame, stats: DataFrame, base_hist: DataFrame, contracts=None,
                include_security: bool = True, include_stall: bool = True,
-               keys: list[str] | None = None, batch_seconds: int | None = None) -> DataFrame:
+               keys: list[str] | None = None, batch_seconds: int | None = None,
+               ids: list[str] | None = None) -> DataFrame:
     """Alert rows ``([keys...,] detector, priority, signal_count, detail)``:
     for the whole frame, or per batch when ``keys`` are given (e.g. the
     ``batch_start`` of ``with_batch`` — then ``batch_seconds`` enables stall
-    alerts for empty batch windows)."""
+    alerts for empty batch windows).
+
+    Two passes over the batch in total: one aggregation yields the z-score,
+    schema, security and stall figures, and the KS collapse is the other."""
     sm = stats_map(stats)
-    parts = []
-    if include_stall and (not keys or batch_seconds):
+    parts = [_one_pass_alerts(batch, sm, contracts, keys, include_security, include_stall, ids),
+             ks_alert(batch, base_hist, stats, keys=keys)]
+    if include_stall and keys and batch_seconds:
         parts.append(stall_alert(batch, keys, batch_seconds))
-    parts += [zscore_alert(batch, sm, keys=keys), ks_alert(batch, base_hist, stats, keys=keys),
-              schema_alert(batch, contracts, keys=keys)]
-    if include_security:
-        parts.append(security_alert(batch, keys=keys))
     return reduce(DataFrame.unionByName, parts)
 
 
