@@ -29,11 +29,18 @@ def _pct(c, q, approx):
 
 
 def fit_baseline(df: DataFrame, fields: list[str] | None = None, approx: bool = False,
-                 digits: int = 4) -> DataFrame:
+                 digits: int = 4, method: str | None = None) -> DataFrame:
     """Per field: count, mean, population std, min, max, p25, p75 (linear
     interpolation), rounded to ``digits``.  Null values are not samples;
-    fields without any sample produce no row."""
+    fields without any sample produce no row.
+
+    Percentile ``method``: ``"ecdf"`` (default) — exact, from collapsed value
+    counts and distributed running sums, safe for continuous fields at any
+    scale; ``"builtin"`` — Spark's ``percentile`` (exact; its buffer holds
+    every distinct value and is merged in one task, fine for bounded
+    resolution); ``"approx"`` (or ``approx=True``) — ``percentile_approx``."""
     fields = fields or NUMERIC_FIELDS
+    method = "approx" if approx else (method or "ecdf")
     aggs = []
     for f in fields:
         c = F.col(f).cast("double")
@@ -43,10 +50,20 @@ def fit_baseline(df: DataFrame, fields: list[str] | None = None, approx: bool =
             F.round(F.stddev_pop(c), digits).alias(f"{f}__std"),
             F.round(F.min(c), digits).alias(f"{f}__min_value"),
             F.round(F.max(c), digits).alias(f"{f}__max_value"),
-            F.round(_pct(c, 0.25, approx), digits).alias(f"{f}__p25"),
-            F.round(_pct(c, 0.75, approx), digits).alias(f"{f}__p75"),
         ]
+        if method != "ecdf":
+            aggs += [F.round(_pct(c, 0.25, method == "approx"), digits).alias(f"{f}__p25"),
+                     F.round(_pct(c, 0.75, method == "approx"), digits).alias(f"{f}__p75")]
     wide = df.agg(*aggs)
+    if method == "ecdf":
+        from healthwatch.operators.ranks import exact_quantiles
+        cols = [c for c in STAT_COLUMNS if c not in ("p25", "p75")]
+        rows = [F.struct(F.lit(f).alias("field"), *[F.col(f"{f}__{s}").alias(s) for s in cols]) for f in fields]
+        stats = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("n_samples") > 0)
+        qv = exact_quantiles(df, fields, [0.25, 0.75]).groupBy("field").agg(
+            F.round(F.max(F.when(F.col("q") == 0.25, F.col("value"))), digits).alias("p25"),
+            F.round(F.max(F.when(F.col("q") == 0.75, F.col("value"))), digits).alias("p75"))
+        return stats.join(F.broadcast(qv), "field", "left").select("field", *STAT_COLUMNS)  # one row per field
     rows = [F.struct(F.lit(f).alias("field"),
                      *[F.col(f"{f}__{s}").alias(s) for s in STAT_COLUMNS])
             for f in fields]

@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 from healthwatch.functions.fields import KS_ALPHA, KS_MIN_SAMPLES
 from healthwatch.functions.columns import combine_rows
 from healthwatch.operators.baseline import melt
+from healthwatch.operators.ranks import SINGLE_BUCKET_VALUES, running_sums
 from healthwatch.session import write_table
 
 DEFAULT_BUCKETS = 64
-# A field with at most this many distinct values is ranked in one window.
-SINGLE_BUCKET_VALUES = 1_000_000
 
 
 def ks_pvalue(lam: Column, terms: int = 100) -> Column:
@@ -56,7 +55,7 @@ def collapse(base_hist: DataFrame, incoming: DataFrame, fields: list[str] | None
                 .agg(F.sum("na").cast("double").alias("na"), F.sum("nb").cast("double").alias("nb")))
 
 
-def field_summary(g: DataFrame, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def field_summary(g: DataFrame, buckets: int = 1) -> DataFrame:
     """One aggregation over the collapsed table per field: sample sizes,
     distinct-value count, sums for the means and (for ``buckets > 1``) the
     bucket bounds at approximate quantiles of the distinct values."""
@@ -72,34 +71,15 @@ def ecdf_gap(g: DataFrame, buckets: int = DEFAULT_BUCKETS, per_field: DataFrame
     """Per field: ``ks = max |F_a(v) - F_b(v)|`` over all distinct v, with
     ``n`` (baseline) and ``m`` (incoming) sample sizes.
 
-    A field with at most ``single_bucket_values`` distinct values (bounded
-    resolution such as 1-decimal vitals: a few thousand values whatever the
-    row count) keeps one bucket; larger fields are cut at the quantile bounds
-    so no window partition exceeds ~1/buckets of the field."""
-    fs = per_field if per_field is not None else field_summary(g, buckets)
-    if buckets > 1:
-        bucket = F.when(F.col("n_values") <= single_bucket_values, F.lit(0)).otherwise(
-            F.size(F.filter("bounds", lambda b: b < F.col("value"))))
-    else:
-        bucket = F.lit(0)
-    gb = (g.join(F.broadcast(fs.select("field", "n", "m", "n_values", *(["bounds"] if buckets > 1 else []))),
-                 "field")                                              # one row per field
-           .withColumn("bucket", bucket))
-    wv = Window.partitionBy("field", "bucket").orderBy("value") \
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if buckets > 1:
-        per_bucket = gb.groupBy("field", "bucket").agg(F.sum("na").alias("ba"), F.sum("nb").alias("bb"))
-        wb = Window.partitionBy("field").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per_bucket.select(                                   # fields x buckets rows
-            "field", "bucket",
-            F.coalesce(F.sum("ba").over(wb), F.lit(0.0)).alias("oa"),
-            F.coalesce(F.sum("bb").over(wb), F.lit(0.0)).alias("ob"))
-        gb = gb.join(F.broadcast(offsets), ["field", "bucket"])
-    else:
-        gb = gb.withColumns({"oa": F.lit(0.0), "ob": F.lit(0.0)})
-    cum = gb.select("field", "n", "m",
-                    F.try_divide(F.col("oa") + F.sum("na").over(wv), F.col("n")).alias("fa"),
-                    F.try_divide(F.col("ob") + F.sum("nb").over(wv), F.col("m")).alias("fb"))
+    Running sums come from ``ranks.running_sums``: a field with bounded
+    resolution (1-decimal vitals: a few thousand values whatever the row
+    count) is ranked in one window, larger fields in quantile ranges so no
+    window partition exceeds ~1/buckets of the field."""
+    fs = per_field if per_field is not None else field_summary(g, 1)
+    r = running_sums(g.select("field", "value", "na", "nb"), ["na", "nb"], buckets, single_bucket_values)
+    cum = (r.join(F.broadcast(fs.select("field", "n", "m")), "field")          # one row per field
+            .select("field", "n", "m", F.try_divide(F.col("cum_na"), F.col("n")).alias("fa"),
+                    F.try_divide(F.col("cum_nb"), F.col("m")).alias("fb")))
     return cum.groupBy("field").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("ks"),
                                     F.max("n").alias("n"), F.max("m").alias("m"))
 
@@ -119,7 +99,7 @@ def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None
     g = write_table(collapse(base_hist, incoming, fields), "ks-collapsed")
     if buckets > 1 and g.count() <= SINGLE_BUCKET_VALUES:     # parquet row count: metadata only
         buckets = 1          # every field fits one ECDF window: skip the bucket stages
-    fs = field_summary(g, buckets)
+    fs = field_summary(g, 1)
     d = ecdf_gap(g, buckets, fs).filter((F.col("m") >= min_samples) & (F.col("n") > 0))
     means = fs.select("field", F.try_divide(F.col("sum_b"), F.col("m")).alias("inc_mean"),
                       F.round(F.try_divide(F.col("sum_a"), F.col("n")), 4).alias("base_mean"))
@@ -237,25 +217,13 @@ def ks_drift_by(incoming: DataFrame, base_hist: DataFrame, keys: list[str], fiel
     g = write_table(g, "ks-points")
     if buckets > 1 and g.count() <= single_bucket_values:
         buckets = 1
-    fs = g.groupBy("field").agg(F.sum("na").alias("n"), F.count(F.lit(1)).alias("n_values"),
-                                *([F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10000)
-                                   .alias("bounds")] if buckets > 1 else []))
-    bucket = (F.when(F.col("n_values") <= single_bucket_values, F.lit(0))
-               .otherwise(F.size(F.filter("bounds", lambda b: b < F.col("value")))) if buckets > 1 else F.lit(0))
-    gb = g.join(F.broadcast(fs), "field").withColumn("bucket", bucket)      # one row per field
-    if buckets > 1:
-        wb = Window.partitionBy("field").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offs = (gb.groupBy("field", "bucket").agg(F.sum("na").alias("ba"))
-                  .select("field", "bucket", F.coalesce(F.sum("ba").over(wb), F.lit(0.0)).alias("oa")))
-        gb = gb.join(F.broadcast(offs), ["field", "bucket"])                 # fields x buckets rows
-    else:
-        gb = gb.withColumn("oa", F.lit(0.0))
-    wv = Window.partitionBy("field", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = (gb.withColumn("cum", F.col("oa") + F.sum("na").over(wv))
-             .filter(F.col("is_point") == 1)
-             .select("field", "value", "n",
-                     F.try_divide(F.col("cum"), F.col("n")).alias("fa"),
-                     F.try_divide(F.col("cum") - F.col("na"), F.col("n")).alias("fa_lt")))
+    n = g.groupBy("field").agg(F.sum("na").alias("n"))                       # one row per field
+    cdf = (running_sums(g, ["na"], buckets, single_bucket_values)
+           .filter(F.col("is_point") == 1)
+           .join(F.broadcast(n), "field")
+           .select("field", "value", "n",
+                   F.try_divide(F.col("cum_na"), F.col("n")).alias("fa"),
+                   F.try_divide(F.col("cum_na") - F.col("na"), F.col("n")).alias("fa_lt")))
     wk = Window.partitionBy(*keys, "field").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     m = F.sum("nb").over(Window.partitionBy(*keys, "field"))
     per = (inc.join(cdf, ["field", "value"])

@@ -167,3 +167,25 @@ def test_ks_by_batch_equals_per_batch_ks(spark, base):
             assert by[(b, f)]["ks_statistic"] == r["ks_statistic"], (b, f)
             assert by[(b, f)]["p_value"] == r["p_value"]
             assert forced[(b, f)]["ks_statistic"] == r["ks_statistic"]
+
+
+def test_exact_quantiles_match_numpy_on_continuous_data(spark):
+    import numpy as np
+    from healthwatch.operators.ranks import exact_quantiles
+    rng = np.random.default_rng(7)
+    a = rng.normal(50, 10, 3000)
+    b = np.round(rng.uniform(0, 5, 3000), 1)            # heavy ties
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    qs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for svals in (0, 10 ** 6):                           # forced range buckets / one window
+        got = {(r["field"], r["q"]): r["value"]
+               for r in exact_quantiles(df, ["a", "b"], qs, buckets=8, single_bucket_values=svals).collect()}
+        for name, arr in (("a", a), ("b", b)):
+            for q in qs:
+                assert abs(got[(name, q)] - float(np.percentile(arr, q * 100))) < 1e-9, (svals, name, q)
+
+
+def test_fit_baseline_methods_agree(spark, base):
+    e = sorted(bl.fit_baseline(base).collect())
+    b = sorted(bl.fit_baseline(base, method="builtin").collect())
+    assert e == b
