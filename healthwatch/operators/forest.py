@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from healthwatch.session import write_table
+
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree long, node long, feature int, threshold double, left long, right long, "
                "size long, depth int")
@@ -159,7 +161,10 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, psi:
         return df.withColumns({"score": F.lit(None).cast("double"), "is_anomaly": F.lit(False),
                                "details": F.lit("Insufficient data")})
     nodes, psi = fit(df, features, trees, psi, seed, row_id, n)
-    scored = score(df, nodes, features, trees, psi).withColumn("neg", -F.col("anomaly_score"))
+    # Scores feed both the contamination cut and the output: write them once
+    # (Python scoring is the expensive step) instead of scoring twice.
+    scored = write_table(score(df, nodes, features, trees, psi), "forest-scores") \
+        .withColumn("neg", -F.col("anomaly_score"))
     q = (F.percentile_approx("neg", contamination, 100000) if approx
          else F.percentile(F.col("neg"), F.lit(contamination)))
     cut = scored.agg(q).scalar()

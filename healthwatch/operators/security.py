@@ -33,21 +33,40 @@ def hot_keys(df: DataFrame, share: float = fd.HOT_KEY_SHARE, key: str = "patient
               .withColumn("is_hot", F.col("event_count") > F.lit(share) * total))
 
 
+def _slide_counts(df: DataFrame, key: str, ts: str, slide_seconds: int) -> DataFrame:
+    """Events per key per slide step — collapsed map-side before any window
+    copies are made, so a burst of many events costs one row per step."""
+    step = slide_seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.groupBy(key, F.floor(us / step).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _window_counts(df: DataFrame, key: str, ts: str, seconds: int, slide_seconds: int) -> DataFrame:
+    """Counts per (key, sliding window): each step's count is added to the
+    ``seconds / slide_seconds`` windows that contain it (window starts are
+    multiples of the slide, as in ``F.window``)."""
+    if seconds % slide_seconds:
+        raise ValueError("window length must be a multiple of the slide")
+    k = seconds // slide_seconds
+    c = _slide_counts(df, key, ts, slide_seconds)
+    shifted = c.select(key, F.explode(F.sequence(F.col("_s") - (k - 1), F.col("_s"))).alias("_w"), "_c")
+    return shifted.groupBy(key, "_w").agg(F.sum("_c").alias("event_count"))
+
+
 def burst_windows(df: DataFrame, events: int = fd.BURST_EVENTS, seconds: int = fd.BURST_SECONDS,
                   slide_seconds: int = 1, key: str = "patient_id", ts: str = "ts") -> DataFrame:
     """Sliding windows (``seconds`` long, ``slide_seconds`` apart) per key
     holding at least ``events`` events."""
-    return (df.groupBy(key, F.window(ts, f"{seconds} seconds", f"{slide_seconds} seconds").alias("w"))
-              .agg(F.count(F.lit(1)).alias("event_count"))
-              .filter(F.col("event_count") >= events)
-              .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                      "event_count"))
+    step = slide_seconds * 1_000_000
+    w = _window_counts(df, key, ts, seconds, slide_seconds).filter(F.col("event_count") >= events)
+    return w.select(key, F.timestamp_micros(F.col("_w") * step).alias("window_start"),
+                    F.timestamp_micros(F.col("_w") * step + seconds * 1_000_000).alias("window_end"),
+                    "event_count")
 
 
 def burst_rate(df: DataFrame, events: int = fd.BURST_EVENTS, seconds: int = fd.BURST_SECONDS,
                slide_seconds: int = 1, key: str = "patient_id", ts: str = "ts") -> DataFrame:
     """Per key: the most events in any sliding window and ``is_burst``."""
-    per_window = df.groupBy(key, F.window(ts, f"{seconds} seconds", f"{slide_seconds} seconds")) \
-                   .agg(F.count(F.lit(1)).alias("n"))
-    return (per_window.groupBy(key).agg(F.max("n").alias("max_events"))
-                      .withColumn("is_burst", F.col("max_events") >= events))
+    w = _window_counts(df, key, ts, seconds, slide_seconds)
+    return (w.groupBy(key).agg(F.max("event_count").alias("max_events"))
+             .withColumn("is_burst", F.col("max_events") >= events))

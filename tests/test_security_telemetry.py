@@ -86,3 +86,17 @@ def test_stall_gaps_across_super_buckets(spark):
     for sup in (60, 3600, 86400):
         got = sorted((r["gap_start"], r["gap_end"]) for r in tm.stall_gaps(df, 30, super_seconds=sup).collect())
         assert got == _brute_gaps(ts, 30), sup
+
+
+def test_burst_windows_equal_spark_sliding_windows(spark):
+    import random
+    rnd = random.Random(3)
+    t0 = datetime(2024, 1, 1)
+    rows = [(rnd.choice("ABC"), t0 + timedelta(milliseconds=rnd.randint(0, 20_000))) for _ in range(600)]
+    df = spark.createDataFrame(rows, "patient_id string, ts timestamp")
+    ours = sorted((r["patient_id"], r["window_start"], r["event_count"])
+                  for r in sec.burst_windows(df, events=1, seconds=3, slide_seconds=1).collect())
+    ref = sorted((r["patient_id"], r["w"]["start"], r["n"]) for r in
+                 df.groupBy("patient_id", F.window("ts", "3 seconds", "1 second").alias("w"))
+                   .agg(F.count(F.lit(1)).alias("n")).collect())
+    assert ours == ref
