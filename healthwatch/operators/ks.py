@@ -106,7 +106,9 @@ def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None
     if base_stats is not None:
         means = means.drop("base_mean").join(
             F.broadcast(base_stats.select("field", F.col("mean").alias("base_mean"))), "field")
-    if method == "exact":
+    if method in ("exact", "auto"):
+        # exact lattice-path p where both samples have <= exact_max_n values
+        # ("auto" = the common library default), asymptotic beyond
         d = _exact_p(d, exact_max_n)
     else:
         lam = F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))

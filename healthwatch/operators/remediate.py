@@ -126,3 +126,19 @@ def reset_table(spark, path: str) -> DataFrame:
     empty = spark.createDataFrame([], SINK_DDL)
     empty.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def repair_vitals(df: DataFrame, mode: str = "jitter", key: str = "patient_id",
+                  method: str = "murmur3") -> DataFrame:
+    """Repair impossible vitals and missing spo2 in one call.
+
+    ``jitter`` (default): all three vitals of an impossible row get per-key
+    jitter, then NULL spo2 gets jitter; ``constant``: the runbook constants;
+    ``delete``: impossible rows are removed, then NULL spo2 gets jitter."""
+    if mode == "jitter":
+        return impute_null(impute_impossible(df, key, method), "spo2", key, method)
+    if mode == "constant":
+        return impute_constant(df)
+    if mode == "delete":
+        return impute_null(drop_impossible(df), "spo2", key, method)
+    raise ValueError(f"unknown repair mode {mode!r}")

@@ -224,3 +224,14 @@ def test_detect_all_per_batch_with_empty_batch(spark):
     out = al.detect_all(al.with_batch(df, 3600), stats, hist, keys=["batch_start"], batch_seconds=3600)
     stalls = [r["batch_start"] for r in out.filter("detector = 'stall'").collect()]
     assert stalls == [t0 + timedelta(hours=2)]
+
+
+def test_repair_vitals_modes(spark):
+    df = spark.createDataFrame([("PT-1", 250.0, 120.0, 98.0), ("PT-2", 80.0, 120.0, None)], VIT)
+    j = {r["patient_id"]: r for r in rm.repair_vitals(df).collect()}
+    assert j["PT-1"]["heart_rate"] < 79 and j["PT-2"]["spo2"] is not None
+    assert rm.repair_vitals(df, "delete").count() == 1
+    c = {r["patient_id"]: r for r in rm.repair_vitals(df, "constant").collect()}
+    assert c["PT-1"]["heart_rate"] == 80.0 and c["PT-2"]["spo2"] == 97.6
+    with pytest.raises(ValueError):
+        rm.repair_vitals(df, "bogus")
