@@ -195,7 +195,9 @@ def q_incident_record(spark, sf_dir):
     from healthwatch.operators import triage as tr
     base, inc = _halves(spark, sf_dir)
     stats, hist = bl.baseline_moments(base), bl.baseline_histogram(base)
-    alerts = al.detect_all(inc, stats, hist)
+    # the alert table (a few rows) feeds both the packet and the plan: write it once
+    from healthwatch.session import write_table
+    alerts = write_table(al.detect_all(inc, stats, hist), "alerts")
     kept, _ = rm.quarantine(inc, ATT)
     fixed = rm.impute_null(rm.drop_impossible(kept), "spo2", method="md5")
     rec = tr.incident_record(tr.crisis_packet(alerts), tr.action_plan(alerts), al.validate(fixed, stats, hist))

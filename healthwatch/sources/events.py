@@ -49,17 +49,20 @@ def latest_n(df: DataFrame, order: list[str | Column], n: int = 50, by: list[str
 
 def decode_events(df: DataFrame, col: str = "raw", schema: T.StructType = EVENT_JSON_SCHEMA,
                   keep_corrupt: bool = False) -> DataFrame:
-    """Parse JSON text permissively; malformed rows land in ``_corrupt`` and
-    are skipped (or kept with ``keep_corrupt``).  Key presence is kept as
-    ``keys`` (the object's key names)."""
-    parsed = df.select("*", F.from_json(F.col(col), schema,
-                                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-                       .alias("_j"), F.json_object_keys(F.col(col)).alias("keys"))
+    """Parse JSON text once into a ``map<string,string>``: its keys are the
+    present keys (a key with a JSON null is still present) and the known
+    fields are cast from it.  Malformed rows parse to NULL and are skipped,
+    or kept with ``keep_corrupt`` (fields NULL, ``_corrupt`` = the text)."""
+    m = F.from_json(F.col(col), T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"})
+    parsed = df.withColumn("_m", m)
+    names = [f for f in schema.fields if f.name != "_corrupt"]
     keep = [c for c in df.columns if c != col and c not in schema.fieldNames()]
-    out = parsed.select(*keep, "_j.*", "keys")
+    out = parsed.select(*keep, *[F.col("_m")[f.name].cast(f.dataType).alias(f.name) for f in names],
+                        F.when(F.col("_m").isNull(), F.col(col)).alias("_corrupt"),
+                        F.array_sort(F.map_keys("_m")).alias("keys"))
     if keep_corrupt:
         return out
-    return out.filter(F.col("_corrupt").isNull() & F.col("keys").isNotNull()).drop("_corrupt")
+    return out.filter(F.col("keys").isNotNull()).drop("_corrupt")
 
 
 def corrupt_count(df: DataFrame, col: str = "raw") -> DataFrame:

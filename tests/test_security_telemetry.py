@@ -100,3 +100,13 @@ def test_burst_windows_equal_spark_sliding_windows(spark):
                  df.groupBy("patient_id", F.window("ts", "3 seconds", "1 second").alias("w"))
                    .agg(F.count(F.lit(1)).alias("n")).collect())
     assert ours == ref
+
+
+def test_decode_events_presence_and_corrupt(spark):
+    rows = [('{"event_id":"a","heart_rate":72.5,"spo2":null}',), ('{"event_id":"b","heart_rate":8',), ("",)]
+    df = spark.createDataFrame(rows, "raw string")
+    ok = ev.decode_events(df).collect()
+    assert len(ok) == 1 and ok[0]["heart_rate"] == 72.5 and ok[0]["keys"] == ["event_id", "heart_rate", "spo2"]
+    allrows = ev.decode_events(df, keep_corrupt=True).collect()
+    assert sum(r["_corrupt"] is not None for r in allrows) >= 1
+    assert ev.corrupt_count(df).first()["corrupt_rows"] == 2
