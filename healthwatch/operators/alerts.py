@@ -117,15 +117,16 @@ def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | No
     names = sorted({rename.get(c, c) for c in cols} | {f for _, fl in contracts for f in fl})
     ids = ids or [fd.ATTACKER_ID]
     thr = fd.ZSCORE_THRESHOLD
-    aggs = [F.count(F.lit(1)).alias("_n"), F.count_if("is_anomalous").alias("_zf"),
-            F.count_if("anomaly_detected").alias("_sf")]
-    aggs += [F.count_if(F.col(f"z_{f}") > thr).alias(f"_z_{i}") for i, f in enumerate(zfields)]
-    flagged = F.col("anomaly_detected")
-    aggs += [F.count_if(flagged & F.array_contains("missing_fields", n)).alias(f"_m_{i}") for i, n in enumerate(names)]
-    aggs += [F.count_if(flagged & F.array_contains("extra_fields", n)).alias(f"_e_{i}") for i, n in enumerate(names)]
+    q, lit = sd._q, sd._s
+    aggs = ["count(1) AS _n", "count_if(is_anomalous) AS _zf", "count_if(anomaly_detected) AS _sf"]
+    aggs += [f"count_if({q('z_' + f)} > {thr}) AS _z_{i}" for i, f in enumerate(zfields)]
+    aggs += [f"count_if(anomaly_detected AND array_contains(missing_fields, {lit(n)})) AS _m_{i}"
+             for i, n in enumerate(names)]
+    aggs += [f"count_if(anomaly_detected AND array_contains(extra_fields, {lit(n)})) AS _e_{i}"
+             for i, n in enumerate(names)]
     if include_security:
-        aggs += [F.count_if(F.coalesce(F.col("patient_id") == x, F.lit(False))).alias(f"_s_{i}")
-                 for i, x in enumerate(ids)]
+        aggs += [f"count_if(coalesce(patient_id = {lit(x)}, false)) AS _s_{i}" for i, x in enumerate(ids)]
+    aggs = [F.expr(a) for a in aggs]
     wide = _group(checked, keys).agg(*aggs)
 
     def alert(name, count, detail, fire):

@@ -48,71 +48,74 @@ def contract_distance(present: Column, expected: list[str]) -> tuple[Column, Col
     return dist, rate, missing, extra
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _s(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _mask_columns(df: DataFrame, contracts, threshold, rename, columns) -> DataFrame | None:
     """Bitmask form for table presence: bit i = column i is non-null.  Set
     algebra becomes integer ops (``bit_count(E & ~P)``), so per-row cost is a
-    few machine instructions instead of array building and sorting."""
+    few machine instructions instead of array building and sorting.  The
+    expressions are written as SQL text (one parse each) to keep plan
+    construction cheap."""
     columns = columns or df.columns
     names = [rename.get(c, c) for c in columns]
     if len(names) > 62:
         return None
-    bit = {n: 1 << i for i, n in enumerate(names)}
-    pmask = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-                 for i, c in enumerate(columns)), F.lit(0).cast("long"))
-    out = df.withColumn("_pm", pmask)
-    P = F.col("_pm")
-    d_cols, miss_masks, extra_masks, absent, rates = [], [], [], [], []
     full = (1 << len(names)) - 1
-
-    def L(v):
-        return F.lit(v).cast("long")
-
-    notP = F.bitwise_not(P)
+    bit = {n: 1 << i for i, n in enumerate(names)}
+    pm = " + ".join(f"CASE WHEN {_q(c)} IS NOT NULL THEN {1 << i} ELSE 0 END" for i, c in enumerate(columns))
+    out = df.withColumn("_pm", F.expr(f"CAST({pm or '0'} AS BIGINT)"))
+    d_cols, miss, extra, absent, rates = [], [], [], [], []
     for ver, fields in contracts:
         exp = set(fields)
         e_mask = sum(bit[f] for f in exp if f in bit)
         k_absent = sorted(f for f in exp if f not in bit)        # never a column: always missing
-        mm = L(e_mask).bitwiseAND(notP)
-        em = P.bitwiseAND(L(~e_mask & full))
-        miss = F.bit_count(mm) + F.lit(len(k_absent))
-        extra = F.bit_count(em)
+        mm = f"(CAST({e_mask} AS BIGINT) & ~_pm)"
+        em = f"(_pm & CAST({~e_mask & full} AS BIGINT))"
         n_exp = len(exp)
         if n_exp == 0:
-            dist, rate = F.lit(0.0), F.lit(0.0)
+            dist, rate = "CAST(0 AS DOUBLE)", "CAST(0 AS DOUBLE)"
         else:
-            dist = F.round((miss + extra) / (F.lit(n_exp) + extra), 4)
-            rate = F.round(F.bit_count(L(e_mask).bitwiseAND(P)) / F.lit(n_exp), 4)
-        out = out.withColumn(f"d_{ver}", dist)
+            dist = (f"ROUND((bit_count({mm}) + {len(k_absent)} + bit_count({em})) / "
+                    f"CAST({n_exp} + bit_count({em}) AS DOUBLE), 4)")
+            rate = f"ROUND(bit_count(CAST({e_mask} AS BIGINT) & _pm) / CAST({n_exp} AS DOUBLE), 4)"
         d_cols.append(f"d_{ver}")
-        miss_masks.append(mm)
-        extra_masks.append(em)
+        miss.append(mm)
+        extra.append(em)
         absent.append(k_absent)
         rates.append(rate)
-    bi, bd = F.lit(0), F.col(d_cols[0])
+        out = out.withColumn(f"d_{ver}", F.expr(dist))
+    bi = "0"
+    bd = d_cols[0]
     for idx in range(1, len(d_cols)):
-        better = F.col(d_cols[idx]) < bd                     # strict: ties keep the earlier version
-        bi = F.when(better, F.lit(idx)).otherwise(bi)
-        bd = F.least(bd, F.col(d_cols[idx]))
-    out = out.withColumns({"_bi": bi, "distance": bd})
+        bi = f"CASE WHEN {d_cols[idx]} < {bd} THEN {idx} ELSE {bi} END"    # strict: ties keep the earlier
+        bd = f"LEAST({bd}, {d_cols[idx]})"
+    out = out.withColumns({"_bi": F.expr(bi), "distance": F.expr(bd)})
 
     def pick(exprs):
         e = exprs[0]
         for idx in range(1, len(exprs)):
-            e = F.when(F.col("_bi") == idx, exprs[idx]).otherwise(e)
+            e = f"CASE WHEN _bi = {idx} THEN {exprs[idx]} ELSE {e} END"
         return e
 
-    def names_of(mask, extra_names):
-        arr = F.array_compact(F.array(*[F.when(mask.bitwiseAND(L(bit[n])) != 0, F.lit(n)) for n in names]))
-        return F.array_sort(F.concat(arr, extra_names))
+    def names_of(mask_col, extra_names):
+        items = ", ".join(f"CASE WHEN ({mask_col} & {bit[n]}) <> 0 THEN {_s(n)} END" for n in names)
+        arr = f"array_compact(array({items}))"
+        return F.expr(f"array_sort(concat({arr}, {extra_names}))")
 
-    out = out.withColumns({"_mm": pick(miss_masks), "_em": pick(extra_masks)})
-    no_names = F.array().cast("array<string>")
-    absent_arr = pick([F.array(*[F.lit(a) for a in ab]) if ab else no_names for ab in absent])
+    out = out.withColumns({"_mm": F.expr(pick(miss)), "_em": F.expr(pick(extra))})
+    none = "CAST(array() AS ARRAY<STRING>)"
+    absent_arr = pick([f"array({', '.join(_s(a) for a in ab)})" if ab else none for ab in absent])
     return (out.withColumns({
-                "best_schema": pick([F.lit(v) for v, _ in contracts]),
-                "match_rate": pick(rates),
-                "missing_fields": names_of(F.col("_mm"), absent_arr),
-                "extra_fields": names_of(F.col("_em"), no_names),
+                "best_schema": F.expr(pick([_s(v) for v, _ in contracts])),
+                "match_rate": F.expr(pick(rates)),
+                "missing_fields": names_of("_mm", absent_arr),
+                "extra_fields": names_of("_em", none),
                 "anomaly_detected": F.col("distance") > threshold})
                .drop("_pm", "_bi", "_mm", "_em"))
 

@@ -24,26 +24,41 @@ def zscore(value: Column, mean: Column | float, std: Column | float) -> Column:
             .otherwise(F.abs((value - mean) / std))
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def zscore_flags(df: DataFrame, stats: DataFrame | dict, threshold: float = ZSCORE_THRESHOLD,
                  fields: list[str] | None = None) -> DataFrame:
     """Add per-field ``z_<f>`` plus ``anomalous_fields`` (sorted names with
     unrounded z > threshold), ``n_anomalous``, ``max_zscore`` (rounded 2) and
     ``is_anomalous``.  Fields absent from the frame or the baseline are
-    skipped; a null value is never flagged."""
+    skipped; a null value is never flagged.  The expressions are SQL text
+    with the baseline inlined as literals (one parse each, no join)."""
     sm = stats if isinstance(stats, dict) else stats_map(stats)
     fields = [f for f in (fields or list(sm)) if f in sm and f in df.columns]
-    zcols = {f: zscore(F.col(f).cast("double"), *sm[f]) for f in fields}
-    out = df.withColumns({f"z_{f}": z for f, z in zcols.items()})
-    flagged = F.array_compact(F.array(*[
-        F.when(F.col(f"z_{f}") > threshold, F.lit(f)) for f in fields] or [F.lit(None).cast("string")]))
-    maxz = F.greatest(*[F.when(F.col(f"z_{f}") > threshold, F.round(F.col(f"z_{f}"), 2))
-                        for f in fields]) if len(fields) > 1 else (
-        F.when(F.col(f"z_{fields[0]}") > threshold, F.round(F.col(f"z_{fields[0]}"), 2))
-        if fields else F.lit(None).cast("double"))
-    return (out.withColumn("anomalous_fields", F.array_sort(flagged))
-               .withColumn("n_anomalous", F.size("anomalous_fields"))
-               .withColumn("is_anomalous", F.col("n_anomalous") > 0)
-               .withColumn("max_zscore", maxz))
+
+    def z(f):
+        mean, std = sm[f]
+        v = f"CAST({_q(f)} AS DOUBLE)"
+        if std is None or mean is None:
+            return "CAST(NULL AS DOUBLE)"
+        return (f"CASE WHEN {v} IS NULL THEN CAST(NULL AS DOUBLE) WHEN CAST({std!r} AS DOUBLE) = 0 "
+                f"THEN CAST(0 AS DOUBLE) ELSE abs(({v} - CAST({mean!r} AS DOUBLE)) / CAST({std!r} AS DOUBLE)) END")
+
+    out = df.withColumns({f"z_{f}": F.expr(z(f)) for f in fields})
+    zc = [_q(f"z_{f}") for f in fields]
+    if fields:
+        names = sorted(zip(fields, zc))
+        flagged = "array(" + ", ".join(f"CASE WHEN {c} > {threshold!r} THEN '{f}' END" for f, c in names) + ")"
+        maxz = "greatest(" + ", ".join(f"CASE WHEN {c} > {threshold!r} THEN round({c}, 2) END" for c in zc) + ")" \
+            if len(zc) > 1 else f"CASE WHEN {zc[0]} > {threshold!r} THEN round({zc[0]}, 2) END"
+    else:
+        flagged, maxz = "CAST(array() AS ARRAY<STRING>)", "CAST(NULL AS DOUBLE)"
+    return (out.withColumn("anomalous_fields", F.expr(f"array_compact({flagged})"))
+               .withColumns({"n_anomalous": F.size("anomalous_fields"),
+                             "is_anomalous": F.size("anomalous_fields") > 0,
+                             "max_zscore": F.expr(maxz)}))
 
 
 def zscore_summary(flags: DataFrame, keys: list[str] | None = None) -> DataFrame:
