@@ -45,8 +45,9 @@ def health_score(kpis: DataFrame, weights: dict | None = None, bands=fd.HEALTH_B
 
 
 def throughput(df: DataFrame, ts: str = "ts", unit: str = "hour") -> DataFrame:
-    """Events per time bucket."""
-    return df.groupBy(F.date_trunc(unit, ts).alias("bucket")).agg(F.count(F.lit(1)).alias("events"))
+    """Events per time bucket (the bucket keeps the type of ``ts``)."""
+    bucket = F.date_trunc(unit, ts).cast(df.schema[ts].dataType)
+    return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("events"))
 
 
 def histogram(df: DataFrame, bins: dict | None = None) -> DataFrame:

@@ -100,7 +100,8 @@ def split_base_inc(v: DataFrame) -> tuple[DataFrame, DataFrame]:
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly telemetry series: consumer lag, warehouse latency, cpu, memory."""
     ev = table(spark, sf_dir, "events")
-    return (ev.groupBy(F.date_trunc("hour", "ts").alias("ts"))
+    # date_trunc returns a session-zone TIMESTAMP: keep the event clock's NTZ type
+    return (ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
               .agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("consumer_lag"),
                    (F.max("value") / F.lit(100.0)).alias("db_latency_sec"),
                    F.avg("value").alias("cpu_percent"),

@@ -36,9 +36,17 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert rows_only <= {"stream_detect", "isolation_forest"}
 
 
+SPARK_TO_DUCK = {"StringType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+                 "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "FloatType": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(se.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
-    pdf = se.queries()[name](spark, SF_SMOKE).toPandas()
+    sdf = se.queries()[name](spark, SF_SMOKE)
+    stypes = {f.name: SPARK_TO_DUCK.get(type(f.dataType).__name__, str(f.dataType)) for f in sdf.schema.fields}
+    otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({se.oracle_sql()[name]})").fetchall()}
+    assert stypes == otypes
+    pdf = sdf.toPandas()
     odf = con.execute(se.oracle_sql()[name]).df()
     sc, sr = rows_of(pdf)
     oc, orr = rows_of(odf)
