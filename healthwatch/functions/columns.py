@@ -20,12 +20,6 @@ def combine_rows(*frames: DataFrame) -> DataFrame:
     return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
-def nulls_to_missing(names: list[str], cols: list[Column]) -> Column:
-    """Sorted array of the names whose column is non-null (key presence)."""
-    return F.array_sort(F.array_compact(F.array(*[
-        F.when(c.isNotNull(), F.lit(n)) for n, c in zip(names, cols)])))
-
-
 def join_or_null(arr: Column, sep: str = ",") -> Column:
     """``array_join`` that yields NULL (not "") for an empty array."""
     return F.when(F.size(arr) > 0, F.array_join(arr, sep))

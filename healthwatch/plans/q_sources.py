@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from healthwatch.functions import fields as fd
 from healthwatch.functions import predicates as pr
-from healthwatch.functions.columns import join_or_null
 from healthwatch.operators.schema_drift import present_fields
 from healthwatch.plans import sqlgen as sg
 from healthwatch.plans.registry import register

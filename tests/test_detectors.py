@@ -189,3 +189,14 @@ def test_fit_baseline_methods_agree(spark, base):
     e = sorted(bl.fit_baseline(base).collect())
     b = sorted(bl.fit_baseline(base, method="builtin").collect())
     assert e == b
+
+
+def test_zscore_column_and_ks_summary(spark, base):
+    df = spark.createDataFrame([(90.0,), (None,)], "v double")
+    got = [r["z"] for r in df.select(zs.zscore(F.col("v"), 80.0, 5.0).alias("z")).collect()]
+    assert got == [2.0, None]
+    assert df.select(zs.zscore(F.col("v"), 80.0, 0.0).alias("z")).first()["z"] == 0.0
+    rows = [r[:3] + (250.0 + i % 50,) + r[4:] for i, r in enumerate(normal_rows(60, 9000))]
+    inc = spark.createDataFrame(rows, SCHEMA)
+    summ = ks.ks_summary(ks.ks_drift(inc, bl.baseline_histogram(base)), inc).first()
+    assert summ["events_tested"] == 60 and summ["drift_detected"] and "heart_rate" in summ["drifted_fields"]

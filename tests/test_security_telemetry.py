@@ -110,3 +110,11 @@ def test_decode_events_presence_and_corrupt(spark):
     allrows = ev.decode_events(df, keep_corrupt=True).collect()
     assert sum(r["_corrupt"] is not None for r in allrows) >= 1
     assert ev.corrupt_count(df).first()["corrupt_rows"] == 2
+
+
+def test_iot_projection_with_insert_time(spark):
+    df = spark.createDataFrame([("PT-1", 80.0, 97.0, datetime(2024, 1, 1), "x")],
+                               "patient_id string, heart_rate double, spo2 double, ts timestamp, ward string")
+    out = ev.with_insert_time(ev.iot_projection(df))
+    assert out.columns == ["patient_id", "heart_rate", "spo2", "timestamp", "inserted_at"]
+    assert out.first()["inserted_at"] is not None
