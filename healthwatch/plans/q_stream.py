@@ -54,8 +54,15 @@ def q_stream_sessions(spark, sf_dir):
     return out.select("ward", _ntz("s.start").alias("session_start"), _ntz("s.end").alias("session_end"), "events")
 
 
-# ---------------------------------------------------------------- J1 (rows-only check)
-@register("stream_detect")
+# ---------------------------------------------------------------- J1
+# One input file is one micro-batch (no maxFilesPerTrigger), so the appended
+# alerts equal the batch fan-in over the incoming half with batch id 0.
+def _stream_detect_sql():
+    from healthwatch.plans.q_triage import ALERT_CTES
+    return f"WITH {ALERT_CTES}\nSELECT *, CAST(0 AS BIGINT) AS batch_id FROM alerts"
+
+
+@register("stream_detect", sql=_stream_detect_sql(), views=("base", "inc"))
 def q_stream_detect(spark, sf_dir):
     base, _ = fx.split_base_inc(fx.vitals(spark, sf_dir))
     cut = F.lit(fx.INC_START).cast("timestamp_ntz")

@@ -33,7 +33,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(se.queries()) - set(se.oracle_sql())
-    assert rows_only <= {"stream_detect", "isolation_forest"}
+    assert rows_only <= {"isolation_forest"}
 
 
 SPARK_TO_DUCK = {"StringType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
