@@ -50,8 +50,12 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_spark()
     if args.cmd == "baseline":
         df = spark.read.parquet(args.table)
-        bl.fit_baseline(df, approx=args.approx).write.mode("overwrite").parquet(os.path.join(args.out, "stats"))
-        bl.baseline_histogram(df).write.mode("overwrite").parquet(os.path.join(args.out, "histogram"))
+        if args.approx:
+            stats, hist = bl.fit_baseline(df, approx=True), bl.baseline_histogram(df)
+        else:
+            stats, hist = bl.fit(df)            # one scan: stats and KS sample from the same collapse
+        hist.write.mode("overwrite").parquet(os.path.join(args.out, "histogram"))
+        stats.write.mode("overwrite").parquet(os.path.join(args.out, "stats"))
     elif args.cmd == "detect":
         stats, hist = _baseline(spark, args.baseline)
         alerts = al.detect_all(spark.read.parquet(args.table), stats, hist)

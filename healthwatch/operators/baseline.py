@@ -41,6 +41,8 @@ def fit_baseline(df: DataFrame, fields: list[str] | None = None, approx: bool =
     resolution); ``"approx"`` (or ``approx=True``) — ``percentile_approx``."""
     fields = fields or NUMERIC_FIELDS
     method = "approx" if approx else (method or "ecdf")
+    if method == "ecdf":
+        return fit(df, fields, digits)[0]
     aggs = []
     for f in fields:
         c = F.col(f).cast("double")
@@ -51,19 +53,9 @@ def fit_baseline(df: DataFrame, fields: list[str] | None = None, approx: bool =
             F.round(F.min(c), digits).alias(f"{f}__min_value"),
             F.round(F.max(c), digits).alias(f"{f}__max_value"),
         ]
-        if method != "ecdf":
-            aggs += [F.round(_pct(c, 0.25, method == "approx"), digits).alias(f"{f}__p25"),
-                     F.round(_pct(c, 0.75, method == "approx"), digits).alias(f"{f}__p75")]
+        aggs += [F.round(_pct(c, 0.25, method == "approx"), digits).alias(f"{f}__p25"),
+                 F.round(_pct(c, 0.75, method == "approx"), digits).alias(f"{f}__p75")]
     wide = df.agg(*aggs)
-    if method == "ecdf":
-        from healthwatch.operators.ranks import exact_quantiles
-        cols = [c for c in STAT_COLUMNS if c not in ("p25", "p75")]
-        rows = [F.struct(F.lit(f).alias("field"), *[F.col(f"{f}__{s}").alias(s) for s in cols]) for f in fields]
-        stats = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter(F.col("n_samples") > 0)
-        qv = exact_quantiles(df, fields, [0.25, 0.75]).groupBy("field").agg(
-            F.round(F.max(F.when(F.col("q") == 0.25, F.col("value"))), digits).alias("p25"),
-            F.round(F.max(F.when(F.col("q") == 0.75, F.col("value"))), digits).alias("p75"))
-        return stats.join(F.broadcast(qv), "field", "left").select("field", *STAT_COLUMNS)  # one row per field
     rows = [F.struct(F.lit(f).alias("field"),
                      *[F.col(f"{f}__{s}").alias(s) for s in STAT_COLUMNS])
             for f in fields]
@@ -110,3 +102,33 @@ def stats_map(stats: DataFrame, max_fields: int = 1024) -> dict[str, tuple[float
     if len(rows) > max_fields:
         raise ValueError(f"baseline has more than {max_fields} fields")
     return {r["field"]: (r["mean"], r["std"]) for r in rows}
+
+
+def stats_from_histogram(hist: DataFrame, digits: int = 4, quantiles: bool = True) -> DataFrame:
+    """Baseline statistics from the collapsed ``(field, value, n)`` table:
+    count, mean, population std (two passes over the small table, so no
+    cancellation), min, max and exact p25/p75."""
+    from healthwatch.operators.ranks import quantiles_from_counts
+    a = hist.groupBy("field").agg(F.sum("n").alias("_n"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("_mean"),
+                                  F.min("value").alias("_min"), F.max("value").alias("_max"))
+    m2 = (hist.join(F.broadcast(a.select("field", "_mean")), "field")          # one row per field
+              .groupBy("field").agg(F.sum(F.col("n") * (F.col("value") - F.col("_mean")) ** 2).alias("_m2")))
+    st = a.join(m2, "field").select(
+        "field", F.col("_n").cast("long").alias("n_samples"), F.round("_mean", digits).alias("mean"),
+        F.round(F.sqrt(F.col("_m2") / F.col("_n")), digits).alias("std"),
+        F.round("_min", digits).alias("min_value"), F.round("_max", digits).alias("max_value"))
+    if not quantiles:
+        return st
+    qv = quantiles_from_counts(hist.withColumnRenamed("n", "c"), [0.25, 0.75]).groupBy("field").agg(
+        F.round(F.max(F.when(F.col("q") == 0.25, F.col("value"))), digits).alias("p25"),
+        F.round(F.max(F.when(F.col("q") == 0.75, F.col("value"))), digits).alias("p75"))
+    return st.join(F.broadcast(qv), "field", "left").select("field", *STAT_COLUMNS)   # one row per field
+
+
+def fit(df: DataFrame, fields: list[str] | None = None, digits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(stats, histogram) from ONE scan of the clean table: the collapsed
+    value counts are written once and every statistic — and the KS baseline
+    sample — is derived from them."""
+    from healthwatch.session import write_table
+    hist = write_table(baseline_histogram(df, fields), "baseline-histogram")
+    return stats_from_histogram(hist, digits), hist

@@ -48,10 +48,17 @@ def exact_quantiles(df: DataFrame, fields: list[str], qs: list[float], buckets:
     (position ``(N-1) q`` in the sorted sample), computed from the collapsed
     value counts — memory per task is bounded whatever the row count."""
     g = write_table(melt(df, fields).groupBy("field", "value").agg(F.count(F.lit(1)).alias("c")), "quantiles")
+    return quantiles_from_counts(g, qs, buckets, single_bucket_values)
+
+
+def quantiles_from_counts(g: DataFrame, qs: list[float], buckets: int = DEFAULT_BUCKETS,
+                          single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
+    """Exact quantiles from a collapsed ``(field, value, c)`` table."""
     if buckets > 1 and g.count() <= single_bucket_values:       # parquet row count: metadata only
         buckets = 1
     n = g.groupBy("field").agg(F.sum("c").alias("_n"))           # one row per field
-    r = running_sums(g, ["c"], buckets, single_bucket_values).join(F.broadcast(n), "field")
+    r = running_sums(g.select("field", "value", "c"), ["c"], buckets, single_bucket_values) \
+        .join(F.broadcast(n), "field")
     start, end = F.col("cum_c") - F.col("c"), F.col("cum_c")    # 0-based ranks [start, end)
     hits = []
     for q in qs:
