@@ -125,10 +125,12 @@ def stats_from_histogram(hist: DataFrame, digits: int = 4, quantiles: bool = Tru
     return st.join(F.broadcast(qv), "field", "left").select("field", *STAT_COLUMNS)   # one row per field
 
 
-def fit(df: DataFrame, fields: list[str] | None = None, digits: int = 4) -> tuple[DataFrame, DataFrame]:
+def fit(df: DataFrame, fields: list[str] | None = None, digits: int = 4,
+        quantiles: bool = True) -> tuple[DataFrame, DataFrame]:
     """(stats, histogram) from ONE scan of the clean table: the collapsed
     value counts are written once and every statistic — and the KS baseline
-    sample — is derived from them."""
+    sample — is derived from them.  ``quantiles=False`` skips p25/p75 (the
+    detectors need mean and std only)."""
     from healthwatch.session import write_table
     hist = write_table(baseline_histogram(df, fields), "baseline-histogram")
-    return stats_from_histogram(hist, digits), hist
+    return stats_from_histogram(hist, digits, quantiles), hist

@@ -112,7 +112,8 @@ FROM p JOIN mn ON p.field = mn.field JOIN st ON p.field = st.field
 def q_ks_drift(spark, sf_dir):
     from healthwatch.operators import ks
     base, inc = _halves(spark, sf_dir)
-    return ks.ks_drift(inc, bl.baseline_histogram(base), base_stats=bl.baseline_moments(base))
+    stats, hist = bl.fit(base, quantiles=False)     # one scan of the clean half
+    return ks.ks_drift(inc, hist, base_stats=stats)
 
 
 # ---------------------------------------------------------------- E5-E7

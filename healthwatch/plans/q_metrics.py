@@ -27,7 +27,7 @@ kpi AS (SELECT (SELECT COUNT(*) FROM inc) AS events,
 
 def _kpis(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
-    return mt.pipeline_kpis(inc, bl.baseline_moments(base), bl.baseline_histogram(base))
+    return mt.pipeline_kpis(inc, *bl.fit(base, quantiles=False))
 
 
 # ---------------------------------------------------------------- D2

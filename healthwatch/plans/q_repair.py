@@ -110,7 +110,7 @@ def q_validate_pipeline(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
     kept, _ = rm.quarantine(inc, ATT)
     fixed = rm.impute_null(rm.drop_impossible(kept), "spo2", method="md5")
-    out = al.validate(fixed, bl.baseline_moments(base), bl.baseline_histogram(base))
+    out = al.validate(fixed, *bl.fit(base, quantiles=False))
     return out.withColumn("n_failures", F.col("n_failures").cast("long"))
 
 
@@ -194,7 +194,7 @@ FROM (WITH {qt.ALERT_CTES} {qt.PACKET_SELECT}) pk,
 def q_incident_record(spark, sf_dir):
     from healthwatch.operators import triage as tr
     base, inc = _halves(spark, sf_dir)
-    stats, hist = bl.baseline_moments(base), bl.baseline_histogram(base)
+    stats, hist = bl.fit(base, quantiles=False)
     # the alert table (a few rows) feeds both the packet and the plan: write it once
     from healthwatch.session import write_table
     alerts = write_table(al.detect_all(inc, stats, hist), "alerts")

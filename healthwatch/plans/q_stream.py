@@ -67,7 +67,7 @@ def q_stream_detect(spark, sf_dir):
     base, _ = fx.split_base_inc(fx.vitals(spark, sf_dir))
     cut = F.lit(fx.INC_START).cast("timestamp_ntz")
     stream = fx.vitals_from_events(sp.read_table_stream(spark, sf_dir, "events")).filter(F.col("ts") >= cut)
-    return sp.stream_detect(stream, bl.baseline_moments(base), bl.baseline_histogram(base))
+    return sp.stream_detect(stream, *bl.fit(base, quantiles=False))
 
 
 # ---------------------------------------------------------------- E11 (stream form)

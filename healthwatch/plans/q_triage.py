@@ -129,7 +129,7 @@ ALERT_CTES = alert_ctes()
 
 def _alerts(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
-    return al.detect_all(inc, bl.baseline_moments(base), bl.baseline_histogram(base))
+    return al.detect_all(inc, *bl.fit(base, quantiles=False))
 
 
 @register("alerts", sql=f"WITH {ALERT_CTES}\nSELECT * FROM alerts", views=("base", "inc"))
@@ -300,5 +300,5 @@ UNION ALL SELECT batch_start, 'security', 4, CAST(n AS BIGINT), patient_id FROM
 def q_alerts_by_day(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
     batched = al.with_batch(inc, 86400)
-    return al.detect_all(batched, bl.baseline_moments(base), bl.baseline_histogram(base),
+    return al.detect_all(batched, *bl.fit(base, quantiles=False),
                          keys=["batch_start"], batch_seconds=86400)
