@@ -80,3 +80,10 @@ def q_stream_stall_gaps(spark, sf_dir):
     out = sp.run_to_table(stream_stall_gaps(_vitals_stream(spark, sf_dir), "ward"), "stall", mode="append")
     return out.filter(F.col("kind") == "gap").select(
         "ward", _ntz("gap_start").alias("gap_start"), _ntz("gap_end").alias("gap_end"), "gap_seconds")
+
+
+# ---------------------------------------------------------------- J2
+@register("stream_latest_n", sql="SELECT * FROM vitals ORDER BY ts DESC, event_id DESC LIMIT 50", views=("vitals",))
+def q_stream_latest_n(spark, sf_dir):
+    stream = fx.vitals_from_events(sp.read_table_stream(spark, sf_dir, "events"))
+    return sp.stream_latest_n(stream, ["ts", "event_id"], 50)

@@ -120,6 +120,41 @@ def stream_detect(stream: DataFrame, stats: DataFrame, base_hist: DataFrame, nam
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The written table, or an empty frame when no batch ran (no input)."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        r = spark.read
+        return (r.schema(schema) if schema is not None else r).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
+
+
+def stream_latest_n(stream: DataFrame, order: list[str], n: int = 50, name: str = "latest-n",
+                    trigger: dict | None = None) -> DataFrame:
+    """The newest ``n`` events of a stream, kept across micro-batches.
+
+    Each micro-batch is reduced with a top-k (per-partition top-n, one merge
+    of n x partitions rows), merged with the previous n-row state and written
+    as partition ``bid=<batch id>`` of a table under the checkpoint folder.
+    The state is n rows whatever the stream volume, and a restarted query
+    resumes from the newest partition below its batch id."""
+    from healthwatch.sources.events import latest_n
+    spark = stream.sparkSession
+    path, ckpt = _scratch(spark, name)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        top = latest_n(batch, order, n)
+        try:
+            prev = spark.read.parquet(path)
+            last = prev.filter(F.col("bid") < batch_id).agg(F.max("bid")).first()[0]
+            if last is not None:
+                top = top.unionByName(prev.filter(F.col("bid") == last).drop("bid"))
+        except AnalysisException:
+            pass                                          # first batch: no state yet
+        (latest_n(top, order, n).withColumn("bid", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bid").parquet(path))
+
+    q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+               .trigger(**(trigger or {"availableNow": True})).start())
+    q.awaitTermination()
+    out = _read_or_empty(spark, path, None)
+    last = out.agg(F.max("bid")).first()[0]
+    return out.filter(F.col("bid") == last).drop("bid")

@@ -78,3 +78,17 @@ def test_stream_stall_state_across_batches(spark, tmp_path):
     rows = {(r["k"], r["kind"], r["gap_seconds"]) for r in out.collect()}
     assert ("a", "gap", 90.0) in rows and ("a", "gap", 390.0) in rows
     assert any(k == "b" and kind == "idle" for k, kind, _ in rows)
+
+
+def test_stream_latest_n_across_batches(spark, tmp_path):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    for i in range(3):
+        spark.createDataFrame([(f"e{i}-{k}", t0 + timedelta(minutes=7 * k + i)) for k in range(10)],
+                              "event_id string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+    src = (spark.readStream.schema("event_id string, ts timestamp").option("maxFilesPerTrigger", 1)
+                .option("recursiveFileLookup", "true").parquet(str(tmp_path)))
+    got = sorted(r["event_id"] for r in sp.stream_latest_n(src, ["ts", "event_id"], 5, name="ln-test").collect())
+    allrows = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
+    ref = sorted(r["event_id"] for r in allrows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(5).collect())
+    assert got == ref
