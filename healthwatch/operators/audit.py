@@ -29,7 +29,7 @@ def audit_reason(sql: Column, enforce_prefixes: bool = False) -> Column:
     return F.when(sql.isNull() | sql.rlike(r"^\s*$"), F.lit(EMPTY_REASON)).otherwise(expr)
 
 
-def audit_sql(df: DataFrame, col: str = "sql", agent_id: str = "LARF-AGENT",
+def audit_sql(df: DataFrame, col: str = "sql", agent_id: str = "remediation-agent",
               enforce_prefixes: bool = False) -> DataFrame:
     """Add ``approved``, ``reason`` (the pass message or the block reason) and
     ``agent_id`` to every statement row."""
