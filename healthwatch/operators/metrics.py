@@ -139,3 +139,27 @@ def evaluation_by_fault(ev: DataFrame) -> DataFrame:
 def detector_fire_counts(ev: DataFrame) -> DataFrame:
     d = ev.select(F.explode(F.split(F.col("detectors_fired"), ",")).alias("detector"))
     return d.filter(F.length("detector") > 0).groupBy("detector").agg(F.count(F.lit(1)).alias("runs"))
+
+
+# Planted fault type -> detectors that count as a correct detection.
+FAULT_DETECTORS = {
+    "schema": ["schema_entropy"],
+    "data_quality": ["zscore", "ks_test"],
+    "security": ["security"],
+}
+
+
+def batch_detection(batches: DataFrame, alerts: DataFrame, key: str = "batch_start",
+                    faults: dict | None = None) -> DataFrame:
+    """Per batch and planted fault type: did an expected detector fire?
+    Fault types are exploded from a literal list per batch (no cross join);
+    each batch's fired detectors (at most one row per detector) are gathered
+    and equi-joined on the batch key."""
+    faults = faults or FAULT_DETECTORS
+    spec = F.array(*[F.struct(F.lit(k).alias("fault_type"), F.array(*[F.lit(d) for d in v]).alias("expected"))
+                     for k, v in faults.items()])
+    rows = batches.select(key).distinct().select(key, F.explode(spec).alias("f"))
+    fired = alerts.groupBy(key).agg(F.collect_set("detector").alias("fired"))
+    return (rows.join(fired, key, "left")
+                .select(key, F.col("f.fault_type").alias("fault_type"),
+                        F.coalesce(F.arrays_overlap("f.expected", "fired"), F.lit(False)).alias("detected")))

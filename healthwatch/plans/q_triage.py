@@ -302,3 +302,27 @@ def q_alerts_by_day(spark, sf_dir):
     batched = al.with_batch(inc, 86400)
     return al.detect_all(batched, *bl.fit(base, quantiles=False),
                          keys=["batch_start"], batch_seconds=86400)
+
+
+# ---------------------------------------------------------------- end-to-end detection per daily batch
+def _batch_detection_sql():
+    from healthwatch.operators.metrics import FAULT_DETECTORS
+    spec = " UNION ALL ".join(f"SELECT '{k}' AS fault_type, {sg.sql_list(v)} AS expected"
+                              for k, v in FAULT_DETECTORS.items())
+    return f"""
+WITH ab AS ({_alerts_by_day_sql()}),
+fired AS (SELECT batch_start, list(DISTINCT detector) AS fired FROM ab GROUP BY batch_start),
+b AS (SELECT DISTINCT date_trunc('day', ts) AS batch_start FROM inc),
+f AS ({spec})
+SELECT b.batch_start, f.fault_type,
+       COALESCE(len(list_filter(f.expected, lambda x: list_contains(fired.fired, x))) > 0, false) AS detected
+FROM b CROSS JOIN f LEFT JOIN fired ON b.batch_start = fired.batch_start"""
+
+
+@register("batch_detection", sql=_batch_detection_sql(), views=("base", "inc"))
+def q_batch_detection(spark, sf_dir):
+    from healthwatch.operators import metrics as mt
+    base, inc = _halves(spark, sf_dir)
+    batched = al.with_batch(inc, 86400)
+    alerts = al.detect_all(batched, *bl.fit(base, quantiles=False), keys=["batch_start"], batch_seconds=86400)
+    return mt.batch_detection(batched, alerts)
