@@ -1,11 +1,13 @@
-"""Detector fan-in: run every detector on one batch and emit one alert row
-per firing detector, in the fixed order zscore, ks_test, schema_entropy,
-security (stall when the batch is empty).
-
-Each detector reduces the batch to a handful of rows by partially aggregated
-group-bys; the union of those tiny results is the alert table.  Call
-``batch.persist()`` first when the batch comes from an expensive plan and
-several detectors re-read it (``streaming.detect`` does so per micro-batch).
+"""Detector fan-in: run every detector on a batch (or on many batches at
+once, keyed) and emit one alert row per firing detector, in the fixed order
+stall, zscore, ks_test, schema_entropy, security.
+
+``detect_all`` reads the batch twice: one partially aggregated pass yields
+the z-score, schema, security and stall figures (all narrow columns of the
+same rows), and the KS collapse is the other.  The per-detector functions
+(``zscore_alert`` ...) remain available on their own.  Call
+``batch.persist()`` first when the batch comes from an expensive plan
+(``streaming.pipeline.stream_detect`` does so per micro-batch).
 """
 
 from __future__ import annotations

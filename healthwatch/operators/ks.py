@@ -4,17 +4,17 @@ A naive plan orders every sample row in one window per field (one task per
 field holds all rows).  Instead:
 
 1. collapse both samples to ``(field, value) -> (n_base, n_inc)`` with a
-   partially aggregated group-by (a heavy value never skews a task);
-2. cut each field's distinct values into ``buckets`` ranges at approximate
-   quantiles of the distinct values (balanced by construction);
-3. prefix sums of per-bucket totals on the tiny ``(field, bucket)`` table give
-   each bucket's starting offset;
-4. a window partitioned by ``(field, bucket)`` finishes the running sums, so
-   the largest sort is ~1/buckets of a field's distinct values;
-5. ``D = max |F_base - F_inc|`` per field, p-value on one row per field.
-
-The p-value is the asymptotic Kolmogorov series as a built-in ``aggregate``
-expression; ``ks_exact_pvalue`` gives the exact two-sided p for small samples.
+   partially aggregated group-by (a heavy value never skews a task) and
+   write the collapsed table once (it has several consumers);
+2. rank it with ``ranks.running_sums``: fields of bounded resolution (at most
+   ``SINGLE_BUCKET_VALUES`` distinct values) in one window, larger fields in
+   quantile ranges whose offsets come from the tiny per-range totals;
+3. ``D = max |F_base - F_inc|`` per field, p-value on one row per field.
+
+``ks_drift_by`` does the same for many batches at once without replicating
+the baseline per batch.  The p-value is the asymptotic Kolmogorov series as a
+built-in ``aggregate`` expression; ``method="exact"`` / ``"auto"`` use the
+exact lattice-path p for samples of at most ``exact_max_n`` values.
 """
 
 from __future__ import annotations
