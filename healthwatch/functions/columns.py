@@ -29,3 +29,24 @@ def safe_abs_hash(c: Column) -> Column:
     """``abs(hash(c))`` widened to BIGINT first: plain abs on INT_MIN fails
     under ANSI mode."""
     return F.abs(F.hash(c).cast("long"))
+
+
+_NTZ_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def epoch_micros(name: str, dtype) -> Column:
+    """Microseconds since the epoch of a timestamp column.  A TIMESTAMP_NTZ
+    wall clock is measured directly (independent of the session time zone);
+    a TIMESTAMP instant via ``unix_micros``."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(dtype, TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, {_NTZ_EPOCH}, `{name}`)")
+    return F.unix_micros(F.col(name).cast("timestamp"))
+
+
+def from_epoch_micros(us: Column, dtype) -> Column:
+    """Inverse of ``epoch_micros`` for the given timestamp type."""
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(dtype, TimestampNTZType):
+        return F.timestamp_add("MICROSECOND", us, F.expr(_NTZ_EPOCH))
+    return F.timestamp_micros(us)

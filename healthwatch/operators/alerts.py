@@ -90,7 +90,7 @@ def stall_alert(batch: DataFrame, keys: list[str] | None = None, batch_seconds:
     if keys and batch_seconds:
         from healthwatch.operators.telemetry import empty_batches
         empty = empty_batches(batch, batch_seconds, ts).select(
-            F.col("batch_start").cast(batch.schema[keys[0]].dataType).alias(keys[0]), F.lit(0).alias("n"))
+            F.col("batch_start").alias(keys[0]), F.lit(0).alias("n"))
         return _alert(empty, "stall", "n", F.lit("No events received"), keys)
     n = batch.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == 0)
     return _alert(n, "stall", "n", F.lit("No events received"))
@@ -98,10 +98,11 @@ def stall_alert(batch: DataFrame, keys: list[str] | None = None, batch_seconds:
 
 def with_batch(df: DataFrame, batch_seconds: int, ts: str = "ts", name: str = "batch_start") -> DataFrame:
     """Tag each row with the start of its fixed time batch (same type as ``ts``)."""
+    from healthwatch.functions.columns import epoch_micros, from_epoch_micros
     width = batch_seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    start = F.timestamp_micros(F.floor(us / width) * width).cast(df.schema[ts].dataType)
-    return df.withColumn(name, start)
+    dtype = df.schema[ts].dataType
+    us = epoch_micros(ts, dtype)                       # zone-independent for TIMESTAMP_NTZ
+    return df.withColumn(name, from_epoch_micros(F.floor(us / width) * width, dtype))
 
 
 def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | None,

@@ -36,8 +36,9 @@ def hot_keys(df: DataFrame, share: float = fd.HOT_KEY_SHARE, key: str = "patient
 def _slide_counts(df: DataFrame, key: str, ts: str, slide_seconds: int) -> DataFrame:
     """Events per key per slide step — collapsed map-side before any window
     copies are made, so a burst of many events costs one row per step."""
+    from healthwatch.functions.columns import epoch_micros
     step = slide_seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = epoch_micros(ts, df.schema[ts].dataType)
     return df.groupBy(key, F.floor(us / step).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
 
 
@@ -57,10 +58,12 @@ def burst_windows(df: DataFrame, events: int = fd.BURST_EVENTS, seconds: int = f
                   slide_seconds: int = 1, key: str = "patient_id", ts: str = "ts") -> DataFrame:
     """Sliding windows (``seconds`` long, ``slide_seconds`` apart) per key
     holding at least ``events`` events."""
+    from healthwatch.functions.columns import from_epoch_micros
     step = slide_seconds * 1_000_000
+    dtype = df.schema[ts].dataType
     w = _window_counts(df, key, ts, seconds, slide_seconds).filter(F.col("event_count") >= events)
-    return w.select(key, F.timestamp_micros(F.col("_w") * step).alias("window_start"),
-                    F.timestamp_micros(F.col("_w") * step + seconds * 1_000_000).alias("window_end"),
+    return w.select(key, from_epoch_micros(F.col("_w") * step, dtype).alias("window_start"),
+                    from_epoch_micros(F.col("_w") * step + seconds * 1_000_000, dtype).alias("window_end"),
                     "event_count")
 
 

@@ -10,10 +10,6 @@ from healthwatch.functions import fields as fd
 TELEMETRY_FIELDS = ["consumer_lag", "db_latency_sec", "cpu_percent", "memory_percent"]
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def stall_gaps(df: DataFrame, gap_seconds: float = fd.STALL_SECONDS, ts: str = "ts",
                keys: list[str] | None = None, super_seconds: int = 86400) -> DataFrame:
     """Idle periods longer than ``gap_seconds`` between consecutive events
@@ -28,10 +24,12 @@ def stall_gaps(df: DataFrame, gap_seconds: float = fd.STALL_SECONDS, ts: str = "
     partitioned by super-bucket, so the work spreads over many tasks); the
     first bucket of each super-bucket takes its predecessor from the previous
     non-empty super-bucket, found on the tiny per-super-bucket table."""
+    from healthwatch.functions.columns import epoch_micros, from_epoch_micros
     keys = keys or []
     width = int(gap_seconds * 1_000_000)
     sw = int(super_seconds * 1_000_000)
-    us = _micros(ts)
+    dtype = df.schema[ts].dataType
+    us = epoch_micros(ts, dtype)
     buckets = (df.select(*keys, us.alias("us"))
                  .filter(F.col("us").isNotNull())
                  .groupBy(*keys, F.floor(F.col("us") / width).alias("bucket"))
@@ -47,21 +45,23 @@ def stall_gaps(df: DataFrame, gap_seconds: float = fd.STALL_SECONDS, ts: str = "
                       .withColumn("prev_us", F.coalesce("prev_us", "carry_us")))
     gaps = stitched.filter(F.col("first_us") - F.col("prev_us") > width)
     return gaps.select(*keys,
-                       F.timestamp_micros("prev_us").alias("gap_start"),
-                       F.timestamp_micros("first_us").alias("gap_end"),
+                       from_epoch_micros(F.col("prev_us"), dtype).alias("gap_start"),
+                       from_epoch_micros(F.col("first_us"), dtype).alias("gap_end"),
                        ((F.col("first_us") - F.col("prev_us")) / F.lit(1e6)).alias("gap_seconds"))
 
 
 def empty_batches(df: DataFrame, batch_seconds: int, ts: str = "ts") -> DataFrame:
     """Batch windows (of ``batch_seconds``) between the first and last event
     that received no event at all — the empty-batch stall signal."""
+    from healthwatch.functions.columns import epoch_micros, from_epoch_micros
     width = batch_seconds * 1_000_000
-    b = df.select(F.floor(_micros(ts) / width).alias("b")).groupBy("b").count()
+    dtype = df.schema[ts].dataType
+    b = df.select(F.floor(epoch_micros(ts, dtype) / width).alias("b")).groupBy("b").count()
     rng = b.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-    cal = rng.select(F.explode(F.sequence("lo", "hi")).alias("b"))
+    cal = rng.select(F.explode(F.sequence("lo", "hi")).alias("b"))     # span / batch rows
     return (cal.join(b, "b", "left_anti")
-               .select(F.timestamp_micros(F.col("b") * width).alias("batch_start"),
-                       F.timestamp_micros((F.col("b") + 1) * width).alias("batch_end")))
+               .select(from_epoch_micros(F.col("b") * width, dtype).alias("batch_start"),
+                       from_epoch_micros((F.col("b") + 1) * width, dtype).alias("batch_end")))
 
 
 def latency_breaches(tel: DataFrame, threshold_sec: float = fd.LATENCY_SECONDS,
