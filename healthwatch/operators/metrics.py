@@ -95,8 +95,10 @@ def backfill_mttr(incidents: DataFrame, fixes: DataFrame, id_col: str = "log_id"
     """Set ``mttr_seconds = round(fix_end - fault_start, 2)`` on every record
     whose id has a fix; others keep their value.  A hash join on the id (the
     fix table is shuffled alongside, never collected)."""
-    f = fixes.select(id_col, F.round((F.unix_micros(F.col("fix_end").cast("timestamp"))
-                                      - F.unix_micros(F.col("fault_start").cast("timestamp"))) / F.lit(1e6), 2)
+    from healthwatch.functions.columns import epoch_micros
+    sch = fixes.schema
+    f = fixes.select(id_col, F.round((epoch_micros("fix_end", sch["fix_end"].dataType)
+                                      - epoch_micros("fault_start", sch["fault_start"].dataType)) / F.lit(1e6), 2)
                      .alias("_mttr"))
     return (incidents.join(f, id_col, "left")
                      .withColumn("mttr_seconds", F.coalesce("_mttr", "mttr_seconds")).drop("_mttr"))

@@ -1,9 +1,11 @@
 """Structural schema drift: distance of each event's field set to contract
 versions, the best-matching contract, and batch summaries.
 
-Contracts are a handful of literal name arrays, so each event is scored by
-narrow array expressions (``array_except`` / ``array_intersect``) — no join
-with a contracts table and no shuffle until the summary group-bys.
+Contracts are a handful of literal name lists, so each event is scored by
+narrow expressions — no join with a contracts table and no shuffle until the
+summary group-bys.  Table presence (a NULL value = a missing key) becomes an
+integer bitmask and the set algebra ``bit_count``; JSON key presence (any key
+may appear) uses ``array_except`` / ``array_intersect`` on the key arrays.
 """
 
 from __future__ import annotations
