@@ -53,9 +53,18 @@ def exact_quantiles(df: DataFrame, fields: list[str], qs: list[float], buckets:
 
 def quantiles_from_counts(g: DataFrame, qs: list[float], buckets: int = DEFAULT_BUCKETS,
                           single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
-    """Exact quantiles from a collapsed ``(field, value, c)`` table."""
-    if buckets > 1 and g.count() <= single_bucket_values:       # parquet row count: metadata only
-        buckets = 1
+    """Exact quantiles from a collapsed ``(field, value, c)`` table.
+
+    Small tables (at most ``single_bucket_values`` distinct values in all)
+    use the built-in frequency-weighted ``percentile`` — one aggregation whose
+    buffer is the already-distinct values.  Larger ones use distributed
+    running sums, so no task holds a whole field."""
+    if g.count() <= single_bucket_values:                        # parquet row count: metadata only
+        return (g.groupBy("field").agg(F.percentile("value", F.array(*[F.lit(q) for q in qs]), F.col("c"))
+                                       .alias("_v"))
+                 .select("field", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"),
+                                                         F.col("_v").alias("value"))).alias("t"))
+                 .select("field", F.col("t.q").alias("q"), F.col("t.value").alias("value")))
     n = g.groupBy("field").agg(F.sum("c").alias("_n"))           # one row per field
     r = running_sums(g.select("field", "value", "c"), ["c"], buckets, single_bucket_values) \
         .join(F.broadcast(n), "field")
