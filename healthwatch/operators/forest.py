@@ -12,9 +12,9 @@ MLlib has no isolation forest, so it is built from DataFrame pieces:
 3. **Scoring** — the node table has at most ``trees x (2 psi - 1)`` rows
    whatever the data size; it is collected once, broadcast, and every
    partition is scored vectorised with ``mapInPandas``.
-4. **Threshold** — the ``contamination`` quantile of the scores
-   (``percentile_approx`` at scale), then ``decision = score - cut``;
-   negative decisions are anomalies.
+4. **Threshold** — the exact ``contamination`` quantile of the scores
+   (distributed running sums; ``approx=True`` for ``percentile_approx``),
+   then ``decision = score - cut``; negative decisions are anomalies.
 
 Parity with another library's random stream is impossible; the tests check
 properties (a planted outlier is ranked first, about ``contamination`` of
@@ -165,9 +165,13 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, psi:
     # (Python scoring is the expensive step) instead of scoring twice.
     scored = write_table(score(df, nodes, features, trees, psi), "forest-scores") \
         .withColumn("neg", -F.col("anomaly_score"))
-    q = (F.percentile_approx("neg", contamination, 100000) if approx
-         else F.percentile(F.col("neg"), F.lit(contamination)))
-    cut = scored.agg(q).scalar()
+    if approx:
+        cut = scored.agg(F.percentile_approx("neg", contamination, 100000)).scalar()
+    else:
+        # exact contamination quantile of continuous scores without one task
+        # holding every distinct score (distributed running sums)
+        from healthwatch.operators.ranks import exact_quantiles
+        cut = exact_quantiles(scored, ["neg"], [contamination]).select("value").scalar()
     dec = F.col("neg") - cut
     return (scored.withColumns({"score": F.round(dec, 4), "is_anomaly": dec < 0,
                                 "details": F.lit(None).cast("string")})
