@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from healthwatch.session import write_table
+from healthwatch.session import ship_package, write_table
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree long, node long, feature int, threshold double, left long, right long, "
@@ -97,6 +97,7 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
     w = Window.partitionBy("tree").orderBy("_u", "_rid")        # <= ~2 psi rows per tree
     sample = cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= psi) \
                  .select("tree", *features)
+    ship_package(df.sparkSession)
     nodes = sample.groupBy("tree").applyInPandas(
         lambda pdf: _build_tree(pdf, features, seed, max_depth), NODE_SCHEMA)
     return nodes, psi
@@ -136,6 +137,7 @@ def _path_lengths(x: np.ndarray, model: dict) -> np.ndarray:
 def score(df: DataFrame, nodes: DataFrame, features: list[str], trees: int, psi: int) -> DataFrame:
     """Add ``anomaly_score`` = 2^(-E[h(x)] / c(psi)) (higher = more isolated)."""
     spark = df.sparkSession
+    ship_package(spark)
     bmodel = spark.sparkContext.broadcast(_model(nodes, trees, psi))
     out_schema = T.StructType(list(df.schema.fields) + [T.StructField("anomaly_score", T.DoubleType())])
 

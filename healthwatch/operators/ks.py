@@ -28,7 +28,7 @@ from healthwatch.functions.fields import KS_ALPHA, KS_MIN_SAMPLES
 from healthwatch.functions.columns import combine_rows
 from healthwatch.operators.baseline import melt
 from healthwatch.operators.ranks import SINGLE_BUCKET_VALUES, running_sums
-from healthwatch.session import write_table
+from healthwatch.session import ship_package, write_table
 
 DEFAULT_BUCKETS = 64
 
@@ -181,6 +181,7 @@ def _exact_p(d: DataFrame, max_n: int) -> DataFrame:
     row per field), never over sample rows."""
     import pandas as pd
 
+    ship_package(d.sparkSession)
     lam = F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     d = d.withColumn("p", ks_pvalue(lam))
 

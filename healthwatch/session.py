@@ -70,3 +70,42 @@ def write_table(df, name: str):
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``healthwatch`` importable in the Python workers that run pandas
+    functions (``applyInPandas``, ``mapInPandas``, ``applyInPandasWithState``).
+
+    The package is zipped once per application and registered with
+    ``addPyFile``, which distributes it to every executor.  The zip is
+    written to the shared checkpoint folder when that is a local path,
+    otherwise to the driver's scratch space, which Spark serves to the
+    executors itself."""
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("healthwatch", os.path.relpath(full, pkg)))
+    base = checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        base = tempfile.mkdtemp(prefix="healthwatch-pyfiles-")
+    base = base[len("file:"):] if base.startswith("file:") else base
+    os.makedirs(os.path.join(base, "pyfiles"), exist_ok=True)
+    path = os.path.join(base, "pyfiles", f"healthwatch-{app}.zip")
+    with open(path, "wb") as out:
+        out.write(buf.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(app)

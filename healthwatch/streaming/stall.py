@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from healthwatch.functions import fields as fd
+from healthwatch.session import ship_package
 
 OUT_SCHEMA = "key string, kind string, gap_start_us long, gap_end_us long"
 STATE_SCHEMA = "last_us long"
@@ -68,6 +69,7 @@ def stream_stall_gaps(stream: DataFrame, key: str, gap_seconds: float = fd.STALL
     """Streaming gaps per key: ``kind = 'gap'`` rows for idle periods between
     events, ``kind = 'idle'`` rows when a key stays silent past the watermark.
     The stream must carry a watermark on ``ts`` (``pipeline.event_time``)."""
+    ship_package(stream.sparkSession)
     gap_us = int(gap_seconds * 1_000_000)
     src = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts)).alias("us"), ts)
     out = src.groupBy("key").applyInPandasWithState(

@@ -92,3 +92,23 @@ def test_stream_latest_n_across_batches(spark, tmp_path):
     allrows = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path))
     ref = sorted(r["event_id"] for r in allrows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(5).collect())
     assert got == ref
+
+
+@pytest.mark.slow
+def test_pandas_functions_run_outside_the_repo(tmp_path):
+    """Python workers import the package shipped with addPyFile, not the
+    caller's working directory."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false')"
+            f".config('spark.checkpoint.dir', {str(tmp_path / 'ck')!r}).getOrCreate()\n"
+            "import __spark_entry__ as se\n"
+            "print('rows', se.queries()['isolation_forest'](s, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0 and "rows " in out.stdout, out.stderr[-2000:]
