@@ -151,17 +151,31 @@ FAULT_DETECTORS = {
 }
 
 
+# Planted fault type -> row condition (SQL) that marks a faulty row.
+FAULT_ROWS = {
+    "schema": "diagnosis_code IS NOT NULL OR spo2 IS NULL",
+    "data_quality": "COALESCE(heart_rate > 200 OR bp_systolic > 180 OR spo2 < 70, false)",
+    "security": "COALESCE(patient_id = 'PT-ATTACKER-0000', false)",
+}
+
+
 def batch_detection(batches: DataFrame, alerts: DataFrame, key: str = "batch_start",
-                    faults: dict | None = None) -> DataFrame:
-    """Per batch and planted fault type: did an expected detector fire?
-    Fault types are exploded from a literal list per batch (no cross join);
-    each batch's fired detectors (at most one row per detector) are gathered
-    and equi-joined on the batch key."""
+                    faults: dict | None = None, fault_rows: dict | None = None) -> DataFrame:
+    """Per batch and planted fault type: was the fault present in the batch
+    (``planted``: at least one faulty row) and did an expected detector fire
+    (``detected``)?  Presence is one partially aggregated pass over the
+    batches; each batch's fired detectors (at most one row per detector) are
+    gathered and equi-joined on the batch key; fault types are exploded from
+    a literal list (no cross join)."""
     faults = faults or FAULT_DETECTORS
-    spec = F.array(*[F.struct(F.lit(k).alias("fault_type"), F.array(*[F.lit(d) for d in v]).alias("expected"))
-                     for k, v in faults.items()])
-    rows = batches.select(key).distinct().select(key, F.explode(spec).alias("f"))
+    fault_rows = fault_rows or FAULT_ROWS
+    names = list(faults)
+    present = batches.groupBy(key).agg(*[F.expr(f"count_if({fault_rows[k]})").alias(f"_p{i}")
+                                         for i, k in enumerate(names)])
+    spec = F.array(*[F.struct(F.lit(k).alias("fault_type"), F.array(*[F.lit(d) for d in faults[k]]).alias("expected"),
+                              (F.col(f"_p{i}") > 0).alias("planted")) for i, k in enumerate(names)])
+    rows = present.select(key, F.explode(spec).alias("f"))
     fired = alerts.groupBy(key).agg(F.collect_set("detector").alias("fired"))
     return (rows.join(fired, key, "left")
-                .select(key, F.col("f.fault_type").alias("fault_type"),
+                .select(key, F.col("f.fault_type").alias("fault_type"), F.col("f.planted").alias("planted"),
                         F.coalesce(F.arrays_overlap("f.expected", "fired"), F.lit(False)).alias("detected")))

@@ -306,17 +306,20 @@ def q_alerts_by_day(spark, sf_dir):
 
 # ---------------------------------------------------------------- end-to-end detection per daily batch
 def _batch_detection_sql():
-    from healthwatch.operators.metrics import FAULT_DETECTORS
+    from healthwatch.operators.metrics import FAULT_DETECTORS, FAULT_ROWS
     spec = " UNION ALL ".join(f"SELECT '{k}' AS fault_type, {sg.sql_list(v)} AS expected"
                               for k, v in FAULT_DETECTORS.items())
+    planted = " ".join(f"WHEN '{k}' THEN COUNT(*) FILTER (WHERE {c}) > 0" for k, c in FAULT_ROWS.items())
     return f"""
 WITH ab AS ({_alerts_by_day_sql()}),
 fired AS (SELECT batch_start, list(DISTINCT detector) AS fired FROM ab GROUP BY batch_start),
-b AS (SELECT DISTINCT date_trunc('day', ts) AS batch_start FROM inc),
-f AS ({spec})
-SELECT b.batch_start, f.fault_type,
-       COALESCE(len(list_filter(f.expected, lambda x: list_contains(fired.fired, x))) > 0, false) AS detected
-FROM b CROSS JOIN f LEFT JOIN fired ON b.batch_start = fired.batch_start"""
+b AS (SELECT date_trunc('day', ts) AS batch_start, * FROM inc),
+f AS ({spec}),
+p AS (SELECT b.batch_start, f.fault_type, f.expected, CASE f.fault_type {planted} END AS planted
+      FROM b CROSS JOIN f GROUP BY b.batch_start, f.fault_type, f.expected)
+SELECT p.batch_start, p.fault_type, p.planted,
+       COALESCE(len(list_filter(p.expected, lambda x: list_contains(fired.fired, x))) > 0, false) AS detected
+FROM p LEFT JOIN fired ON p.batch_start = fired.batch_start"""
 
 
 @register("batch_detection", sql=_batch_detection_sql(), views=("base", "inc"))
