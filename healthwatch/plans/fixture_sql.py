@@ -34,7 +34,8 @@ VIEWS["inc"] = "SELECT * FROM vitals WHERE ts >= CAST('2024-01-16 00:00:00' AS T
 VIEWS["telemetry"] = """
 SELECT date_trunc('hour', ts) AS ts,
        CAST(SUM(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS consumer_lag,
-       MAX(value) / CAST(100 AS DOUBLE) AS db_latency_sec, AVG(value) AS cpu_percent,
+       MAX(value) / CAST(100 AS DOUBLE) AS db_latency_sec,
+       CAST(SUM(CAST(ROUND(value * 100) AS BIGINT)) AS DOUBLE) / (COUNT(*) * 100) AS cpu_percent,
        CAST(COUNT(DISTINCT user_id) AS DOUBLE) AS memory_percent
 FROM events GROUP BY date_trunc('hour', ts)
 """

@@ -104,7 +104,10 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
               .agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("consumer_lag"),
                    (F.max("value") / F.lit(100.0)).alias("db_latency_sec"),
-                   F.avg("value").alias("cpu_percent"),
+                   # mean of 2-decimal values from an exact integer sum of hundredths:
+                   # one division, so every engine yields the same double
+                   (F.sum(F.round(F.col("value") * 100).cast("long")).cast("double")
+                    / (F.count(F.lit(1)) * 100)).alias("cpu_percent"),
                    F.count_distinct("user_id").cast("double").alias("memory_percent")))
 
 
