@@ -52,13 +52,16 @@ def with_row_id(df: DataFrame, keep: list[str]) -> DataFrame:
     The id comes from the scanned parquet file, so it is the same in every
     plan that reads the table again and after a task is recomputed; repeated
     rows and null keys stay apart.  An input that is not a parquet scan is
-    written to the shared checkpoint folder first."""
+    written to the shared checkpoint folder first, once per DataFrame, so all
+    reads of it agree."""
     try:
         out = _stable_id(df, keep)
         out.schema
         return out
     except AnalysisException:
-        return _stable_id(write_table(df.select(*[F.col(f"`{c}`") for c in keep]), "rows"), keep)
+        if not hasattr(df, "_stored_rows"):
+            df._stored_rows = write_table(df, "rows")
+        return _stable_id(df._stored_rows, keep)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
