@@ -4,6 +4,10 @@ each oracle string runs on the pre-registered base tables alone."""
 
 from __future__ import annotations
 
+import re
+
+from healthwatch.sources.fixtures import LOG_LINES, STATEMENTS
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["vitals"] = """
@@ -64,19 +68,16 @@ SELECT 'INC-' || CAST(user_id AS VARCHAR(20)) AS log_id, CASE WHEN COUNT(*) > 60
 FROM events GROUP BY user_id
 """
 
-VIEWS["statements"] = """
-SELECT event_id AS stmt_id, CASE event_id % 10
-         WHEN 0 THEN 'SELECT * FROM ehr_stream WHERE patient_id = ''PT-001'''
-         WHEN 1 THEN 'ALTER TABLE ehr_stream ADD COLUMN respiratory_rate DOUBLE'
-         WHEN 2 THEN 'DELETE FROM ehr_stream WHERE patient_id = ''PT-ATTACKER-0000'''
-         WHEN 3 THEN 'DROP TABLE ehr_stream'
-         WHEN 4 THEN 'truncate ehr_stream'
-         WHEN 5 THEN 'DELETE FROM ehr_stream'
-         WHEN 6 THEN 'ALTER USER admin IDENTIFIED BY ''x'''
-         WHEN 7 THEN 'GRANT ALL PRIVILEGES TO x'
-         WHEN 8 THEN 'DELETE FROM ehr_stream' || chr(10) || 'WHERE spo2 IS NULL'
-         ELSE '   ' END AS sql
-FROM events
+def _text_list(texts: list[str]) -> str:
+    """DuckDB list literal; control characters are written with chr()."""
+    def literal(t: str) -> str:
+        parts = re.split(r"([\x00-\x1f])", t)
+        return " || ".join(f"chr({ord(x)})" if len(x) == 1 and ord(x) < 32 else "'" + x.replace("'", "''") + "'" for x in parts if x) or "''"
+    return "[" + ", ".join(literal(t) for t in texts) + "]"
+
+
+VIEWS["statements"] = f"""
+SELECT event_id AS stmt_id, {_text_list(STATEMENTS)}[event_id % {len(STATEMENTS)} + 1] AS sql FROM events
 """
 
 VIEWS["raw"] = """
@@ -88,11 +89,8 @@ FROM (SELECT event_id, ts, '{' || concat_ws(',', '"event_id":"' || event_id || '
         '"diagnosis_code":"' || diagnosis_code || '"', '"timestamp":"' || CAST(ts AS VARCHAR(40)) || '"') || '}' AS j FROM vitals) q
 """
 
-VIEWS["log_lines"] = """
-SELECT event_id AS line_no, CASE event_id % 8 WHEN 0 THEN '[OBSERVE] Reading events' WHEN 1 THEN '[ORIENT] Running detectors' WHEN 2 THEN '[DETECT] drift'
-         WHEN 3 THEN '[DECIDE] packet' WHEN 4 THEN '[ACT] fixing' WHEN 5 THEN chr(27) || '[92mSUCCESS: Query executed.' || chr(27) || '[0m'
-         WHEN 6 THEN 'FAILED: Database error' ELSE '  ' END AS line
-FROM events
+VIEWS["log_lines"] = f"""
+SELECT event_id AS line_no, {_text_list(LOG_LINES)}[event_id % {len(LOG_LINES)} + 1] AS line FROM events
 """
 
 # Views that depend on other views.

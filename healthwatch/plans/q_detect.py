@@ -137,37 +137,34 @@ def q_schema_distance(spark, sf_dir):
     return sd.schema_check(fx.vitals(spark, sf_dir)).select("event_id", "d_v1", "d_v2")
 
 
-@register("schema_best_match", sql="WITH " + SCHEMA_ROWS.format(view="inc") + f"""
+@register("schema_best_match", sql="WITH " + SCHEMA_ROWS.format(view="vitals") + f"""
 SELECT event_id, best_schema, distance, match_rate, anomaly_detected,
        {sg.joined('missing_fields')} AS missing_fields, {sg.joined('extra_fields')} AS extra_fields FROM sb""",
-          views=("inc",))
+          views=("vitals",))
 def q_schema_best_match(spark, sf_dir):
     from healthwatch.functions.columns import join_or_null
     from healthwatch.operators import schema_drift as sd
-    _, inc = _halves(spark, sf_dir)
-    return sd.schema_check(inc).select(
+    return sd.schema_check(fx.vitals(spark, sf_dir)).select(
         "event_id", "best_schema", "distance", "match_rate", "anomaly_detected",
         join_or_null(F.col("missing_fields")).alias("missing_fields"),
         join_or_null(F.col("extra_fields")).alias("extra_fields"))
 
 
-@register("schema_summary", sql="WITH " + SCHEMA_ROWS.format(view="inc") + """
+@register("schema_summary", sql="WITH " + SCHEMA_ROWS.format(view="vitals") + """
 SELECT COUNT(*) AS total_events, COUNT(*) FILTER (WHERE anomaly_detected) AS flagged_events,
        CASE WHEN COUNT(*) > 0 THEN ROUND(CAST(COUNT(*) FILTER (WHERE anomaly_detected) AS DOUBLE) / COUNT(*), 3)
             ELSE CAST(0 AS DOUBLE) END AS flag_rate,
-       COUNT(*) FILTER (WHERE anomaly_detected) > 0 AS fault_detected FROM sb""", views=("inc",))
+       COUNT(*) FILTER (WHERE anomaly_detected) > 0 AS fault_detected FROM sb""", views=("vitals",))
 def q_schema_summary(spark, sf_dir):
     from healthwatch.operators import schema_drift as sd
-    _, inc = _halves(spark, sf_dir)
-    return sd.schema_summary(sd.schema_check(inc))
+    return sd.schema_summary(sd.schema_check(fx.vitals(spark, sf_dir)))
 
 
-@register("schema_field_counts", sql="WITH " + SCHEMA_ROWS.format(view="inc") + """
+@register("schema_field_counts", sql="WITH " + SCHEMA_ROWS.format(view="vitals") + """
 SELECT kind, field, COUNT(*) AS count FROM (
   SELECT 'missing' AS kind, unnest(missing_fields) AS field FROM sb WHERE anomaly_detected
   UNION ALL SELECT 'extra' AS kind, unnest(extra_fields) AS field FROM sb WHERE anomaly_detected) q
-GROUP BY kind, field""", views=("inc",))
+GROUP BY kind, field""", views=("vitals",))
 def q_schema_field_counts(spark, sf_dir):
     from healthwatch.operators import schema_drift as sd
-    _, inc = _halves(spark, sf_dir)
-    return sd.schema_field_counts(sd.schema_check(inc))
+    return sd.schema_field_counts(sd.schema_check(fx.vitals(spark, sf_dir)))

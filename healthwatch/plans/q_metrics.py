@@ -60,23 +60,23 @@ def _hist_sql():
         parts.append(f"""SELECT '{f}' AS field, b AS bin, lo + b * width AS bin_start, lo + (b + 1) * width AS bin_end,
        COUNT(*) AS count FROM (
   SELECT lo, width, CAST(CASE WHEN width = 0 THEN 0 ELSE LEAST(FLOOR((v - lo) / width), {nb} - 1) END AS INTEGER) AS b
-  FROM (SELECT CAST({f} AS DOUBLE) AS v FROM inc WHERE {f} IS NOT NULL) x,
-       (SELECT MIN({f}) AS lo, (MAX({f}) - MIN({f})) / {nb} AS width FROM inc) m) q
+  FROM (SELECT CAST({f} AS DOUBLE) AS v FROM vitals WHERE {f} IS NOT NULL) x,
+       (SELECT MIN({f}) AS lo, (MAX({f}) - MIN({f})) / {nb} AS width FROM vitals) m) q
 GROUP BY b, lo, width""")
     return "\nUNION ALL ".join(parts)
 
 
-@register("histogram", sql=_hist_sql(), views=("inc",))
+@register("histogram", sql=_hist_sql(), views=("vitals",))
 def q_histogram(spark, sf_dir):
-    return mt.histogram(_halves(spark, sf_dir)[1])
+    return mt.histogram(fx.vitals(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- D6
 @register("vital_extremes", sql="""
 SELECT COALESCE(MAX(COALESCE(heart_rate, 0)), 0) AS max_heart_rate,
-       COALESCE(MIN(CASE WHEN spo2 = 0 THEN 100 ELSE spo2 END), 100) AS min_spo2 FROM inc""", views=("inc",))
+       COALESCE(MIN(CASE WHEN spo2 = 0 THEN 100 ELSE spo2 END), 100) AS min_spo2 FROM vitals""", views=("vitals",))
 def q_vital_extremes(spark, sf_dir):
-    return mt.vital_extremes(_halves(spark, sf_dir)[1])
+    return mt.vital_extremes(fx.vitals(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- D8-D10

@@ -33,18 +33,18 @@ _IMP = "COALESCE(heart_rate > 200 OR bp_systolic > 180 OR spo2 < 70, false)"
 
 
 # ---------------------------------------------------------------- G1
-@register("impute_spo2", sql=f"SELECT event_id, COALESCE(spo2, {_jit(96, 30)}) AS spo2 FROM inc", views=("inc",))
+@register("impute_spo2", sql=f"SELECT event_id, COALESCE(spo2, {_jit(96, 30)}) AS spo2 FROM vitals", views=("vitals",))
 def q_impute_spo2(spark, sf_dir):
-    return rm.impute_null(_halves(spark, sf_dir)[1], "spo2", method="md5").select("event_id", "spo2")
+    return rm.impute_null(fx.vitals(spark, sf_dir), "spo2", method="md5").select("event_id", "spo2")
 
 
 # ---------------------------------------------------------------- G2
 @register("impute_vitals", sql=f"""
 SELECT event_id, CASE WHEN {_IMP} THEN {_jit(78, 6)} ELSE heart_rate END AS heart_rate,
        CASE WHEN {_IMP} THEN {_jit(115, 10)} ELSE bp_systolic END AS bp_systolic,
-       CASE WHEN {_IMP} THEN {_jit(96, 30)} ELSE spo2 END AS spo2 FROM inc""", views=("inc",))
+       CASE WHEN {_IMP} THEN {_jit(96, 30)} ELSE spo2 END AS spo2 FROM vitals""", views=("vitals",))
 def q_impute_vitals(spark, sf_dir):
-    return rm.impute_impossible(_halves(spark, sf_dir)[1], method="md5") \
+    return rm.impute_impossible(fx.vitals(spark, sf_dir), method="md5") \
              .select("event_id", "heart_rate", "bp_systolic", "spo2")
 
 
@@ -53,9 +53,9 @@ def q_impute_vitals(spark, sf_dir):
 SELECT event_id,
        CASE WHEN COALESCE(heart_rate > 200 OR bp_systolic > 180, false) THEN CAST(80 AS DOUBLE) ELSE heart_rate END AS heart_rate,
        CASE WHEN COALESCE(heart_rate > 200 OR bp_systolic > 180, false) THEN CAST(120 AS DOUBLE) ELSE bp_systolic END AS bp_systolic,
-       COALESCE(spo2, CAST(97.6 AS DOUBLE)) AS spo2 FROM inc""", views=("inc",))
+       COALESCE(spo2, CAST(97.6 AS DOUBLE)) AS spo2 FROM vitals""", views=("vitals",))
 def q_impute_constant(spark, sf_dir):
-    return rm.impute_constant(_halves(spark, sf_dir)[1]).select("event_id", "heart_rate", "bp_systolic", "spo2")
+    return rm.impute_constant(fx.vitals(spark, sf_dir)).select("event_id", "heart_rate", "bp_systolic", "spo2")
 
 
 # ---------------------------------------------------------------- G4
@@ -67,10 +67,11 @@ def q_delete_impossible(spark, sf_dir):
 
 # ---------------------------------------------------------------- G5
 @register("quarantine", sql=f"""
-SELECT event_id, patient_id FROM inc WHERE NOT COALESCE(patient_id = '{ATT}', false)""", views=("inc",))
+SELECT event_id, patient_id, COALESCE(patient_id = '{ATT}', false) AS removed FROM vitals""", views=("vitals",))
 def q_quarantine(spark, sf_dir):
-    kept, _ = rm.quarantine(_halves(spark, sf_dir)[1], f"  '{ATT}' ")
-    return kept.select("event_id", "patient_id")
+    kept, removed = rm.quarantine(fx.vitals(spark, sf_dir), f"  '{ATT}' ")
+    both = kept.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True)))
+    return both.select("event_id", "patient_id", "removed")
 
 
 # ---------------------------------------------------------------- G6
@@ -86,13 +87,13 @@ def q_evolve_schema(spark, sf_dir):
 
 # ---------------------------------------------------------------- G7
 @register("fix_impact", sql=f"""
-SELECT 'impute_spo2' AS fix, COUNT(*) FILTER (WHERE spo2 IS NULL) AS affected_rows FROM inc
-UNION ALL SELECT 'impute_vitals', COUNT(*) FILTER (WHERE {_IMP}) FROM inc
-UNION ALL SELECT 'delete_impossible', COUNT(*) FILTER (WHERE {_IMP}) FROM inc
-UNION ALL SELECT 'quarantine', COUNT(*) FILTER (WHERE COALESCE(patient_id = '{ATT}', false)) FROM inc""",
-          views=("inc",))
+SELECT 'impute_spo2' AS fix, COUNT(*) FILTER (WHERE spo2 IS NULL) AS affected_rows FROM vitals
+UNION ALL SELECT 'impute_vitals', COUNT(*) FILTER (WHERE {_IMP}) FROM vitals
+UNION ALL SELECT 'delete_impossible', COUNT(*) FILTER (WHERE {_IMP}) FROM vitals
+UNION ALL SELECT 'quarantine', COUNT(*) FILTER (WHERE COALESCE(patient_id = '{ATT}', false)) FROM vitals""",
+          views=("vitals",))
 def q_fix_impact(spark, sf_dir):
-    return rm.fix_impact(_halves(spark, sf_dir)[1])
+    return rm.fix_impact(fx.vitals(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- G8

@@ -106,10 +106,9 @@ def q_present_fields(spark, sf_dir):
 @register("suspicious_count", sql="""
 SELECT COUNT(*) FILTER (WHERE spo2 IS NULL OR diagnosis_code IS NOT NULL OR COALESCE(heart_rate, 80) > 200
                         OR COALESCE(patient_id = 'PT-ATTACKER-0000', false)) AS suspicious_events,
-       COUNT(*) AS total_events FROM inc""", views=("inc",))
+       COUNT(*) AS total_events FROM vitals""", views=("vitals",))
 def q_suspicious_count(spark, sf_dir):
-    _, inc = fx.split_base_inc(fx.vitals(spark, sf_dir))
-    return inc.agg(F.count_if(pr.suspicious()).alias("suspicious_events"),
+    return fx.vitals(spark, sf_dir).agg(F.count_if(pr.suspicious()).alias("suspicious_events"),
                    F.count(F.lit(1)).alias("total_events"))
 
 
@@ -147,10 +146,9 @@ SELECT event_id, COALESCE(patient_id, '') AS patient_id, COALESCE({_r1('heart_ra
        COALESCE({_r1('spo2')}, 'MISSING') AS spo2,
        CASE WHEN bp_systolic IS NOT NULL AND bp_systolic <> 0 THEN {_r1('bp_systolic')} ELSE '—' END AS bp_systolic,
        CASE WHEN respiratory_rate IS NOT NULL AND respiratory_rate <> 0 THEN {_r1('respiratory_rate')} ELSE '—' END AS resp_rate,
-       COALESCE(ward, '') AS ward FROM inc""", views=("inc",))
+       COALESCE(ward, '') AS ward FROM vitals""", views=("vitals",))
 def q_display_rows(spark, sf_dir):
-    _, inc = fx.split_base_inc(fx.vitals(spark, sf_dir))
-    return pr.display_rows(inc, keep=["event_id"])
+    return pr.display_rows(fx.vitals(spark, sf_dir), keep=["event_id"])
 
 
 # ---------------------------------------------------------------- B6
@@ -206,7 +204,7 @@ def _classify_sql(col):
 
 
 @register("classify_log_lines", sql=f"""
-SELECT line_no, trim(line) AS line, {_classify_sql('trim(line)')} AS category
-FROM log_lines WHERE length(trim(line)) > 0""", views=("log_lines",))
+SELECT line_no, t AS line, {_classify_sql('t')} AS category
+FROM (SELECT line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t FROM log_lines) q WHERE t <> ''""", views=("log_lines",))
 def q_classify_log_lines(spark, sf_dir):
     return pr.classify_log_lines(fx.log_lines(spark, sf_dir))

@@ -25,19 +25,19 @@ def _halves(spark, sf_dir):
 # ---------------------------------------------------------------- E9
 @register("security_denylist", sql="""
 SELECT patient_id, COUNT(*) AS event_count, COUNT(*) > 5 AS is_flood
-FROM inc WHERE patient_id IN ('PT-ATTACKER-0000') GROUP BY patient_id""", views=("inc",))
+FROM vitals WHERE patient_id IN ('PT-ATTACKER-0000') GROUP BY patient_id""", views=("vitals",))
 def q_security_denylist(spark, sf_dir):
-    return sec.denylist_flood(_halves(spark, sf_dir)[1])
+    return sec.denylist_flood(fx.vitals(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- E10
 @register("hot_key_share", sql="""
 SELECT patient_id, COUNT(*) AS event_count,
-       ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM inc), 4) AS share,
-       COUNT(*) > CAST(0.2 AS DOUBLE) * (SELECT COUNT(*) FROM inc) AS is_hot
-FROM inc GROUP BY patient_id""", views=("inc",))
+       ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM vitals), 4) AS share,
+       COUNT(*) > CAST(0.2 AS DOUBLE) * (SELECT COUNT(*) FROM vitals) AS is_hot
+FROM vitals GROUP BY patient_id""", views=("vitals",))
 def q_hot_key_share(spark, sf_dir):
-    return sec.hot_keys(_halves(spark, sf_dir)[1])
+    return sec.hot_keys(fx.vitals(spark, sf_dir))
 
 
 @register("burst_rate", sql="""

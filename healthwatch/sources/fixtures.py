@@ -160,27 +160,38 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .otherwise(F.col("vmax")).alias("mttr_seconds")))
 
 
-_STATEMENTS = [
-    "SELECT * FROM ehr_stream WHERE patient_id = 'PT-001'",
-    "ALTER TABLE ehr_stream ADD COLUMN respiratory_rate DOUBLE",
-    "DELETE FROM ehr_stream WHERE patient_id = 'PT-ATTACKER-0000'",
-    "DROP TABLE ehr_stream",
-    "truncate ehr_stream",
-    "DELETE FROM ehr_stream",
-    "ALTER USER admin IDENTIFIED BY 'x'",
-    "GRANT ALL PRIVILEGES TO x",
-    "DELETE FROM ehr_stream\nWHERE spo2 IS NULL",
+# Audit inputs, one per blocked rule and per cleaning step (fences, backticks,
+# closing semicolons, blanks), plus DELETEs whose WHERE is on the same line, on
+# the next line and behind a lone carriage return.
+STATEMENTS = [
+    "UPDATE ward_log SET spo2 = 97.1 WHERE event_id = 'EV-12'",
+    "```sql\nSELECT ward, count(*) FROM ward_log GROUP BY ward;\n```",
+    "INSERT INTO ward_archive SELECT * FROM ward_log WHERE heart_rate < 60;;",
+    "delete from ward_archive where ward = 'ICU'\n",
+    "Delete From ward_archive",
+    "DELETE FROM ward_archive\nWHERE ward = 'NEURO'",
+    "DELETE FROM ward_archive\r WHERE ward = 'NEURO'",
+    "drop   table ward_archive",
+    "DROP DATABASE staging;",
+    "Drop Schema staging",
+    "TRUNCATE TABLE ward_archive",
+    "alter user nurse set password = 'p'",
+    "grant select on ward_archive to nurse",
+    "REVOKE SELECT ON ward_archive FROM nurse",
+    "create user nurse",
+    "exec refresh_archive",
+    "SELECT xp_dirtree('x')",
+    "SHOW `columns` IN `ward_archive` ; ",
+    " \t ",
 ]
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of SQL statements to audit (one per event)."""
     ev = table(spark, sf_dir, "events")
-    k = F.col("event_id") % 10
-    expr = F.lit("   ")
-    for idx in range(len(_STATEMENTS) - 1, -1, -1):
-        expr = F.when(k == idx, F.lit(_STATEMENTS[idx])).otherwise(expr)
-    return ev.select(F.col("event_id").alias("stmt_id"), expr.alias("sql"))
+    texts = F.array(*[F.lit(x) for x in STATEMENTS])
+    return ev.select(F.col("event_id").alias("stmt_id"),
+                     F.get(texts, (F.col("event_id") % len(STATEMENTS)).cast("int")).alias("sql"))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,17 +221,17 @@ def _raw_from_vitals(v: DataFrame) -> DataFrame:
                      "ts"))
 
 
+# Agent log texts: only the tags are fixed; the last two are blank lines.
+LOG_LINES = [
+    "[OBSERVE] window of 50 rows loaded", "[ORIENT] baseline attached", "[DETECT] shift seen in heart_rate",
+    "[DECIDE] packet is ready", "[ACT] step 1 of 2", "\x1b[92mSUCCESS 12 rows changed\x1b[0m",
+    "FAILED after a lock timeout", "  plain note ", "\t \r", "",
+]
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent log text, one line per event, incl. ANSI colour codes and blanks."""
     ev = table(spark, sf_dir, "events")
-    k = F.col("event_id") % 8
-    esc = "\x1b"
-    lines = [
-        "[OBSERVE] Reading events", "[ORIENT] Running detectors", "[DETECT] drift",
-        "[DECIDE] packet", "[ACT] fixing", f"{esc}[92mSUCCESS: Query executed.{esc}[0m",
-        "FAILED: Database error",
-    ]
-    expr = F.lit("  ")
-    for idx in range(len(lines) - 1, -1, -1):
-        expr = F.when(k == idx, F.lit(lines[idx])).otherwise(expr)
-    return ev.select(F.col("event_id").alias("line_no"), expr.alias("line"))
+    texts = F.array(*[F.lit(x) for x in LOG_LINES])
+    return ev.select(F.col("event_id").alias("line_no"),
+                     F.get(texts, (F.col("event_id") % len(LOG_LINES)).cast("int")).alias("line"))
