@@ -6,31 +6,32 @@ field holds all rows).  Instead:
 1. collapse both samples to ``(field, value) -> (n_base, n_inc)`` with a
    partially aggregated group-by (a heavy value never skews a task) and
    write the collapsed table once (it has several consumers);
-2. rank it with ``ranks.running_sums``: fields of bounded resolution (at most
-   ``SINGLE_BUCKET_VALUES`` distinct values) in one window, larger fields in
-   quantile ranges whose offsets come from the tiny per-range totals;
+2. rank it with ``ranks.running_sums``: fields are cut into ranges of about
+   ``RANGE_VALUES`` distinct values whose offsets come from the per-range
+   totals, one plan at every size;
 3. ``D = max |F_base - F_inc|`` per field, p-value on one row per field.
 
 ``ks_drift_by`` does the same for many batches at once without replicating
 the baseline per batch.  The p-value is the asymptotic Kolmogorov series as a
-built-in ``aggregate`` expression; ``method="exact"`` / ``"auto"`` use the
-exact lattice-path p for samples of at most ``exact_max_n`` values.
+built-in ``aggregate`` expression (``method="asymp"``), the exact lattice-path
+p (``"exact"``, which raises above ``exact_max_n`` values instead of changing
+the method) or, by the caller's choice, the exact one up to that size and the
+asymptotic one beyond (``"auto"``).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from healthwatch.functions.fields import KS_ALPHA, KS_MIN_SAMPLES
 from healthwatch.functions.columns import combine_rows
 from healthwatch.operators.baseline import melt
-from healthwatch.operators.ranks import SINGLE_BUCKET_VALUES, running_sums
+from healthwatch.operators.ranks import RANGE_VALUES, running_sums
 from healthwatch.session import ship_package, write_table
 
-DEFAULT_BUCKETS = 64
 
 
 def ks_pvalue(lam: Column, terms: int = 100) -> Column:
@@ -55,28 +56,22 @@ def collapse(base_hist: DataFrame, incoming: DataFrame, fields: list[str] | None
                 .agg(F.sum("na").cast("double").alias("na"), F.sum("nb").cast("double").alias("nb")))
 
 
-def field_summary(g: DataFrame, buckets: int = 1) -> DataFrame:
+def field_summary(g: DataFrame) -> DataFrame:
     """One aggregation over the collapsed table per field: sample sizes,
-    distinct-value count, sums for the means and (for ``buckets > 1``) the
-    bucket bounds at approximate quantiles of the distinct values."""
+    distinct-value count and sums for the means."""
     aggs = [F.sum("na").alias("n"), F.sum("nb").alias("m"), F.count(F.lit(1)).alias("n_values"),
             F.sum(F.col("value") * F.col("na")).alias("sum_a"), F.sum(F.col("value") * F.col("nb")).alias("sum_b")]
-    if buckets > 1:
-        aggs.append(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10000).alias("bounds"))
     return g.groupBy("field").agg(*aggs)
 
 
-def ecdf_gap(g: DataFrame, buckets: int = DEFAULT_BUCKETS, per_field: DataFrame | None = None,
-             single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
+def ecdf_gap(g: DataFrame, per_field: DataFrame | None = None, range_values: int = RANGE_VALUES) -> DataFrame:
     """Per field: ``ks = max |F_a(v) - F_b(v)|`` over all distinct v, with
     ``n`` (baseline) and ``m`` (incoming) sample sizes.
 
-    Running sums come from ``ranks.running_sums``: a field with bounded
-    resolution (1-decimal vitals: a few thousand values whatever the row
-    count) is ranked in one window, larger fields in quantile ranges so no
-    window partition exceeds ~1/buckets of the field."""
-    fs = per_field if per_field is not None else field_summary(g, 1)
-    r = running_sums(g.select("field", "value", "na", "nb"), ["na", "nb"], buckets, single_bucket_values)
+    Running sums come from ``ranks.running_sums``, so a window partition
+    holds about ``range_values`` distinct values whatever the field's size."""
+    fs = per_field if per_field is not None else field_summary(g)
+    r = running_sums(g.select("field", "value", "na", "nb"), ["na", "nb"], range_values=range_values)
     cum = (r.join(F.broadcast(fs.select("field", "n", "m")), "field")          # one row per field
             .select("field", "n", "m", F.try_divide(F.col("cum_na"), F.col("n")).alias("fa"),
                     F.try_divide(F.col("cum_nb"), F.col("m")).alias("fb")))
@@ -86,7 +81,7 @@ def ecdf_gap(g: DataFrame, buckets: int = DEFAULT_BUCKETS, per_field: DataFrame
 
 def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None = None,
              alpha: float = KS_ALPHA, min_samples: int = KS_MIN_SAMPLES,
-             buckets: int = DEFAULT_BUCKETS, base_stats: DataFrame | None = None,
+             range_values: int = RANGE_VALUES, base_stats: DataFrame | None = None,
              method: str = "asymp", exact_max_n: int = 10000) -> DataFrame:
     """Per field with >= ``min_samples`` incoming values: ``ks_statistic``
     (round 4), ``p_value`` (round 6), ``drifted`` (unrounded p < alpha),
@@ -97,19 +92,17 @@ def ks_drift(incoming: DataFrame, base_hist: DataFrame, fields: list[str] | None
     # row per distinct (field, value) — bounded by value resolution, not by
     # row count — and the reliable checkpoint survives executor loss.
     g = write_table(collapse(base_hist, incoming, fields), "ks-collapsed")
-    if buckets > 1 and g.count() <= SINGLE_BUCKET_VALUES:     # parquet row count: metadata only
-        buckets = 1          # every field fits one ECDF window: skip the bucket stages
-    fs = field_summary(g, 1)
-    d = ecdf_gap(g, buckets, fs).filter((F.col("m") >= min_samples) & (F.col("n") > 0))
+    fs = field_summary(g)
+    d = ecdf_gap(g, fs, range_values).filter((F.col("m") >= min_samples) & (F.col("n") > 0))
     means = fs.select("field", F.try_divide(F.col("sum_b"), F.col("m")).alias("inc_mean"),
                       F.round(F.try_divide(F.col("sum_a"), F.col("n")), 4).alias("base_mean"))
     if base_stats is not None:
         means = means.drop("base_mean").join(
             F.broadcast(base_stats.select("field", F.col("mean").alias("base_mean"))), "field")
     if method in ("exact", "auto"):
-        # exact lattice-path p where both samples have <= exact_max_n values
-        # ("auto" = the common library default), asymptotic beyond
-        d = _exact_p(d, exact_max_n)
+        # "auto" (the common library default) takes the asymptotic p above
+        # exact_max_n values, "exact" raises there
+        d = _exact_p(d, exact_max_n, strict=method == "exact")
     else:
         lam = F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
         d = d.withColumn("p", ks_pvalue(lam))
@@ -175,9 +168,9 @@ def ks_exact_pvalue(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 1.0 - inside_p))
 
 
-def _exact_p(d: DataFrame, max_n: int) -> DataFrame:
-    """Add ``p``: exact where both samples have at most ``max_n`` values,
-    asymptotic otherwise.  A pandas function over the per-field result (one
+def _exact_p(d: DataFrame, max_n: int, strict: bool) -> DataFrame:
+    """Add ``p``: exact where both samples have at most ``max_n`` values;
+    above, an error if ``strict``, else asymptotic.  A pandas function over the per-field result (one
     row per field), never over sample rows."""
     import pandas as pd
 
@@ -187,6 +180,8 @@ def _exact_p(d: DataFrame, max_n: int) -> DataFrame:
 
     def fn(it):
         for pdf in it:
+            if strict and ((pdf["n"] > max_n) | (pdf["m"] > max_n)).any():
+                raise ValueError(f"the exact p-value is limited to {max_n} values a sample; choose method='asymp' or 'auto'")
             ps = [ks_exact_pvalue(float(k), int(n), int(m)) if n <= max_n and m <= max_n else p
                   for k, n, m, p in zip(pdf["ks"], pdf["n"], pdf["m"], pdf["p"])]
             yield pdf.assign(p=pd.Series(ps, index=pdf.index, dtype="float64"))
@@ -197,7 +192,7 @@ def _exact_p(d: DataFrame, max_n: int) -> DataFrame:
 # ---------------------------------------------------------------- per-batch KS
 def ks_drift_by(incoming: DataFrame, base_hist: DataFrame, keys: list[str], fields: list[str] | None = None,
                 alpha: float = KS_ALPHA, min_samples: int = KS_MIN_SAMPLES,
-                buckets: int = DEFAULT_BUCKETS, single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
+                range_values: int = RANGE_VALUES) -> DataFrame:
     """KS drift of every batch (``keys`` group) against one baseline.
 
     The supremum of |F_a - F_b| is reached at an incoming value v, either at
@@ -205,8 +200,9 @@ def ks_drift_by(incoming: DataFrame, base_hist: DataFrame, keys: list[str], fiel
     its own values: ``F_a(v)`` and ``F_a(v-)``.  Those depend on (field, v)
     alone, so they are computed ONCE for the distinct incoming values of all
     batches (the same collapsed-ECDF machinery as ``ks_drift``) and
-    equi-joined back.  Each batch then needs one window over its own
-    distinct values — the baseline is never replicated per batch."""
+    equi-joined back.  The batches' own running sums use the same ranges per
+    (batch, field), so a large batch is split too — and the baseline is never
+    replicated per batch."""
     inc = (melt(incoming, fields, ids=keys).groupBy(*keys, "field", "value")
            .agg(F.count(F.lit(1)).cast("double").alias("nb")))
     inc = write_table(inc, "ks-batches")
@@ -218,20 +214,16 @@ def ks_drift_by(incoming: DataFrame, base_hist: DataFrame, keys: list[str], fiel
     g = (base.unionByName(points).groupBy("field", "value")
              .agg(F.sum("na").cast("double").alias("na"), F.max("nb").alias("is_point")))
     g = write_table(g, "ks-points")
-    if buckets > 1 and g.count() <= single_bucket_values:
-        buckets = 1
     n = g.groupBy("field").agg(F.sum("na").alias("n"))                       # one row per field
-    cdf = (running_sums(g, ["na"], buckets, single_bucket_values)
+    cdf = (running_sums(g, ["na"], range_values=range_values)
            .filter(F.col("is_point") == 1)
            .join(F.broadcast(n), "field")
            .select("field", "value", "n",
                    F.try_divide(F.col("cum_na"), F.col("n")).alias("fa"),
                    F.try_divide(F.col("cum_na") - F.col("na"), F.col("n")).alias("fa_lt")))
-    wk = Window.partitionBy(*keys, "field").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    m = F.sum("nb").over(Window.partitionBy(*keys, "field"))
-    per = (inc.join(cdf, ["field", "value"])
-              .withColumn("m", m)
-              .withColumn("cb", F.sum("nb").over(wk))
+    sizes = inc.groupBy(*keys, "field").agg(F.sum("nb").alias("m"))         # one row per (batch, field)
+    ranked = running_sums(inc, ["nb"], [*keys, "field"], range_values).withColumnRenamed("cum_nb", "cb")
+    per = (ranked.join(sizes, [*keys, "field"]).join(cdf, ["field", "value"])
               .select(*keys, "field", "n", "m",
                       F.greatest(F.abs(F.col("fa") - F.col("cb") / F.col("m")),
                                  F.abs(F.col("fa_lt") - (F.col("cb") - F.col("nb")) / F.col("m"))).alias("gap")))

@@ -1,11 +1,12 @@
-"""Running sums and exact quantiles over collapsed ``(field, value, count)``
-tables, without a window that puts a whole field in one task.
+"""Running sums and exact quantiles over collapsed ``(group, value, count)``
+tables, without a window that puts a whole group in one task.
 
-Fields with bounded resolution (at most ``single_bucket_values`` distinct
-values) are ranked in one window per field; larger fields are cut into
-``buckets`` ranges at approximate quantiles of their distinct values, the
-per-range totals give each range's starting offset, and a window per
-``(field, range)`` finishes the sums.
+One plan serves every size.  The number of ranges follows from the data: the
+largest group's distinct values over :data:`RANGE_VALUES`.  Each group is cut
+at approximate quantiles of its distinct values, the per-range totals give
+each range's starting offset, and a window per ``(group, range)`` finishes the
+sums, so a window task holds about :data:`RANGE_VALUES` rows however large the
+group is.
 """
 
 from __future__ import annotations
@@ -16,58 +17,50 @@ from pyspark.sql import functions as F
 from healthwatch.operators.baseline import melt
 from healthwatch.session import write_table
 
-DEFAULT_BUCKETS = 64
-SINGLE_BUCKET_VALUES = 1_000_000
+RANGE_VALUES = 1_000_000
 
 
-def running_sums(g: DataFrame, counts: list[str], buckets: int = DEFAULT_BUCKETS,
-                 single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
-    """Add ``cum_<c>`` = sum of ``c`` over values <= this row's value, per field."""
-    aggs = [F.count(F.lit(1)).alias("_nv")]
-    if buckets > 1:
-        aggs.append(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 10000).alias("_bounds"))
-        fs = g.groupBy("field").agg(*aggs)                                   # one row per field
-        bucket = F.when(F.col("_nv") <= single_bucket_values, F.lit(0)).otherwise(
-            F.size(F.filter("_bounds", lambda b: b < F.col("value"))))
-        gb = g.join(F.broadcast(fs), "field").withColumn("_bucket", bucket).drop("_bounds", "_nv")
-        wb = Window.partitionBy("field").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        per = gb.groupBy("field", "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in counts])
-        offs = per.select("field", "_bucket", *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}")
-                                                for c in counts])
-        gb = gb.join(F.broadcast(offs), ["field", "_bucket"])               # fields x buckets rows
-    else:
-        gb = g.withColumn("_bucket", F.lit(0)).withColumns({f"_o_{c}": F.lit(0) for c in counts})
-    wv = Window.partitionBy("field", "_bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    out = gb.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(wv) for c in counts})
-    return out.drop("_bucket", *[f"_o_{c}" for c in counts])
+def range_count(g: DataFrame, by: list[str], range_values: int = RANGE_VALUES) -> int:
+    """Ranges a group is cut into: its distinct values over ``range_values``,
+    for the largest group (one aggregation of the collapsed table)."""
+    most = g.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, -(-most // range_values))
 
 
-def exact_quantiles(df: DataFrame, fields: list[str], qs: list[float], buckets: int = DEFAULT_BUCKETS,
-                    single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
+def running_sums(g: DataFrame, counts: list[str], by: list[str] | None = None,
+                 range_values: int = RANGE_VALUES) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` over values <= this row's value, per
+    ``by`` group (default: per field)."""
+    by = by or ["field"]
+    ranges = range_count(g, by, range_values)
+    cuts = (F.percentile_approx("value", [i / ranges for i in range(1, ranges)], max(10000, 100 * ranges))
+            if ranges > 1 else F.first(F.array().cast("array<double>")))
+    bounds = g.groupBy(*by).agg(cuts.alias("_bounds"))                      # one row per group
+    gb = g.join(bounds, by).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds") \
+        if ranges > 1 else g.withColumn("_range", F.lit(0))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = gb.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_b_{c}") for c in counts])
+    offs = per.select(*by, "_range", *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counts])
+    gb = gb.join(offs, [*by, "_range"])                                     # groups x ranges rows
+    within = Window.partitionBy(*by, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    out = gb.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(within) for c in counts})
+    return out.drop("_range", *[f"_o_{c}" for c in counts])
+
+
+def exact_quantiles(df: DataFrame, fields: list[str], qs: list[float], range_values: int = RANGE_VALUES) -> DataFrame:
     """``(field, q, value)``: exact quantiles with linear interpolation
     (position ``(N-1) q`` in the sorted sample), computed from the collapsed
     value counts — memory per task is bounded whatever the row count."""
     g = write_table(melt(df, fields).groupBy("field", "value").agg(F.count(F.lit(1)).alias("c")), "quantiles")
-    return quantiles_from_counts(g, qs, buckets, single_bucket_values)
-
+    return quantiles_from_counts(g, qs, range_values)
 
-def quantiles_from_counts(g: DataFrame, qs: list[float], buckets: int = DEFAULT_BUCKETS,
-                          single_bucket_values: int = SINGLE_BUCKET_VALUES) -> DataFrame:
-    """Exact quantiles from a collapsed ``(field, value, c)`` table.
 
-    Small tables (at most ``single_bucket_values`` distinct values in all)
-    use the built-in frequency-weighted ``percentile`` — one aggregation whose
-    buffer is the already-distinct values.  Larger ones use distributed
-    running sums, so no task holds a whole field."""
-    if g.count() <= single_bucket_values:                        # parquet row count: metadata only
-        return (g.groupBy("field").agg(F.percentile("value", F.array(*[F.lit(q) for q in qs]), F.col("c"))
-                                       .alias("_v"))
-                 .select("field", F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in qs]).alias("q"),
-                                                         F.col("_v").alias("value"))).alias("t"))
-                 .select("field", F.col("t.q").alias("q"), F.col("t.value").alias("value")))
+def quantiles_from_counts(g: DataFrame, qs: list[float], range_values: int = RANGE_VALUES) -> DataFrame:
+    """Exact quantiles from a collapsed ``(field, value, c)`` table: the two
+    values around each position are picked by their running sums, one formula
+    at every size."""
     n = g.groupBy("field").agg(F.sum("c").alias("_n"))           # one row per field
-    r = running_sums(g.select("field", "value", "c"), ["c"], buckets, single_bucket_values) \
-        .join(F.broadcast(n), "field")
+    r = running_sums(g.select("field", "value", "c"), ["c"], range_values=range_values).join(n, "field")
     start, end = F.col("cum_c") - F.col("c"), F.col("cum_c")    # 0-based ranks [start, end)
     hits = []
     for q in qs:

@@ -81,11 +81,11 @@ def test_ks_skips_small_samples(spark, base):
 def test_ks_bucketed_equals_single_window(spark, base):
     inc = spark.createDataFrame(normal_rows(300, 5000), SCHEMA).withColumn("heart_rate", F.col("heart_rate") + 3)
     g = ks.collapse(bl.baseline_histogram(base), inc)
-    one = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=1).collect()}
-    # single_bucket_values=0 forces the range-bucketed plan even for small fields
-    many = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=16, single_bucket_values=0).collect()}
+    one = {r["field"]: r["ks"] for r in ks.ecdf_gap(g).collect()}
+    # a small range size cuts even these fields into many ranges
+    many = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, range_values=5).collect()}
     assert one == many
-    mixed = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, buckets=16, single_bucket_values=40).collect()}
+    mixed = {r["field"]: r["ks"] for r in ks.ecdf_gap(g, range_values=40).collect()}
     assert one == mixed
 
 
@@ -159,10 +159,9 @@ def test_ks_by_batch_equals_per_batch_ks(spark, base):
     inc = inc.cache()
     hist = bl.baseline_histogram(base)
     by = {(r["batch"], r["field"]): r for r in ks.ks_drift_by(inc, hist, ["batch"]).collect()}
-    forced = {(r["batch"], r["field"]): r for r in ks.ks_drift_by(inc, hist, ["batch"], buckets=8,
-                                                                                 single_bucket_values=0).collect()}
+    forced = {(r["batch"], r["field"]): r for r in ks.ks_drift_by(inc, hist, ["batch"], range_values=5).collect()}
     for b in range(3):
-        one = {r["field"]: r for r in ks.ks_drift(inc.filter(F.col("batch") == b), hist, buckets=1).collect()}
+        one = {r["field"]: r for r in ks.ks_drift(inc.filter(F.col("batch") == b), hist).collect()}
         for f, r in one.items():
             assert by[(b, f)]["ks_statistic"] == r["ks_statistic"], (b, f)
             assert by[(b, f)]["p_value"] == r["p_value"]
@@ -177,9 +176,9 @@ def test_exact_quantiles_match_numpy_on_continuous_data(spark):
     b = np.round(rng.uniform(0, 5, 3000), 1)            # heavy ties
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     qs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    for svals in (0, 10 ** 6):                           # forced range buckets / one window
+    for svals in (7, 10 ** 6):                           # many ranges / one range
         got = {(r["field"], r["q"]): r["value"]
-               for r in exact_quantiles(df, ["a", "b"], qs, buckets=8, single_bucket_values=svals).collect()}
+               for r in exact_quantiles(df, ["a", "b"], qs, range_values=svals).collect()}
         for name, arr in (("a", a), ("b", b)):
             for q in qs:
                 assert abs(got[(name, q)] - float(np.percentile(arr, q * 100))) < 1e-9, (svals, name, q)
