@@ -114,6 +114,6 @@ def classify_log(line: Column, tags: list | None = None) -> Column:
 
 def classify_log_lines(df: DataFrame, col: str = "line") -> DataFrame:
     """Drop blank lines, trim, and tag each line with its category."""
-    t = F.trim(F.col(col))
+    t = F.regexp_replace(F.col(col), r"^\s+|\s+$", "")
     return (df.withColumn(col, t).filter(F.length(col) > 0)
               .withColumn("category", classify_log(F.col(col))))

@@ -14,7 +14,7 @@ EMPTY_REASON = "Empty SQL command rejected"
 
 def audit_reason(sql: Column, enforce_prefixes: bool = False) -> Column:
     """NULL when the statement passes, else the first matching reason.
-    Patterns match case-insensitively; ``.`` stops at a newline, so a DELETE
+    Patterns match case-insensitively; ``.`` stops at a line feed only, so a DELETE
     whose WHERE sits on the next line is blocked.  With ``enforce_prefixes``
     the statement must also start with an allowed verb."""
     expr = F.lit(None).cast("string")
@@ -25,7 +25,7 @@ def audit_reason(sql: Column, enforce_prefixes: bool = False) -> Column:
             ok = c if ok is None else (ok | c)
         expr = F.when(~ok, F.lit("Statement type is not allowed")).otherwise(expr)
     for pattern, reason in reversed(fd.BLOCKED_SQL):
-        expr = F.when(sql.rlike("(?i)" + pattern), F.lit(reason)).otherwise(expr)
+        expr = F.when(sql.rlike("(?id)" + pattern), F.lit(reason)).otherwise(expr)
     return F.when(sql.isNull() | sql.rlike(r"^\s*$"), F.lit(EMPTY_REASON)).otherwise(expr)
 
 

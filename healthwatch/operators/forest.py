@@ -88,7 +88,7 @@ def fit(df: DataFrame, features: list[str], trees: int = 100, psi: int = 256, se
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     rid = F.xxhash64(*[F.col(f) for f in features], *([F.col(row_id)] if row_id else []))
     keep = min(1.0, 2.0 * psi / max(n, 1) + 1e-9) if n > 2 * psi else 1.0
-    draw = lambda t: (F.abs(F.xxhash64(F.lit(seed), t, F.col("_rid"))) % 1_000_000_007) / F.lit(1_000_000_007.0)
+    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("_rid")), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
     cand = (df.select(*features, rid.alias("_rid"))
               .withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
               .withColumn("_u", draw(F.col("tree")))

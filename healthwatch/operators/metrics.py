@@ -93,13 +93,15 @@ def incident_summary(incidents: DataFrame) -> DataFrame:
 
 def backfill_mttr(incidents: DataFrame, fixes: DataFrame, id_col: str = "log_id") -> DataFrame:
     """Set ``mttr_seconds = round(fix_end - fault_start, 2)`` on every record
-    whose id has a fix; others keep their value.  A hash join on the id (the
-    fix table is shuffled alongside, never collected)."""
+    whose id has a fix; others keep their value.  Of several fixes for one id
+    the one with the latest end counts, so no incident is repeated.  A hash
+    join on the id (the fix table is shuffled alongside, never collected)."""
     from healthwatch.functions.columns import epoch_micros
     sch = fixes.schema
     f = fixes.select(id_col, F.round((epoch_micros("fix_end", sch["fix_end"].dataType)
                                       - epoch_micros("fault_start", sch["fault_start"].dataType)) / F.lit(1e6), 2)
-                     .alias("_mttr"))
+                     .alias("_mttr"), "fix_end")
+    f = f.groupBy(id_col).agg(F.max_by("_mttr", "fix_end").alias("_mttr"))
     return (incidents.join(f, id_col, "left")
                      .withColumn("mttr_seconds", F.coalesce("_mttr", "mttr_seconds")).drop("_mttr"))
 
@@ -123,9 +125,9 @@ def evaluation_overall(ev: DataFrame) -> DataFrame:
     d = detection_correct(ev)
     n = F.count(F.lit(1))
     return d.agg(n.alias("total"), F.count_if("detection_correct").alias("detected"),
-                 F.round(F.count_if("detection_correct") / n * 100, 1).alias("detection_pct"),
+                 F.round(F.try_divide(F.count_if("detection_correct"), n) * 100, 1).alias("detection_pct"),
                  F.count_if("remediation_success").alias("remediated"),
-                 F.round(F.count_if("remediation_success") / n * 100, 1).alias("remediation_pct"),
+                 F.round(F.try_divide(F.count_if("remediation_success"), n) * 100, 1).alias("remediation_pct"),
                  F.round(F.avg("mttr_seconds"), 2).alias("avg_mttr"),
                  F.max("mttr_seconds").alias("max_mttr"), F.min("mttr_seconds").alias("min_mttr"))
 

@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 from healthwatch.functions import fields as fd
 
-# Repair actions per detector (deterministic part of the runbook rules).
+# Repair actions per detector (deterministic part of the runbook rules):
+# the first entry whose text occurs in the detector's name applies.
 ACTIONS = {
     "security": ("D", 0, "quarantine attacker id"),
     "zscore": ("A", 1, "impute impossible vitals with jitter"),
     "ks_test": ("A", 1, "impute impossible vitals with jitter"),
     "schema_entropy": ("B", 2, "impute missing spo2 with jitter"),
-    "latency_monitor": ("E", 3, "alert the on-call team"),
+    "latency": ("E", 3, "alert the on-call team"),
     "warehouse_monitor": ("E", 3, "alert the on-call team"),
+    "resource_limit": ("E", 3, "alert the on-call team"),
     "stall": ("F", 4, "check the connector status"),
 }
+#: A signal without a rule keeps a step of its own in the plan.
+NO_RULE = ("Z", 9, "no repair rule: inspect ")
 
 
 def components(detector: Column) -> Column:
@@ -83,21 +87,21 @@ def completion_goals(alerts: DataFrame, keys: list[str] | None = None) -> DataFr
 def action_plan(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Ordered repair steps: quarantine first, one vitals imputation even when
     both zscore and ks_test fired, then spo2 imputation, alerting, connector
-    check.  ``step`` numbers the plan within each group."""
+    check.  Rules match as substrings; a signal without a rule gets an explicit
+    step that names it, so no alert is dropped.  ``step`` numbers the plan
+    within each group."""
     keys = keys or []
-    code = F.lit(None).cast("string")
-    rank = F.lit(None).cast("int")
-    text = F.lit(None).cast("string")
-    for det, (c, r, t) in ACTIONS.items():
-        hit = F.col("detector") == det
+    code, rank = F.lit(NO_RULE[0]), F.lit(NO_RULE[1])
+    text = F.concat(F.lit(NO_RULE[2]), F.col("detector"))
+    for det, (c, r, t) in reversed(ACTIONS.items()):
+        hit = F.lower("detector").contains(det)
         code = F.when(hit, F.lit(c)).otherwise(code)
         rank = F.when(hit, F.lit(r)).otherwise(rank)
         text = F.when(hit, F.lit(t)).otherwise(text)
     acts = (alerts.select(*keys, code.alias("action_code"), rank.alias("rank"), text.alias("action"))
-                  .filter(F.col("action_code").isNotNull())
-                  .dropDuplicates([*keys, "action_code"]))
-    w = Window.partitionBy(*keys).orderBy("rank", "action_code") if keys else \
-        Window.orderBy("rank", "action_code")       # one packet: <= 6 rows
+                  .dropDuplicates([*keys, "action_code", "action"]))
+    w = Window.partitionBy(*keys).orderBy("rank", "action_code", "action") if keys else \
+        Window.orderBy("rank", "action_code", "action")       # one packet: a few rows
     return acts.withColumn("step", F.row_number().over(w)).drop("rank")
 
 
@@ -158,8 +162,8 @@ def incident_record(packet: DataFrame, plan: DataFrame, validation: DataFrame,
                           F.col("failures").alias("validation_failures"))
     row = combine_rows(p, acts, v)
     return row.select(
-        F.concat(F.lit("INC-"), F.abs(F.xxhash64("crisis_id", "fault_signals", "affected_components",
-                                                  "validation_status")).cast("string")).alias("log_id"),
+        F.concat(F.lit("INC-"), F.xxhash64("crisis_id", "fault_signals", "affected_components",
+                                                  "validation_status").cast("string")).alias("log_id"),
         F.current_timestamp().alias("timestamp"), "crisis_id", "severity", "affected_components",
         "fault_signals", F.lit(diagnosis).cast("string").alias("agent_diagnosis"),
         F.array_join(F.transform("_a", lambda s: s["action"]), " | ").alias("actions_taken"),

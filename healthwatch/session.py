@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 
@@ -44,11 +46,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is honoured as is.
-    Only when it is unset (local tests) a fresh local folder is created and
-    registered, so ``DataFrame.checkpoint()`` works the same in both places.
+    Only when it is unset on a ``local`` master (tests) a fresh local folder
+    is created and registered, so ``DataFrame.checkpoint()`` works the same in
+    both places; on any other master executors would write to their own disks,
+    so the missing setting is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = tempfile.mkdtemp(prefix="healthwatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -69,9 +76,50 @@ def write_table(df, name: str):
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+#: Tables written by this process that were not removed yet.
+_WRITTEN: list[str] = []
+
+
+def remove_tables(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the tables this process wrote after the first ``keep`` ones, in
+    whatever file system they are; returns how many went.  Results that still
+    read them must be consumed before."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _WRITTEN[keep:]
+    del _WRITTEN[keep:]
+    for path in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(gone)
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession):
+    """Remove the intermediate tables written inside the block when it ends:
+
+    ``with scratch_tables(spark): detect_all(...).write.parquet(out)``"""
+    keep = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        remove_tables(spark, keep)
+
+
+@atexit.register
+def _remove_at_exit() -> None:
+    """Tables that nobody removed go with the application, while it still has
+    a running context."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            remove_tables(spark)
+
+
 _SHIPPED: set[str] = set()
 
 

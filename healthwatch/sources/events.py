@@ -39,7 +39,7 @@ def latest_n(df: DataFrame, order: list[str | Column], n: int = 50, by: list[str
     desc = [c.desc() for c in cols]
     if not by:
         return df.orderBy(*desc).limit(n)
-    salted = df.withColumn("_salt", F.abs(F.xxhash64(*df.columns)) % salt)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
     w1 = Window.partitionBy(*by, "_salt").orderBy(*desc)
     first = salted.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n)
     w2 = Window.partitionBy(*by).orderBy(*desc)
@@ -50,19 +50,29 @@ def latest_n(df: DataFrame, order: list[str | Column], n: int = 50, by: list[str
 def decode_events(df: DataFrame, col: str = "raw", schema: T.StructType = EVENT_JSON_SCHEMA,
                   keep_corrupt: bool = False) -> DataFrame:
     """Parse JSON text once into a ``map<string,string>``: its keys are the
-    present keys (a key with a JSON null is still present) and the known
-    fields are cast from it.  Malformed rows parse to NULL and are skipped,
-    or kept with ``keep_corrupt`` (fields NULL, ``_corrupt`` = the text)."""
+    present keys (a key with a JSON null is still present, a repeated key is
+    listed once and its last value counts) and the known fields are cast from
+    it; a value of the wrong type becomes NULL and the row stays.  Malformed
+    rows parse to NULL and are skipped, or kept with ``keep_corrupt`` (fields
+    NULL, ``_corrupt`` = the text).  The parsed map is exploded as a
+    one-element array, so each text is parsed once and the filter does not
+    repeat the parse."""
     m = F.from_json(F.col(col), T.MapType(T.StringType(), T.StringType()), {"mode": "PERMISSIVE"})
-    parsed = df.withColumn("_m", m)
+    one = F.array(m) if keep_corrupt else F.filter(F.array(m), lambda x: x.isNotNull())
+    parsed = df.select("*", F.explode(one).alias("_m"))
     names = [f for f in schema.fields if f.name != "_corrupt"]
     keep = [c for c in df.columns if c != col and c not in schema.fieldNames()]
-    out = parsed.select(*keep, *[F.col("_m")[f.name].cast(f.dataType).alias(f.name) for f in names],
+    keys = F.map_keys("_m")
+    repeated = F.size(keys) != F.size(F.array_distinct(keys))
+
+    def value(name: str) -> Column:
+        last = F.element_at(F.filter(F.map_entries("_m"), lambda e: e["key"] == name), -1)["value"]
+        return F.when(repeated & F.array_contains(keys, name), last).otherwise(F.col("_m")[name])
+
+    out = parsed.select(*keep, *[value(f.name).try_cast(f.dataType).alias(f.name) for f in names],
                         F.when(F.col("_m").isNull(), F.col(col)).alias("_corrupt"),
-                        F.array_sort(F.map_keys("_m")).alias("keys"))
-    if keep_corrupt:
-        return out
-    return out.filter(F.col("keys").isNotNull()).drop("_corrupt")
+                        F.array_sort(F.array_distinct(keys)).alias("keys"))
+    return out if keep_corrupt else out.drop("_corrupt")
 
 
 def corrupt_count(df: DataFrame, col: str = "raw") -> DataFrame:
@@ -72,7 +82,8 @@ def corrupt_count(df: DataFrame, col: str = "raw") -> DataFrame:
 
 
 def align_to_schema(df: DataFrame, target: T.StructType, rename: dict | None = None) -> DataFrame:
-    """Keep the target's columns (cast to its types), drop unknown ones and
+    """Keep the target's columns (cast to its types, NULL where a value does
+    not fit), drop unknown ones and
     add missing ones as typed NULLs — the schema-aligned append shape.  If the
     target has no columns, the frame passes unchanged."""
     if not target.fields:
@@ -80,7 +91,7 @@ def align_to_schema(df: DataFrame, target: T.StructType, rename: dict | None = N
     rename = rename or {}
     src = {rename.get(c, c): c for c in df.columns}
     return df.select(*[
-        (F.col(src[f.name]).cast(f.dataType) if f.name in src else F.lit(None).cast(f.dataType)).alias(f.name)
+        (F.col(src[f.name]).try_cast(f.dataType) if f.name in src else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in target.fields])
 
 
@@ -118,9 +129,17 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON-lines source; blank lines are skipped, a fixed schema avoids an
-    inference pass over the data."""
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+    """JSON-lines source; blank and malformed lines are skipped, a fixed schema
+    avoids an inference pass over the data."""
+    if schema is None:
+        return spark.read.option("mode", "DROPMALFORMED").json(path)
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    full = T.StructType([*fields.fields, T.StructField("_corrupt_line", T.StringType())])
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_line"}).alias("r"))
+    return parsed.filter(F.col("r._corrupt_line").isNull()).select(*[F.col(f"r.`{f.name}`") for f in fields.fields])
+
+
+def malformed_lines(spark, path: str) -> DataFrame:
+    """How many non-blank lines of a JSON-lines file are no JSON objects."""
+    return corrupt_count(spark.read.text(path).filter(F.trim("value") != ""), "value")

@@ -23,22 +23,36 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from healthwatch.functions import fields as fd
 from healthwatch.operators import alerts as al
-from healthwatch.session import checkpoint_dir
+from healthwatch.session import checkpoint_dir, scratch_tables
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
-    """Stream the parquet file(s) of table ``name`` from ``folder``."""
-    schema = spark.read.parquet(os.path.join(folder, f"{name}.parquet")).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """Stream the parquet table ``name`` from ``folder``, whether it is one
+    file or a directory of part files."""
+    path = os.path.join(folder, f"{name}.parquet")
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(folder)
+    if _is_directory(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def _is_directory(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def event_time(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -94,36 +108,49 @@ def idle_sessions(stream: DataFrame, gap_seconds: int = fd.STALL_SECONDS, key: s
 
 
 def stream_detect(stream: DataFrame, stats: DataFrame, base_hist: DataFrame, name: str = "alerts",
-                  trigger: dict | None = None) -> DataFrame:
-    """Run the full detector fan-in on every micro-batch; append the alerts
-    with their batch id.  Baseline tables are small and reused per batch."""
+                  trigger: dict | None = None, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run the full detector fan-in on every micro-batch and keep the alerts
+    by batch id.
+
+    ``out`` and ``checkpoint`` name the result table and the stream's
+    checkpoint: with both given a stopped stream goes on where it ended.  A
+    batch's alerts are its own partition ``batch_id=<n>``, which a replayed
+    batch overwrites, so nothing is written twice.  The intermediate tables of
+    a batch are removed when it ends.  Baseline tables are small and reused
+    per batch."""
     spark = stream.sparkSession
     path, ckpt = _scratch(spark, name)
+    path, ckpt = out or path, checkpoint or ckpt
     stats = stats.cache()
     base_hist = base_hist.cache()
 
     def each(batch: DataFrame, batch_id: int) -> None:
         b = batch.persist()
         try:
-            out = al.detect_all(b, stats, base_hist).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            out.write.mode("append").parquet(path)
+            with scratch_tables(spark):
+                found = al.detect_all(b, stats, base_hist).withColumn("batch_id", F.lit(batch_id).cast("long"))
+                (found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("batch_id").parquet(path))
         finally:
             b.unpersist()
 
     q = (stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
                .trigger(**(trigger or {"availableNow": True})).start())
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    finally:
+        stats.unpersist()
+        base_hist.unpersist()
     schema = "detector string, priority int, signal_count long, detail string, batch_id long"
     return _read_or_empty(spark, path, schema)
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The written table, or an empty frame when no batch ran (no input)."""
-    try:
-        r = spark.read
-        return (r.schema(schema) if schema is not None else r).parquet(path)
-    except AnalysisException:
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
+    r = spark.read
+    return (r.schema(schema) if schema is not None else r).parquet(path)
 
 
 def stream_latest_n(stream: DataFrame, order: list[str], n: int = 50, name: str = "latest-n",
@@ -141,13 +168,11 @@ def stream_latest_n(stream: DataFrame, order: list[str], n: int = 50, name: str
 
     def each(batch: DataFrame, batch_id: int) -> None:
         top = latest_n(batch, order, n)
-        try:
+        if _exists(spark, path):                              # else the first batch: no state yet
             prev = spark.read.parquet(path)
             last = prev.filter(F.col("bid") < batch_id).agg(F.max("bid")).first()[0]
             if last is not None:
                 top = top.unionByName(prev.filter(F.col("bid") == last).drop("bid"))
-        except AnalysisException:
-            pass                                          # first batch: no state yet
         (latest_n(top, order, n).withColumn("bid", F.lit(batch_id).cast("long"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("bid").parquet(path))
