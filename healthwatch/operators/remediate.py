@@ -107,6 +107,33 @@ def fix_impact(df: DataFrame, attacker: str = fd.ATTACKER_ID) -> DataFrame:
                                           for n in names])).alias("r")).select("r.*")
 
 
+def apply_plan(df: DataFrame, codes: list[str], mode: str = "jitter", method: str = "murmur3",
+               attacker: str = fd.ATTACKER_ID) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Carry out the repair steps of an action plan in its order.
+
+    ``codes`` are the plan's action codes (a handful, see
+    ``triage.plan_codes``): D quarantines ``attacker``; A repairs impossible
+    vitals by ``mode`` (``jitter``, ``constant`` or ``delete``); B imputes a
+    missing spo2.  Other codes change no rows.  Returns (repaired rows,
+    quarantined rows, codes that changed the table): what an incident reports
+    as done is what was done."""
+    if mode not in ("jitter", "constant", "delete"):
+        raise ValueError(f"unknown repair mode {mode!r}")
+    removed, done = df.filter(F.lit(False)), []
+    for code in codes:
+        if code == "D":
+            df, removed = quarantine(df, attacker)
+        elif code == "A":
+            df = {"jitter": lambda x: impute_impossible(x, method=method), "constant": impute_constant,
+                  "delete": drop_impossible}[mode](df)
+        elif code == "B":
+            df = impute_null(df, "spo2", method=method)
+        else:
+            continue
+        done.append(code)
+    return df, removed, done
+
+
 def write_fixed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Persist a repaired table to a NEW path (swap afterwards)."""
     df.write.mode("overwrite").format(fmt).save(path)

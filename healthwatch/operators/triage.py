@@ -105,6 +105,11 @@ def action_plan(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return acts.withColumn("step", F.row_number().over(w)).drop("rank")
 
 
+def plan_codes(plan: DataFrame) -> list[str]:
+    """Action codes of one packet's plan in order (one row per action)."""
+    return [r["action_code"] for r in plan.orderBy("step").select("action_code").collect()]
+
+
 # ---------------------------------------------------------------- F5
 def _sq_dist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)

@@ -100,6 +100,12 @@ def q_fix_impact(spark, sf_dir):
 _FIXED = f"""SELECT * REPLACE (COALESCE(spo2, {_jit(96, 30)}) AS spo2) FROM inc
 WHERE NOT COALESCE(patient_id = '{ATT}', false) AND NOT {_IMP}"""
 
+# what the plan of the incoming half does: quarantine, jitter, spo2 imputation
+_PLANNED = f"""SELECT * REPLACE (CASE WHEN {_IMP} THEN {_jit(78, 6)} ELSE heart_rate END AS heart_rate,
+  CASE WHEN {_IMP} THEN {_jit(115, 10)} ELSE bp_systolic END AS bp_systolic,
+  COALESCE(CASE WHEN {_IMP} THEN {_jit(96, 30)} ELSE spo2 END, {_jit(96, 30)}) AS spo2) FROM inc
+WHERE NOT COALESCE(patient_id = '{ATT}', false)"""
+
 
 @register("validate_pipeline", sql=f"""
 WITH fixed AS ({_FIXED}), {alert_ctes('fixed', security=False, stall=False)}
@@ -179,7 +185,7 @@ def q_incident_summary(spark, sf_dir):
 # ---------------------------------------------------------------- G12
 def _incident_sql():
     from healthwatch.plans import q_triage as qt
-    return f"""WITH fixed AS ({_FIXED})
+    return f"""WITH fixed AS ({_PLANNED})
 SELECT pk.severity, pk.affected_components, pk.fault_signals, ap.actions_taken,
        v.validation_status, v.validation_failures
 FROM (WITH {qt.ALERT_CTES} {qt.PACKET_SELECT}) pk,
@@ -199,8 +205,45 @@ def q_incident_record(spark, sf_dir):
     # the alert table (a few rows) feeds both the packet and the plan: write it once
     from healthwatch.session import write_table
     alerts = write_table(al.detect_all(inc, stats, hist), "alerts")
-    kept, _ = rm.quarantine(inc, ATT)
-    fixed = rm.impute_null(rm.drop_impossible(kept), "spo2", method="md5")
-    rec = tr.incident_record(tr.crisis_packet(alerts), tr.action_plan(alerts), al.validate(fixed, stats, hist))
+    plan = tr.action_plan(alerts)
+    fixed, _, done = rm.apply_plan(inc, tr.plan_codes(plan), method="md5")
+    rec = tr.incident_record(tr.crisis_packet(alerts), plan.filter(F.col("action_code").isin(done)), al.validate(fixed, stats, hist))
     return rec.select("severity", "affected_components", "fault_signals", "actions_taken",
                       "validation_status", "validation_failures")
+
+
+# ---------------------------------------------------------------- closed loop
+# The clean period with a schema fault (spo2 lost, an unknown field) in 1 % of its rows: detect, plan, repair by
+# the plan, validate.  The repair restores the steady state.
+_GONE = "CAST(substr(event_id, 4) AS BIGINT) % 100 = 3"
+_LOST = f"""SELECT * REPLACE (CASE WHEN {_GONE} THEN CAST(NULL AS DOUBLE) ELSE spo2 END AS spo2,
+  CASE WHEN {_GONE} THEN 'ICD-1' END AS diagnosis_code) FROM base"""
+_RESTORED = f"SELECT * REPLACE (COALESCE(spo2, {_jit(96, 30)}) AS spo2) FROM lost"
+
+
+@register("closed_loop", sql=f"""
+WITH lost AS ({_LOST}), fixed AS ({_RESTORED})
+SELECT d.fault_signals, 'impute missing spo2 with jitter' AS actions_taken,
+       (SELECT COUNT(*) FROM lost WHERE spo2 IS NULL) AS lost_rows, v.validation_status,
+       (SELECT COUNT(*) FROM fixed WHERE spo2 IS NULL) AS missing_after
+FROM (WITH {alert_ctes('lost', stall=False)} SELECT string_agg(detector, ',' ORDER BY priority) AS fault_signals FROM alerts) d,
+     (WITH {alert_ctes('fixed', security=False, stall=False)}
+      SELECT CASE WHEN (SELECT COUNT(*) FROM alerts) = 0 THEN 'STEADY_STATE' ELSE 'STILL_ANOMALOUS' END AS validation_status) v""", views=("base",))
+def q_closed_loop(spark, sf_dir):
+    from healthwatch.operators import triage as tr
+    from healthwatch.session import write_table
+    base, _ = _halves(spark, sf_dir)
+    number = F.substring("event_id", 4, 20).cast("long")
+    lost = base.withColumns({"spo2": F.when(number % 100 == 3, F.lit(None).cast("double")).otherwise(F.col("spo2")),
+                             "diagnosis_code": F.when(number % 100 == 3, F.lit("ICD-1"))})
+    stats, hist = bl.fit(base, quantiles=False)
+    alerts = write_table(al.detect_all(lost, stats, hist).filter("detector <> 'stall'"), "alerts")
+    plan = tr.action_plan(alerts)
+    fixed, _, done = rm.apply_plan(lost, tr.plan_codes(plan), method="md5")
+    fixed = write_table(fixed, "repaired")
+    rec = tr.incident_record(tr.crisis_packet(alerts), plan.filter(F.col("action_code").isin(done)), al.validate(fixed, stats, hist))
+    counts = lost.agg(F.count_if(F.col("spo2").isNull()).alias("lost_rows"))
+    after = fixed.agg(F.count_if(F.col("spo2").isNull()).alias("missing_after"))
+    from healthwatch.functions.columns import combine_rows
+    return combine_rows(rec.select("fault_signals", "actions_taken", "validation_status"), counts, after).select(
+        "fault_signals", "actions_taken", "lost_rows", "validation_status", "missing_after")
