@@ -16,7 +16,7 @@ def brute(text):
     if not text:
         return []
     codes = P.escape(text).tolist()
-    chars = ["" if c == P.OTHER_MARK else chr(c) for c in codes]
+    chars = ["\0" if c == P.OTHER_MARK else chr(c) for c in codes]
     best, back = [0.0] + [-1e300] * len(chars), [None] * (len(chars) + 1)
     for j in range(1, len(chars) + 1):
         for n in range(min(j, LATTICE.longest), 0, -1):
