@@ -18,10 +18,10 @@ share a bucket.  Copies are collapsed to one node first.  Members whose
 shingles are mostly found in no other candidate cannot reach the threshold with
 anyone and leave; this is decided by counting, not by pairs.  A bucket emits a
 star (every member with the bucket's pivot), never all pairs.  Links are checked on
-the whole shingle sets.  Members of a bucket that a star left in different
-components are paired with further pivots, four times as many in each round, until
-no bucket holds an unchecked pair of different components, so no candidate is
-dropped.  With 32 bands of 5 a pair of similarity 0.8 misses every bucket with
+the whole shingle sets.  Where a star left members
+of a bucket in different components, whole buckets, the largest of each member
+first, are compared block by block inside tasks until no bucket holds an
+unchecked pair of different components, so no candidate is dropped.  With 32 bands of 5 a pair of similarity 0.8 misses every bucket with
 probability 3e-6."""
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from healthwatch.llm.common import RID, map_arrow, sized, with_row_id, write_table
+from healthwatch.llm.common import RID, map_arrow, ship_package, sized, with_row_id, write_table
 from healthwatch.llm.exact_dedup import drop_rows
 
 SHINGLE = 5
@@ -42,6 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Bytes of text whose signatures are computed together.
 BATCH_BYTES = 4_000_000
+#: Nodes of a bucket that one task compares with as many others.
+BLOCK_NODES = 512
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -246,10 +248,14 @@ def fertile(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     x in some other candidate.  Counting, for each shingle, the candidates
     that have it settles that without any pair; only nodes without a link are
     dropped."""
-    rows = write_table(map_arrow(sets, _shingle_rows, "node binary, size int, shingle bigint"), "shingle-rows")
+    named = sets.withColumn("id", F.xxhash64("node"))
+    rows = write_table(map_arrow(named.select("id", "shingles"), _shingle_rows, "id bigint, size int, shingle bigint"), "shingle-rows")
     common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    counts = rows.join(common.hint("merge"), "shingle").groupBy("node", "size").agg(F.count("*").alias("found"))
-    return write_table(counts.filter(F.col("found") >= threshold * F.col("size") - 1e-9), "fertile")
+    counts = rows.join(common.hint("merge"), "shingle").groupBy("id", "size").agg(F.count("*").alias("found"))
+    able = write_table(counts.filter(F.col("found") >= threshold * F.col("size") - 1e-9), "fertile")
+    # two nodes with one id would only count too much, which drops neither
+    size = (F.octet_length("shingles") / 8).cast("int")
+    return write_table(named.select("node", "id", size.alias("size")).join(sized(able), ["id", "size"]).drop("id"), "fertile")
 
 
 def _can_link(size, found, other_size, other_found, threshold: float):
@@ -260,10 +266,12 @@ def _can_link(size, found, other_size, other_found, threshold: float):
 
 def _shingle_rows(batches):
     for b in batches:
-        for node, shingles in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist()):
-            x = np.frombuffer(shingles, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * len(x), pa.binary()), pa.array(np.full(len(x), len(x), np.int32)), pa.array(x)],
-                                             names=["node", "size", "shingle"])
+        for i in range(0, b.num_rows, 64):
+            part = b.slice(i, 64)
+            sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)),
+                                              pa.array(np.concatenate(sets))], names=["id", "size", "shingle"])
 
 
 def _rooted(frame: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
@@ -284,46 +292,88 @@ def _with_pivots(members: DataFrame) -> DataFrame:
 def link_nodes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, roots) among nodes (node, bands).  ``texts_of(candidates)``
     returns (node, shingles) for a table of nodes."""
-    shared = write_table(_with_pivots(nodes.select(F.explode("bands").alias("key"), "node")).select("key", "node"), "members")
+    nodes = write_table(nodes, "nodes")
+    banded = nodes.select(F.explode("bands").alias("key"), "node")
+    common = write_table(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "buckets")
+    shared = write_table(banded.join(common.hint("merge"), "key"), "members")
     sets = write_table(texts_of(shared.select("node").distinct()), "shingle-sets")
     members = write_table(_with_pivots(shared.join(sized(fertile(sets, threshold)), "node")), "members")
     both = [F.col(c) for c in ("size", "found", "pivot.size", "pivot.found")]
     stars = members.filter((F.col("node") != F.col("pivot.node")) & _can_link(*both, threshold))
     stars = write_table(stars.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "pairs")
-    links, checked = write_table(verified_links(stars, sets, threshold), "links"), stars
+    links = write_table(verified_links(stars, sets, threshold), "links")
     roots = write_table(components(links), "roots")
-    members = _rooted(members.filter(F.col("node") != F.col("pivot.node")).select("key", "node", "size", "found"), roots, "node", "root")
-    pivots = 4
+    members = members.filter(F.col("node") != F.col("pivot.node")).select("key", "node", "size", "found", F.col("node").alias("seen"))
+    first = True
     while True:
-        members = write_table(members, "members")
-        # a bucket is open while it has members of two components; its commonest one needs no pivots
-        per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("size").alias("low"))
-        open_ = (per_root.groupBy("key").agg(F.count("*").alias("roots"), F.min("low").alias("low"), F.max_by("root", "n").alias("major"))
-                 .filter("roots > 1").select("key", "low", "major"))
+        members = write_table(_rooted(members, roots, "node", "root"), "members")
+        # a bucket is open while members of two components were not compared in one earlier bucket (``seen``)
+        per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.min("seen").alias("lo"), F.max("seen").alias("hi"))
+        open_ = (per_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"),
+                                             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("root", "n").alias("major"))
+                 .filter("roots > 1 and lo != hi").drop("roots", "lo", "hi"))
         open_ = write_table(open_, "open-buckets")
         if open_.isEmpty():
-            break
+            return links, roots
         # no partner of x is larger than found * (1 + t) / t - |x|: x goes when even the smallest member is
         largest = F.col("found") * ((1 + threshold) / threshold) - F.col("size") + 1e-6
-        members = write_table(members.join(open_.hint("merge"), "key").filter(F.col("low") <= largest).drop("low"), "members")
-        salt = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots))
-        chosen = members.filter("root != major").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("node", "root", "size", "found")).alias("p"))
-        chosen = write_table(chosen.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "root", "size", "found")]), "pivots")
-        able = (F.col("root") != F.col("p_root")) & _can_link(F.col("size"), F.col("found"), F.col("p_size"), F.col("p_found"), threshold)
-        pairs = (members.join(chosen.hint("merge"), "key").filter(able)
-                 .select(F.greatest("node", "p_node").alias("a"), F.least("node", "p_node").alias("b")).distinct())
-        done = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = write_table(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        new = write_table(verified_links(pairs, sets, threshold), "links")
-        checked = checked.unionByName(pairs)
-        used = chosen.select("key", F.col("p_node").alias("node"))
-        members = members.drop("major").join(used.hint("merge"), ["key", "node"], "left_anti")
+        able = write_table(members.join(open_.hint("merge"), "key").filter(F.col("low") <= largest), "members")
+        if first:  # each member's largest bucket; most others hold no new pair after it
+            largest = able.groupBy("node").agg(F.max(F.struct("n", "key")).alias("b")).select(F.col("b.key").alias("key")).distinct()
+            chosen = write_table(largest, "buckets")
+            work = write_table(able.join(sized(chosen), "key"), "members")
+        else:
+            chosen, work = open_.select("key"), able
+        first = False
+        new = write_table(_blocks(work, sets, threshold), "links")
+        seen = write_table(work.groupBy("node").agg(F.max(F.hash("key").cast("string").cast("binary")).alias("now")), "seen")
         if not new.isEmpty():
-            links = links.unionByName(new)
+            links = write_table(links.unionByName(new).distinct(), "links")
             roots = write_table(components(links), "roots")
-            members = _rooted(members.drop("root"), roots, "node", "root")
-        pivots *= 4
-    return links, roots
+        members = (able.join(sized(chosen), "key", "left_anti").join(sized(seen), "node", "left")
+                   .select("key", "node", "size", "found", F.coalesce("now", "seen").alias("seen")))
+
+
+def _blocks(work: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links inside whole buckets between members outside the commonest
+    component and all members.  Both sides are cut into blocks of about
+    :data:`BLOCK_NODES` nodes and a task compares one block with one other, so
+    no pair becomes a row and no task holds more than two blocks."""
+    wide = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_NODES)), F.lit(1)).cast("int")
+    tall = F.greatest(F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK_NODES)), F.lit(1)).cast("int")
+    spot = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    minor = (work.filter("root != major").select("key", "node", "root", spot(1, tall).alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
+             .withColumn("minor", F.lit(True)))
+    every = work.select("key", "node", "root", F.explode(F.sequence(F.lit(0), tall - 1)).alias("i"), spot(2, wide).alias("j")).withColumn("minor", F.lit(False))
+    rows = minor.unionByName(every).join(sets.hint("merge"), "node")
+    ship_package(work.sparkSession)
+    return rows.groupBy("key", "i", "j").applyInArrow(_compare_blocks(threshold), "a binary, b binary").distinct()
+
+
+def _compare_blocks(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        flags = np.array(table["minor"].to_pylist(), bool)
+        nodes, roots = table["node"].to_pylist(), table["root"].to_pylist()
+        sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
+        left, right = np.flatnonzero(flags), np.flatnonzero(~flags)
+        found = ([], [])
+        if len(left) and len(right):
+            flat = np.concatenate([sets[k] for k in right])
+            kinds, ids = np.unique(flat, return_inverse=True)
+            sizes = np.array([len(sets[k]) for k in right])
+            starts = np.cumsum(sizes) - sizes
+            for k in left:
+                at = np.searchsorted(kinds, sets[k])
+                at = at[at < len(kinds)] if len(kinds) else at
+                mark = np.zeros(len(kinds), np.int64)
+                mark[at[np.isin(kinds[at], sets[k])]] = 1
+                both = np.add.reduceat(mark[ids], starts)
+                for r in right[both >= threshold * (len(sets[k]) + sizes - both) - 1e-9]:
+                    if roots[r] != roots[k]:
+                        found[0].append(max(nodes[k], nodes[r]))
+                        found[1].append(min(nodes[k], nodes[r]))
+        return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
