@@ -144,5 +144,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; columns stay as they are."""
     cols = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__doc"), F.col("text"))
-    kept = quality(row, keep=["__doc"]).filter("kept")
+    judged = quality(row, keep=["__doc"]).select("__doc", "kept", F.monotonically_increasing_id().alias("__row"))
+    # the row number keeps the optimizer from pushing the filter below the measures, which would compute each of them several times
+    kept = judged.filter(F.col("kept") & (F.col("__row") >= 0))
     return kept.select(*[F.col("__doc").getField(c).alias(c) for c in cols])
