@@ -24,7 +24,7 @@ pieces, so every text round-trips exactly."""
 from __future__ import annotations
 
 import hashlib
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ LANES = 64
 BATCH_CHARS = 1_500_000
 
 
-@cache
+@lru_cache(maxsize=2)
 def _lattice(key: int, holder) -> Lattice:
     return Lattice(holder.value)
 
