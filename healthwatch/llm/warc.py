@@ -213,26 +213,77 @@ def reassemble(records: DataFrame) -> DataFrame:
     return records.filter("segment is null").unionByName(joined)
 
 
+_DECODED = ("record_id string, record_type string, uri string, refers_to string, "
+            "payload_bytes bigint, payload_digest string, verified boolean, payload binary")
+
+
+def _decoded(record_id, kind, uri, refers_to, digest, length, block, keep: bool) -> tuple:
+    """One row of :data:`_DECODED`; the payload itself only with ``keep``."""
+    payload, ok = None, block is not None
+    if ok and kind == "response":
+        payload = http_payload(block)
+        ok = digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    raw = base64.b32decode(digest.split(":")[1]).hex() if digest else None
+    return (record_id, kind, uri, refers_to, length if payload is None else len(payload), raw, ok, payload if keep else None)
+
+
+_DECODE_FROM = ("record_id", "record_type", "uri", "refers_to", "payload_digest", "payload_length", "block")
+_DECODED_TYPES = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary())
+_DECODED_NAMES = [c.split()[0] for c in _DECODED.split(", ")]
+
+
+def _decoded_columns(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate(_DECODED_TYPES)]
+
+
 def _payload_batches(batches):
     for b in batches:
-        rows = []
-        for kind, digest, length, block in zip(*(b.column(c).to_pylist() for c in ("record_type", "payload_digest", "payload_length", "block"))):
-            payload, ok = None, block is not None
-            if ok and kind == "response":
-                payload = http_payload(block)
-                ok = digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-            raw = base64.b32decode(digest.split(":")[1]).hex() if digest else None
-            rows.append((length if payload is None else len(payload), raw, ok, payload))
-        kept = [b.column(c) for c in ("record_id", "record_type", "uri", "refers_to")]
-        cols = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.bool_(), pa.binary()))] if rows else [
-            pa.array([], t) for t in (pa.int64(), pa.string(), pa.bool_(), pa.binary())]
-        yield pa.RecordBatch.from_arrays(kept + cols, names=["record_id", "record_type", "uri", "refers_to", "payload_bytes", "payload_digest", "verified", "payload"])
+        rows = [_decoded(*r, True) for r in zip(*(b.column(c).to_pylist() for c in _DECODE_FROM))]
+        yield pa.RecordBatch.from_arrays(_decoded_columns(rows), names=_DECODED_NAMES)
 
 
 def payloads(records: DataFrame) -> DataFrame:
     """Decoded payload, its size, its SHA-1 and whether the digest agrees."""
-    return map_arrow(records, _payload_batches, "record_id string, record_type string, uri string, refers_to string, "
-                     "payload_bytes bigint, payload_digest string, verified boolean, payload binary")
+    return map_arrow(records, _payload_batches, _DECODED)
+
+
+_SUMMARY = _PARSED + ", payload_bytes bigint, payload_hex string, verified boolean"
+
+
+def _summary_batches(batches):
+    """Complete records decoded and checked at once (their blocks go),
+    segments as they are."""
+    schema = None
+    for b in _parse_batches(batches):
+        rows = b.to_pylist()
+        for r in rows:
+            r |= {"payload_bytes": None, "payload_hex": None, "verified": None}
+            if r["segment"] is None:
+                d = _decoded(*(r[c] for c in _DECODE_FROM), False)
+                r |= {"payload_bytes": d[4], "payload_hex": d[5], "verified": d[6], "block": None}
+        schema = schema or pa.schema([*b.schema, ("payload_bytes", pa.int64()), ("payload_hex", pa.string()), ("verified", pa.bool_())])
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def _join_and_decode(table: pa.Table) -> pa.Table:
+    whole = join_segments(table).to_pylist()[0]
+    return pa.Table.from_arrays(_decoded_columns([_decoded(*(whole[c] for c in _DECODE_FROM), False)]), names=_DECODED_NAMES)
+
+
+def checked_records(spark, path: str) -> DataFrame:
+    """Size, SHA-1 and check of every record's payload, without the payloads.
+
+    The archives are parsed once: complete records are decoded where they are
+    read, and only segments are kept with their bytes, shuffled by origin and
+    decoded when joined."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
+    parsed = write_table(map_arrow(files, _summary_batches, _SUMMARY), "warc-records")
+    whole = parsed.filter("segment is null").select("record_id", "record_type", "uri", "refers_to", "payload_bytes",
+                                                    F.col("payload_hex").alias("payload_digest"), "verified")
+    segments = parsed.filter("segment is not null").drop("payload_bytes", "payload_hex", "verified")
+    ship_package(spark)
+    joined = segments.groupBy("origin").applyInArrow(_join_and_decode, _DECODED).drop("payload")
+    return whole.unionByName(joined)
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -252,7 +303,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     if spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length").isEmpty():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, verified boolean")
     ident = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d*)", 1)
-    out = payloads(reassemble(read_records(spark, path)))
+    out = checked_records(spark, path)
     number = lambda c: F.when(ident(c) != "", ident(c).cast("bigint"))
     return out.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                       number("refers_to").alias("refers_to"), "verified")
