@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from healthwatch.llm.common import map_arrow, ship_package, write_table
+from healthwatch.llm.common import RID, map_arrow, ship_package, with_row_id, write_table
 from healthwatch.session import checkpoint_dir
 
 SEGMENT_BYTES = 32 * 1024
@@ -57,8 +57,9 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
     return b"".join(parts) + b"0\r\n\r\n"
 
 
-def page_records(page_id, url: str, payload: bytes, refers_to, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: one, or a first segment and continuations."""
+def page_records(page_id, url: str, payload: bytes, refers_to, segment_bytes: int = SEGMENT_BYTES, row: str = "") -> list[bytes]:
+    """The records of one page: one, or a first segment and continuations.
+    ``row`` names the input row, so segments of repeated rows stay apart."""
     ident = f"<urn:page:{'' if page_id is None else page_id}>"
     sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
@@ -72,7 +73,7 @@ def page_records(page_id, url: str, payload: bytes, refers_to, segment_bytes: in
     kind = [("Content-Type", "application/http; msgtype=response")]
     if len(block) <= segment_bytes:
         return [_record([("WARC-Type", "response"), ("WARC-Record-ID", ident), *common, *kind], block)]
-    origin = f"<urn:page:{'' if page_id is None else page_id}:{hashlib.sha1(payload + uri.encode()).hexdigest()}>"
+    origin = f"<urn:page:{'' if page_id is None else page_id}:{hashlib.sha1(payload + uri.encode()).hexdigest()}{row and ':' + row}>"
     out = [_record([("WARC-Type", "response"), ("WARC-Record-ID", origin), *common, ("WARC-Segment-Number", "1"), *kind], block[:segment_bytes])]
     starts = range(segment_bytes, len(block), segment_bytes)
     for n, i in enumerate(starts, 2):
@@ -88,8 +89,8 @@ def _write_batches(segment_bytes: int):
     def run(batches):
         for b in batches:
             rows, firsts = [], []
-            for page_id, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
-                made = page_records(page_id, url, (html or "").encode(), refers, segment_bytes)
+            for page_id, url, html, refers, file, pos in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", *RID))):
+                made = page_records(page_id, url, (html or "").encode(), refers, segment_bytes, f"{file}:{pos}")
                 rows += made
                 firsts += [True] + [False] * (len(made) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(firsts, pa.bool_())], names=["record", "first"])
@@ -97,19 +98,19 @@ def _write_batches(segment_bytes: int):
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """Pages with ``refers_to``: the largest page_id among equal payloads of
+    """Pages with their row id and ``refers_to``: the largest page_id among equal payloads of
     at least ``least`` bytes when that is another page, else null.  Digests
     are grouped with map-side partial counts; only groups of two or more join
     back, by sort-merge, which splits a hot payload."""
-    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
-                         F.col("html").cast("string").alias("html"))
+    pages = with_row_id(pages, ["page_id", "url", "html"]).select(*RID, F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
+                                                                 F.col("html").cast("string").alias("html"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     groups = (pages.filter(F.octet_length(payload) >= least).groupBy(F.sha1(payload).alias("sha"))
               .agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").select("sha", "target"))
     groups = write_table(groups, "warc-payloads")
     key = F.when(F.octet_length(payload) >= least, F.sha1(payload))
     joined = pages.withColumn("sha", key).join(groups.hint("merge"), "sha", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("target") != F.coalesce("page_id", F.col("target") - 1), F.col("target")).alias("refers_to"))
+    return joined.select(*RID, "page_id", "url", "html", F.when(F.col("target") != F.coalesce("page_id", F.col("target") - 1), F.col("target")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:

@@ -32,6 +32,16 @@ def test_round_trip(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_with_segments_stay_apart(spark):
+    """Equal rows above the segment size, with equal and with null page_id."""
+    rows = [(5, "u", BIG)] * 3 + [(None, "u", BIG + "n")] * 3 + [(6, "u", BIG)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert sorted(map(tuple, warc.archive_round_trip(df.repartition(3)).collect()), key=str) == brute(rows)
+    same = [(5, "u", BIG)] * 4 + [(None, "u", BIG + "n")] * 3
+    got = warc.archive_round_trip(spark.createDataFrame(same, "page_id bigint, url string, html string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(same)
+
+
 def test_segments_are_reassembled_in_any_order(spark):
     made = warc.page_records(5, "http://x", b"0123456789" * 50, None, segment_bytes=100)
     assert len(made) > 5
