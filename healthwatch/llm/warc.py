@@ -219,13 +219,23 @@ _DECODED = ("record_id string, record_type string, uri string, refers_to string,
 
 
 def _decoded(record_id, kind, uri, refers_to, digest, length, block, keep: bool) -> tuple:
-    """One row of :data:`_DECODED`; the payload itself only with ``keep``."""
-    payload, ok = None, block is not None
-    if ok and kind == "response":
-        payload = http_payload(block)
-        ok = digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    raw = base64.b32decode(digest.split(":")[1]).hex() if digest else None
-    return (record_id, kind, uri, refers_to, length if payload is None else len(payload), raw, ok, payload if keep else None)
+    """One row of :data:`_DECODED`; the payload itself only with ``keep``.
+
+    Size and SHA-1 of a response are those of the bytes read back, null when
+    they could not be put together; only other records, which carry no payload
+    (revisits), take them from the header."""
+    if kind != "response":
+        raw = base64.b32decode(digest.split(":")[1]).hex() if digest else None
+        return (record_id, kind, uri, refers_to, length, raw, block is not None, None)
+    try:
+        payload = None if block is None else http_payload(block)
+    except ValueError:  # broken chunked framing
+        payload = None
+    if payload is None:
+        return (record_id, kind, uri, refers_to, None, None, False, None)
+    sha = hashlib.sha1(payload)
+    ok = digest == "sha1:" + base64.b32encode(sha.digest()).decode() and length in (None, len(payload))
+    return (record_id, kind, uri, refers_to, len(payload), sha.hexdigest(), ok, payload if keep else None)
 
 
 _DECODE_FROM = ("record_id", "record_type", "uri", "refers_to", "payload_digest", "payload_length", "block")
@@ -291,7 +301,9 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as archives and read them back.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, verified.  Defined cases: null html is an empty payload; null
+    refers_to, verified.  Size and digest of a response are taken from the
+    bytes read back and are null when its record could not be put together;
+    a revisit has those of its header.  Defined cases: null html is an empty payload; null
     page_id keeps a null id and never is a revisit's target unless all ids of
     its group are null (then all are responses); repeated rows with the same
     page_id and payload are each a response; payloads under 1000 bytes are

@@ -54,6 +54,21 @@ def test_segments_are_reassembled_in_any_order(spark):
     assert [r["verified"] for r in warc.payloads(warc.reassemble(lost)).collect()] == [False]
 
 
+def test_size_and_digest_come_from_the_bytes_read_back(spark):
+    (record,) = warc.page_records(5, "http://x", b"0123456789", None)
+    bad = record.replace(b"0123456789", b"012345678X")
+    cut = record.replace(b"a\r\n0123456789", b"b\r\n0123456789")
+    segments = warc.page_records(6, "http://x", b"0123456789" * 50, None, segment_bytes=100)
+    revisit = warc.page_records(7, "http://x", b"0123456789" * 50, 6)
+    rows = [warc._row(*next(warc.parse(r + warc.END))) for r in [record, bad, cut, *segments[:2], *segments[3:], *revisit]]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], warc._PARSED)
+    got = [(r["payload_bytes"], r["payload_digest"], r["verified"]) for r in warc.payloads(warc.reassemble(df)).collect()]
+    sha = lambda data: hashlib.sha1(data).hexdigest()
+    want = [(10, sha(b"0123456789"), True), (10, sha(b"012345678X"), False), (None, None, False), (None, None, False),
+            (500, sha(b"0123456789" * 50), True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_chunked_framing():
     for data in (b"", b"a", b"\r\n0\r\n\r\n" * 9, bytes(range(256)) * 100):
         assert warc.dechunk(warc.chunked(data, 7)) == data
