@@ -11,7 +11,11 @@ Distinct entities must stay distinct.  All distinct entities of the corpus are
 drawn together and collisions are looked for with a group-by: two entities of
 a type with one surrogate, or a surrogate that is itself an entity of the
 corpus.  The smallest entity of a collision keeps its draw, the others draw
-again until none collides.  Only these exceptions travel back to the
+again until none collides.  Redrawn names, addresses and domains get longer
+with every attempt, numbers and phones after :data:`GROW_AFTER`, so a small
+space of draws cannot run out.  IP addresses and card numbers keep their
+length; when these run out an error is raised.  Domains are settled before the
+addresses under them.  Only these exceptions travel back to the
 documents; every other surrogate is computed where the text is."""
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from healthwatch.llm.common import RID, map_arrow, sized, with_row_id, write_tab
 
 KINDS = ("email", "phone", "ip", "card", "number", "name")
 DEFAULT_KEY = b"replace-this-key"
+#: Attempts after which a redrawn number or phone gets one more digit each.
+GROW_AFTER = 4
+#: Rounds of redrawing after which IP addresses or cards count as used up.
+MOST_ROUNDS = 64
 
 MALE_TITLES = "Mr Herr Monsieur Señor Sr г-н Г-н".split()
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mme Señora Sra г-жа Г-жа".split()
@@ -41,6 +49,8 @@ _NUMERIC = re.compile(
 _TITLES = tuple(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 _NAMED = re.compile(r"\b(?P<title>" + "|".join(_TITLES) + r")\.? (?P<name>" + _NAME + r"(?: " + _NAME + r")?)")
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
 #: Syllables per script; names are built from them, with an ending by gender.
 SYLLABLES = {
     "latin": ("al ber cor dan el far gor hal is jor kar lin mar nor ol per quin ros sel tor ul vin wes yor zan".split(),
@@ -110,19 +120,22 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def _shaped(draws: Draws, text: str) -> str:
-    """Letters for letters, digits for digits."""
-    return "".join(draws.pick("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else draws.pick("0123456789") if c.isdigit() else c for c in text)
+def _shaped(draws: Draws, text: str, extra: int = 0) -> str:
+    """Letters for letters, digits for digits, then ``extra`` letters."""
+    return "".join(draws.pick(LETTERS) if c.isalpha() else draws.pick("0123456789") if c.isdigit() else c for c in text + "a" * extra)
 
 
-def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
-    """Canonical surrogate of an entity."""
+def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0, domain_attempt: int = 0) -> str:
+    """Canonical surrogate of an entity; ``domain_attempt`` is the attempt of
+    an address's domain."""
     draws = Draws(key, kind, canonical, attempt)
+    more = "0" * max(0, attempt - GROW_AFTER)
+    if kind == "domain":
+        first, *labels = canonical.split(".")
+        return ".".join([_shaped(draws, first, attempt), *(_shaped(draws, x) for x in labels[:-1]), *labels[-1:]])
     if kind == "email":
         local, _, domain = canonical.partition("@")
-        labels = domain.split(".")
-        own = Draws(key, "domain", domain, 0)          # one domain, one surrogate
-        return _shaped(draws, local) + "@" + ".".join([_shaped(own, x) for x in labels[:-1]] + labels[-1:])
+        return _shaped(draws, local, attempt) + "@" + surrogate(key, "domain", domain, domain_attempt)  # one domain, one surrogate
     if kind == "ip":
         return ".".join(str(1 + draws.below(223) if i == 0 else draws.below(256)) for i in range(4))
     if kind == "card":
@@ -130,17 +143,17 @@ def surrogate(key: bytes, kind: str, canonical: str, attempt: int = 0) -> str:
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "phone":
         lead = canonical[:1]
-        return lead + str(2 + draws.below(8)) + _shaped(draws, canonical[2:])
+        return lead + str(2 + draws.below(8)) + _shaped(draws, canonical[2:] + more)
     if kind == "number":
         while True:
-            made = str(1 + draws.below(9)) + _shaped(draws, canonical[1:])
+            made = str(1 + draws.below(9)) + _shaped(draws, canonical[1:] + more)
             if not (13 <= len(made) <= 19 and luhn(made)):   # stays no card number
                 return made
     gender, script, name = canonical.split(":", 2)
     syllables, endings = SYLLABLES[script]
     parts = []
     for n, _ in enumerate(name.split(" ")):
-        stem = "".join(draws.pick(syllables) for _ in range(2))
+        stem = "".join(draws.pick(syllables) for _ in range(2 + attempt))
         parts.append(stem + draws.pick(endings[gender if n == 0 else gender + "+"]))
     return f"{gender}:{script}:{' '.join(parts)}"
 
@@ -149,7 +162,7 @@ def dress(kind: str, mention: str, made: str) -> str:
     """The surrogate in the mention's format."""
     if kind in ("phone", "card", "number"):
         digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "name":
         words = [w.upper() if old.isupper() and len(old) > 1 else w.capitalize() for w, old in zip(made.split(":", 2)[2].split(" "), mention.split(" "))]
         return " ".join(words)
@@ -158,11 +171,11 @@ def dress(kind: str, mention: str, made: str) -> str:
     return made
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, dict[str, int]]:
+def replace(text: str, key: bytes, attempts: dict[tuple[str, str], tuple[int, int]] | None = None) -> tuple[str, dict[str, int]]:
     """Text with surrogates, and mentions per kind."""
     out, last, counts = [], 0, dict.fromkeys(KINDS, 0)
     for start, end, kind, canonical in find(text):
-        made = surrogate(key, kind, canonical, (attempts or {}).get((kind, canonical), 0))
+        made = surrogate(key, kind, canonical, *(attempts or {}).get((kind, canonical), (0, 0)))
         out += [text[last:start], dress(kind, text[start:end], made)]
         last = end
         counts[kind] += 1
@@ -177,31 +190,51 @@ def _mention_batches(batches):
                                              names=[*RID, "kind", "canonical"])
 
 
+_DRAWN = "kind string, canonical string, domain_attempt int, attempt int, made string"
+
+
 def _draw_batches(key: bytes):
     def run(batches):
         for b in batches:
-            made = [surrogate(key, k, c, a) for k, c, a in zip(*(b.column(x).to_pylist() for x in ("kind", "canonical", "attempt")))]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("kind", "canonical", "attempt")), pa.array(made, pa.string())],
-                                             names=["kind", "canonical", "attempt", "made"])
+            cols = ("kind", "canonical", "domain_attempt", "attempt")
+            made = [surrogate(key, k, c, a, d) for k, c, d, a in zip(*(b.column(x).to_pylist() for x in cols))]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in cols), pa.array(made, pa.string())], names=[*cols, "made"])
     return run
 
 
-def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """Collision-free draws (kind, canonical, attempt, made) of distinct
-    entities (kind, canonical)."""
-    schema = "kind string, canonical string, attempt int, made string"
-    drawn = write_table(map_arrow(entities.withColumn("attempt", F.lit(0)), _draw_batches(key), schema), "pii-draws")
-    originals = entities.select("kind", F.col("canonical").alias("made"), F.lit(True).alias("is_entity"))
-    while True:
-        owners = drawn.groupBy("kind", "made").agg(F.min("canonical").alias("owner"), F.count("*").alias("n"))
-        taken = owners.join(originals, ["kind", "made"], "left").filter("n > 1 or is_entity").select(
-            "kind", "made", F.when(F.col("is_entity"), F.lit(None)).otherwise(F.col("owner")).alias("owner"), F.lit(True).alias("taken"))
-        marked = drawn.join(taken, ["kind", "made"], "left").withColumn("again", F.coalesce("taken", F.lit(False)) & ~F.col("canonical").eqNullSafe(F.col("owner")))
-        marked = write_table(marked.select("kind", "canonical", "attempt", "made", "again"), "pii-draws")
+def _settle(entities: DataFrame, key: bytes) -> DataFrame:
+    """Collision-free draws of distinct entities (kind, canonical,
+    domain_attempt).  Names are compared as they are shown, without the gender
+    and script before them."""
+    shown = lambda c: F.substring_index(c, ":", -1)
+    drawn = write_table(map_arrow(entities.withColumn("attempt", F.lit(0)), _draw_batches(key), _DRAWN), "pii-draws")
+    originals = entities.select("kind", shown("canonical").alias("shown"), F.lit(True).alias("is_entity")).distinct()
+    for _ in range(MOST_ROUNDS):
+        drawn = drawn.withColumn("shown", shown("made"))
+        owners = drawn.groupBy("kind", "shown").agg(F.min("canonical").alias("owner"), F.count("*").alias("n"))
+        taken = owners.join(originals, ["kind", "shown"], "left").filter("n > 1 or is_entity").select(
+            "kind", "shown", F.when(F.col("is_entity"), F.lit(None)).otherwise(F.col("owner")).alias("owner"), F.lit(True).alias("taken"))
+        marked = drawn.join(taken, ["kind", "shown"], "left").withColumn("again", F.coalesce("taken", F.lit(False)) & ~F.col("canonical").eqNullSafe(F.col("owner")))
+        marked = write_table(marked.select("kind", "canonical", "domain_attempt", "attempt", "made", "again"), "pii-draws")
         if marked.filter("again").isEmpty():
             return marked.drop("again")
-        redrawn = map_arrow(marked.filter("again").select("kind", "canonical", (F.col("attempt") + 1).cast("int").alias("attempt")), _draw_batches(key), schema)
+        redrawn = map_arrow(marked.filter("again").select("kind", "canonical", "domain_attempt", (F.col("attempt") + 1).cast("int").alias("attempt")),
+                            _draw_batches(key), _DRAWN)
         drawn = write_table(marked.filter("not again").drop("again").unionByName(redrawn), "pii-draws")
+    kinds = sorted(r["kind"] for r in marked.filter("again").select("kind").distinct().collect())
+    raise RuntimeError(f"no free surrogates left for: {', '.join(kinds)}")
+
+
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
+    """Collision-free draws (kind, canonical, domain_attempt, attempt, made)
+    of distinct entities (kind, canonical)."""
+    entities = write_table(entities.select("kind", "canonical"), "pii-entities")
+    domain = F.substring_index("canonical", "@", -1)
+    emails, none = entities.filter("kind = 'email'"), F.lit(0).alias("domain_attempt")
+    domains = write_table(emails.select(F.lit("domain").alias("kind"), domain.alias("canonical"), none).distinct(), "pii-domains")
+    moved = _settle(domains, key).filter("attempt > 0").select(F.col("canonical").alias("domain"), F.col("attempt").alias("domain_attempt"))
+    emails = emails.withColumn("domain", domain).join(sized(moved), "domain", "left").select("kind", "canonical", F.coalesce("domain_attempt", F.lit(0)).alias("domain_attempt"))
+    return _settle(write_table(entities.filter("kind <> 'email'").select("kind", "canonical", none).unionByName(emails), "pii-entities"), key)
 
 
 def _replace_batches(key: bytes):
@@ -209,7 +242,7 @@ def _replace_batches(key: bytes):
         for b in batches:
             rows = []
             for text, attempts in zip(b.column("text").to_pylist(), b.column("attempts").to_pylist()):
-                made, counts = replace(text, key, {(a["kind"], a["canonical"]): a["attempt"] for a in attempts or []})
+                made, counts = replace(text, key, {(a["kind"], a["canonical"]): (a["attempt"], a["domain_attempt"]) for a in attempts or []})
                 rows.append((*counts.values(), sum(counts.values()), made, hashlib.sha256(made.encode()).hexdigest()))
             types = [pa.int64()] * (len(KINDS) + 1) + [pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows), types))],
@@ -229,8 +262,8 @@ def surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
                                                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     mentions = write_table(map_arrow(rows.select(*RID, "text"), _mention_batches, f"{RID[0]} bigint, {RID[1]} bigint, kind string, canonical string"), "pii-mentions")
     drawn = assign(mentions.select("kind", "canonical").distinct(), key)
-    later = mentions.join(drawn.filter("attempt > 0").select("kind", "canonical", "attempt"), ["kind", "canonical"])
-    later = write_table(later.groupBy(*RID).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("attempts")), "pii-later")
+    later = mentions.join(drawn.filter("attempt > 0 or domain_attempt > 0").select("kind", "canonical", "attempt", "domain_attempt"), ["kind", "canonical"])
+    later = write_table(later.groupBy(*RID).agg(F.collect_list(F.struct("kind", "canonical", "attempt", "domain_attempt")).alias("attempts")), "pii-later")
     joined = rows.join(sized(later), RID, "left").select("doc_id", "text", "attempts")
     schema = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", n_entities bigint, text string, text_sha256 string"
     return map_arrow(joined, _replace_batches(key), schema)

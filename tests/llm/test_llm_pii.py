@@ -51,6 +51,33 @@ def test_assigned_surrogates_are_distinct(spark):
     assert not originals & {(r["kind"], r["made"]) for r in drawn}
 
 
+def test_small_spaces_of_draws_do_not_run_out(spark):
+    """More names, addresses and domains than surrogates of the first shape."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [("name", f"m:latin:{a}{b}{c}q") for a in letters for b in letters for c in letters][:10_000]
+    emails = [("email", f"{a}@x{b}.co") for a in letters for b in letters] + [("email", f"a{a}@{b}.co") for a in letters for b in letters] + [("email", "_@-.co")]
+    phones = [("phone", f"1{i:04}") for i in range(9_000)]
+    rows = names + emails + phones
+    drawn = pii.assign(spark.createDataFrame(rows, "kind string, canonical string"), KEY).collect()
+    made = {(r["kind"], r["canonical"]): r["made"] for r in drawn}
+    assert len(drawn) == len(made) == len(rows) and len({(k, m) for (k, _), m in made.items()}) == len(rows)
+    assert not set(rows) & {(k, m) for (k, _), m in made.items()}
+    moved = {}
+    for (kind, c), m in made.items():
+        if kind == "email":
+            moved.setdefault(c.split("@")[1], set()).add(m.split("@")[1])
+    assert all(len(x) == 1 for x in moved.values()) and len(set.union(*moved.values())) == len(moved)
+    assert all(r["made"] == pii.surrogate(KEY, r["kind"], r["canonical"], r["attempt"], r["domain_attempt"]) for r in drawn)
+
+
+def test_redrawn_surrogates_reach_the_documents(spark):
+    """Single-letter domains collide; every address must still get its own."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = " ".join(f"a@{b}.co" for b in letters)
+    for r in pii.surrogates(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string"), KEY).collect():
+        assert len(set(r["text"].split())) == 26 and not set(text.split()) & set(r["text"].split()) and r["n_email"] == 26
+
+
 def test_operator(spark):
     for df in (frame(spark), sample(spark)):
         got = sorted((str(r["doc_id"]), r["n_entities"], r["text"]) for r in pii.surrogates(df, KEY).collect())
