@@ -1,3 +1,5 @@
+import re
+
 from cases import PERSON, frame, rows_of, sample
 from healthwatch.llm import pii
 
@@ -51,6 +53,43 @@ def test_assigned_surrogates_are_distinct(spark):
     assert not originals & {(r["kind"], r["made"]) for r in drawn}
 
 
+def test_later_mentions_and_parts_of_a_name():
+    text = ("Mr. John Smith came. John Smith said that Smith's car, JOHN, Smith-based. Mr Smith left. Mrs Anna Lee and Herr J. R. Weber met Lee; "
+            "Mr Paul Adam Stone. Stone I. The end. blacksmith Smithson")
+    made, counts = pii.replace(text, KEY)
+    for private in ("John", "JOHN", "Smith ", "Smith'", "Smith-", "Anna", "Lee", "Weber", "J. R.", "Paul", "Adam", "Stone"):
+        assert private not in made
+    assert made.endswith("The end. blacksmith Smithson") and counts["name"] == 11
+    first, last = made.split("Mr. ")[1].split(" ")[:2]
+    assert made.startswith(f"Mr. {first} {last} came. {first} {last} said that {last}'s car, {first.upper()}, {last}-based. Mr {last} left.")
+    two, _ = pii.replace("Mr Smith. Mrs Smith. Smith. Mr Smith, Smith", KEY)
+    him, her = two.split("Mr ")[1].split(".")[0], two.split("Mrs ")[1].split(".")[0]
+    assert him != her and two == f"Mr {him}. Mrs {her}. {her}. Mr {him}, {him}"
+    for name, low, high in pii.RANGES:
+        word = "Mr " + {"cyrillic": "Иван", "greek": "Νίκος", "hebrew": "דוד", "arabic": "محمد", "armenian": "Արամ", "georgian": "გიორგი",
+                        "han": "王伟", "hangul": "민수", "kana": "タロウ"}[name]
+        changed = pii.replace(word, KEY)[0]
+        assert changed != word and all(pii._script(c) == name for c in changed[3:])
+
+
+def test_national_phones_and_country_codes():
+    for text, pattern in (("555-123-4567", r"[2-9]\d\d-\d{3}-\d{4}"), ("(020) 7946 0958", r"\(0[2-9]\d\) \d{4} \d{4}"), ("(555) 123-4567", r"\([2-9]\d\d\) \d{3}-\d{4}"),
+                          ("1-555-123-4567", r"1-[2-9]\d\d-\d{3}-\d{4}"), ("020 7946 0958", r"0[2-9]\d \d{4} \d{4}"), ("0171/1234567", r"0[2-9]\d\d/\d{7}"),
+                          ("01 23 45 67 89", r"0[2-9] \d\d \d\d \d\d \d\d"), ("555.123.4567", r"[2-9]\d\d\.\d{3}\.\d{4}"), ("0049 30 123456", r"0049 [2-9]\d \d{6}"),
+                          ("+49 30 1234 5678", r"\+49 [2-9]\d \d{4} \d{4}"), ("+1 (499) 555-6503", r"\+1 \([2-9]\d\d\) \d{3}-\d{4}"), ("+353 1 234 5678", r"\+353 [2-9] \d{3} \d{4}")):
+        made, counts = pii.replace(f"Call {text}.", KEY)
+        assert counts["phone"] == sum(counts.values()) == 1 and text not in made and re.fullmatch(f"Call {pattern}\\.", made), (text, made)
+    for text in ("on 01.02.2024 12:30", "01/02/2024 12:30", "2024-01-02 03:04", "100 200 3000", "0.5 and 3.14159", "1 (2019) and (12) 34"):
+        assert pii.replace(text, KEY)[0] == text
+
+
+def test_parts_agree_across_documents(spark):
+    rows = [(1, "Mr John Smith. Smith"), (2, "Mr Smith"), (3, "Mr John Doe")]
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY).collect()}
+    first, last = got[1].removeprefix("Mr ").split(".")[0].split(" ")
+    assert got[1].endswith(f". {last}") and got[2] == f"Mr {last}" and got[3].startswith(f"Mr {first} ")
+
+
 def test_small_spaces_of_draws_do_not_run_out(spark):
     """More names, addresses and domains than surrogates of the first shape."""
     letters = "abcdefghijklmnopqrstuvwxyz"
