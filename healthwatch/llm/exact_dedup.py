@@ -178,7 +178,7 @@ def classes(docs: DataFrame, rows: DataFrame, is_snapshot: Column) -> DataFrame:
     batches share the class, else the batch), size and top row."""
     snap = write_table(grouped(rows.filter(is_snapshot)), "snapshot-buckets")
     batch = write_table(grouped(rows.filter(~is_snapshot)), "batch-groups")
-    shards = max(1, math.ceil(snap.count() / SHARD_KEYS))
+    shards = max(1, math.ceil(max(snap.count(), batch.count()) / SHARD_KEYS))  # bounds the keys built and those screened
     filters = write_table(build_filters(snap, shards), "fuse-filters")
     maybe = screen(batch.select("digest"), filters, shards)
     hits = (maybe.join(batch, "digest").select("digest", F.col("top").alias("mine"))

@@ -49,6 +49,24 @@ def test_classes_match_brute_force(spark, split):
         assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+@pytest.mark.parametrize("split", ["false", "true", "doc_id = 1"])
+def test_screening_tasks_are_bounded_by_both_sides(spark, monkeypatch, split):
+    """An empty or tiny snapshot must not put the whole batch in one shard."""
+    most, screen = [], ed.screen
+
+    def watched(digests, filters, shards):
+        most.append(digests.groupBy(ed._shard(F.col("digest"), shards)).count().agg(F.max("count")).first()[0] or 0)
+        return screen(digests, filters, shards)
+
+    monkeypatch.setattr(ed, "SHARD_KEYS", 8)
+    monkeypatch.setattr(ed, "screen", watched)
+    df = sample(spark).limit(400)
+    got = ed.exact_duplicates(df, F.coalesce(F.expr(split), F.lit(False))).collect()
+    want, groups = brute([(r["doc_id"], r["text"]) for r in df._stored_rows.collect()] if hasattr(df, "_stored_rows") else rows_of(df))
+    assert key([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got]) == key(want)
+    assert sum(r["kept"] for r in got) == groups and max(most) <= 30
+
+
 def test_stage_leaves_one_row_of_each_text(spark):
     df = frame(spark)
     out = ed.stage(spark, df, "")
