@@ -10,6 +10,9 @@ until one per source remains, which is rounded last.
 
 Leaves have about :data:`LEAF_ROWS` rows whatever the size of the source, so a
 source with a third of all rows is settled by as many tasks as its rows need.
+Rows repeated very often are numbered and hashed with their number, which
+spreads them over the leaves; which of the equal rows has which number does
+not change the outcome.
 All draws are hashes of the documents, so reruns and recomputed tasks agree."""
 
 from __future__ import annotations
@@ -140,6 +143,26 @@ def _settle(last: bool):
     return run
 
 
+def spread_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` with a content hash of its own for every row of a content held
+    more than LEAF_ROWS / 4 times.  Such rows are numbered in slots of about
+    :data:`LEAF_ROWS` rows; the slots' counts give each its first number, so
+    the numbers are 0, 1, ... whatever the layout."""
+    often = (rows.groupBy("h").agg(F.count("*").alias("held")).filter(F.col("held") > max(1, LEAF_ROWS // 4))
+             .select("h", F.ceil(F.col("held") / F.lit(LEAF_ROWS)).alias("slots")))
+    often = write_table(often, "mix-repeats")
+    if often.isEmpty():
+        return rows
+    often = sized(often, 100_000)
+    hot = write_table(rows.join(often, "h").withColumn("slot", F.pmod(F.xxhash64(*RID), "slots")), "mix-repeated")
+    earlier = Window.partitionBy("h").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    first = hot.groupBy("h", "slot").agg(F.count("*").alias("held")).select("h", "slot", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("first"))
+    first = write_table(first, "mix-slots")
+    number = F.col("first") + F.row_number().over(Window.partitionBy("h", "slot").orderBy(*RID)) - 1
+    numbered = hot.join(sized(first), ["h", "slot"]).withColumn("h", F.xxhash64("h", number))
+    return rows.join(often, "h", "left_anti").select(*rows.columns).unionByName(numbered.select(*rows.columns))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """One row per input row: row id, doc_id, source, size, source_size,
     target, copies.
@@ -157,7 +180,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     rest = F.greatest(share_of - whole, F.lit(0.0))
     open_ = (F.col("size") > 0) & (rest > EPS)
     leaves = F.greatest(F.ceil(F.col("n") / F.lit(LEAF_ROWS)), F.lit(1))
-    level = (rows.join(sized(per.withColumnRenamed("source", "__s"), 100_000), F.col("source").eqNullSafe(F.col("__s")))
+    level = (spread_repeats(rows).join(sized(per.withColumnRenamed("source", "__s"), 100_000), F.col("source").eqNullSafe(F.col("__s")))
              .select(*RID, "doc_id", "source", "size", "source_size", "target", "h", rest.alias("p"),
                      F.pmod(F.xxhash64("h"), leaves).alias("leaf"), whole.cast("int").alias("copies"), (~open_).alias("settled")))
     level = write_table(level, "mix-level")

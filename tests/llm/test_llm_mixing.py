@@ -3,6 +3,7 @@ from cases import frame, rows_of, sample, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from healthwatch.llm import mixing
+from pyspark.sql import functions as F
 
 
 def brute_targets(sizes):
@@ -51,6 +52,25 @@ def test_many_leaves_keep_the_total(spark, monkeypatch):
     check(spark, sample(spark))
 
 
+def test_repeated_rows_are_spread_over_leaves(spark, monkeypatch):
+    """Fully repeated rows and copies with null doc_id in one source."""
+    tables, write = [], mixing.write_table
+
+    def watched(df, name):
+        tables.append((name, write(df, name)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 16)
+    monkeypatch.setattr(mixing, "write_table", watched)
+    rows = [(1, "one two three", "en", "a", 1)] * 500 + [(None, "four five", "en", "a", 1)] * 500 + [(i, "six " * (i % 9 + 1), "en", "b", 1) for i in range(200)]
+    df = frame(spark, rows)
+    first = check(spark, df)
+    level = next(t for name, t in tables if name == "mix-level")
+    sizes = [r["count"] for r in level.groupBy("source", "leaf").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 64
+    assert first == check(spark, df.repartition(3)) == check(spark, df.orderBy(F.rand(3)).coalesce(1))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 1000), st.floats(0.01, 0.99)), min_size=1, max_size=60), st.booleans())
 def test_pivotal_keeps_mass(units, last):
