@@ -378,8 +378,10 @@ def _compare_blocks(threshold: float):
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: row id, doc_id, class_id (largest doc_id of the
-    class), class_size, n_links (checked links of its text to different
-    texts), kept (that row stays).
+    class), class_size, n_join_links (the links of its text to different texts
+    that were found while joining the class: texts already in one component
+    are not compared, so this is no count of all links at the threshold),
+    kept (that row stays).
 
     Defined cases: words are cut at blanks and A-Z lowered; null counts as
     empty; texts with equal word sequences, also without any word, are copies
@@ -399,7 +401,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
 
     links, roots = link_nodes(nodes, texts_of, threshold)
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count("*").alias("n_links")))
+              .groupBy("node").agg(F.count("*").alias("n_join_links")))
     degree = write_table(degree, "degrees")
     rooted = _rooted(table.select(*RID, "doc_id", "node"), roots, "node", "root")
     rooted = write_table(rooted.join(sized(degree), "node", "left").drop("node"), "classed")
@@ -408,7 +410,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: float = THR
     joined = rooted.join(sized(groups), "root", "left")
     single, top = F.col("n").isNull(), F.struct(*[F.col(f"top.{c}") for c in RID])
     return joined.select(*RID, "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
-                         F.coalesce("n", F.lit(1)).cast("bigint").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                         F.coalesce("n", F.lit(1)).cast("bigint").alias("class_size"), F.coalesce("n_join_links", F.lit(0)).cast("bigint").alias("n_join_links"),
                          (single | (top == F.struct(*RID))).alias("kept"))
 
 

@@ -56,6 +56,16 @@ def test_families_of_variants(spark):
     check(spark, frame(spark, rows))
 
 
+def test_join_links_are_not_named_as_all_links(spark):
+    """Every two of these texts are linked; joining needs fewer links."""
+    base = [f"w{i}" for i in range(200)]
+    df = frame(spark, [(n, " ".join([*base, f"x{n}"]), "en", "a", 0) for n in range(6)])
+    got = nd.near_duplicates(df)
+    assert "n_links" not in got.columns and "n_join_links" in got.columns
+    links = [r["n_join_links"] for r in got.collect()]
+    assert max(links) <= 5 and 2 * 5 <= sum(links) < 6 * 5
+
+
 def test_components(spark):
     edges = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", bytes([200 + i])) for i in range(20)]
     got = {bytes(r["node"]): bytes(r["root"]) for r in nd.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
