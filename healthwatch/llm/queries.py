@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from healthwatch.llm import (exact_dedup, lattice_lm, mixing, near_dup, pii, quality, secrets, spm, token_counts, warc)
+from healthwatch.llm import (exact_dedup, laesa, lattice_lm, mixing, near_dup, pii, quality, recompression, secrets, spelling, spm, token_counts,
+                             warc)
 from healthwatch.llm.common import RID, read
 
 
@@ -51,8 +52,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_laesa_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return laesa.clustered(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_surrogates, op2_secret_scan, op3_token_counts, op4_sentencepiece, op5_exact_dedup,
-                                   op6_warc, op7_lattice_lm, op8_dart_minhash, op9_quality_rules, op10_mixing)}
+                                   op6_warc, op7_lattice_lm, op8_dart_minhash, op9_quality_rules, op10_mixing, op11_recompression,
+                                   op12_spelling_variants, op13_laesa_clusters)}
 
 _LOWER = f"translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')"
 
@@ -98,4 +113,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE = {"op5_exact_dedup": _OP5, "op6_warc": _OP6, "op9_quality_rules": _op9_sql()}
+_OP11 = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n FROM t),
+s AS (SELECT rid, i, word, n, sha256(string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND {recompression.WINDOW - 1} FOLLOWING)) AS h FROM u),
+r AS (SELECT rid, i, word, i + {recompression.WINDOW - 1} <= n AND count(*) FILTER (WHERE i + {recompression.WINDOW - 1} <= n) OVER (PARTITION BY h) > 1 AS rep FROM s),
+c AS (SELECT rid, i, word, bool_or(rep) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {recompression.WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.rid = k.rid
+"""
+
+
+def _op13_sql() -> str:
+    """Rounds of assignment and integer means; floors by exact remainders."""
+    dims, k = laesa.DIMS, laesa.CLUSTERS
+
+    def assign(name: str, centroids: str) -> str:
+        d = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+        return (f"{name} AS (SELECT rid, min(struct_pack(d := CAST({d} AS BIGINT), c := c.c)) AS m FROM v, {centroids} c GROUP BY rid)")
+
+    parts = [f"""e AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({laesa.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+             "v AS MATERIALIZED (SELECT * FROM e)",
+             f"c0 AS MATERIALIZED (SELECT q, row_number() OVER (ORDER BY h) - 1 AS c FROM (SELECT q, sha256('{laesa.SEED}:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}) z)"]
+    for r in range(laesa.ROUNDS):
+        parts += [assign(f"a{r}", f"c{r}").replace(" AS (", " AS MATERIALIZED (", 1),
+                  f"u{r} AS (SELECT m.c AS c, unnest(q) AS x, unnest(range(1, {dims + 1})) AS i FROM a{r} JOIN v USING (rid))",
+                  f"s{r} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM u{r} GROUP BY c, i)",
+                  f"m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM s{r} GROUP BY c)",
+                  f"c{r + 1} AS MATERIALIZED (SELECT coalesce(m{r}.q, c{r}.q) AS q, c{r}.c AS c FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)"]
+    last = f"c{laesa.ROUNDS}"
+    parts += [assign("f", last).replace(" AS (", " AS MATERIALIZED (", 1)]
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string({last}.q, ',')) AS centroid_sha256
+FROM f JOIN v USING (rid) JOIN {last} ON m.c = {last}.c"""
+
+
+ORACLE = {"op5_exact_dedup": _OP5, "op6_warc": _OP6, "op9_quality_rules": _op9_sql(), "op11_recompression": _OP11,
+          "op13_laesa_clusters": _op13_sql()}
