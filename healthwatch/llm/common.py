@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -88,3 +89,10 @@ def map_arrow(df: DataFrame, func, schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(func, schema)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so
+    when the driver's garbage is collected, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

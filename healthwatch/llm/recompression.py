@@ -12,16 +12,21 @@ ends of a substring depend on what surrounds it.  Each symbol carries its
 *context*: the words that fix it.  Wherever these words occur, the same symbol
 occurs at the same place.
 
-*Spark rounds.*  For each of :data:`LEVELS` one round counts the symbols of
-that level over the whole corpus.  A window that holds the context of a symbol
-that occurs once cannot be repeated and is dead; later rounds look at the
-windows still alive only.  Symbols seen twice inside one task are settled
-there, and one row stands for them, so a passage that a third of all documents
-share is one row a task.
+*Spark rounds.*  Each round counts symbols over the whole corpus.
+
+* A window that holds the context of a symbol of :data:`LEVELS` that occurs
+  once cannot be repeated and is dead; later rounds look at living windows.
+* A high symbol (:data:`LONG`, up to whole documents) that occurs twice proves
+  all windows inside it repeated.  Only its first occurrence still stands for
+  them in the next round, so copies and long passages cost a few rows each.
+
+Symbols seen twice inside one task are settled there, and one row stands for
+them, so a passage that a third of all documents share is one row a task.
 
 *Verification.*  The windows left are compared by two independent 64-bit
-hashes of their words.  Windows without a whole context (such as one word
-repeated) are never dead and are settled here, so nothing is lost."""
+hashes of their words, as are the high symbols.  Windows without a whole
+context (such as one word repeated) are never dead and are settled here, so
+nothing is lost."""
 
 from __future__ import annotations
 
@@ -30,16 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from healthwatch.llm.common import RID, map_arrow, with_row_id, write_table
+from healthwatch.llm.common import RID, map_arrow, release, with_row_id, write_table
 from healthwatch.llm.near_dup import _BLANK, _powers, mix
 
 WINDOW = 35
-#: Levels whose symbols (of about 6 and 10 words) are counted, one Spark round each.
-LEVELS = (6, 8)
+#: Levels whose symbols are counted to find dead windows, one Spark round each (level 6: about 6 words).
+LEVELS = (6,)
+#: Levels whose symbols prove repeats when they have at least LONG_WORDS words (level 14: about 56).
+LONG, LONG_WORDS = tuple(range(14, 60, 3)), 48
 #: Bytes of text that are parsed together (about 16 times that in memory).
 BATCH_BYTES = 6_000_000
-#: Rows and list entries up to which per-document answers are broadcast.
-BROADCAST_DOCS, BROADCAST_PLACES = 250_000, 4_000_000
+#: Rows and bytes up to which per-document answers are broadcast.
+BROADCAST_DOCS, BROADCAST_BYTES = 250_000, 24_000_000
 #: A place is row position * PLACES + index inside the document.
 PLACES = 1 << 27
 
@@ -110,19 +117,16 @@ def _pairs(sym, start, stop, low, high, level):
 
 
 def symbols(word: np.ndarray, levels: tuple[int, ...], window: int = WINDOW):
-    """For each of ``levels``: (names, first, last) of the symbols whose
-    context fits into a window of one document; the windows that hold it start
-    at ``first`` to ``last``."""
+    """For each of ``levels``: (level, names, first, last, start, stop).  The
+    windows that hold the whole context of a symbol start at ``first`` to
+    ``last`` (none if ``first`` is larger); its words are start .. stop - 1."""
     place = np.arange(len(word), dtype=np.int32)
     state = (word, place, place + 1, place, place + 1)
-    edges = np.concatenate([[0], np.cumsum(word == 0)])
     for level in range(1, max(levels, default=0) + 1):
         state = _pairs(*_runs(word, *state, level), level)
         if level in levels:
-            name, _, _, low, high = state
-            fits = np.flatnonzero((name != 0) & (high - low <= window))
-            fits = fits[edges[np.minimum(high[fits], len(word))] == edges[np.maximum(low[fits], 0)]]
-            yield name[fits], high[fits] - window, low[fits]
+            name, start, stop, low, high = (x[state[0] != 0] for x in state)
+            yield level, name, high - window, low, start, stop
 
 
 def _marked(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
@@ -134,140 +138,235 @@ def _marked(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
 
 
 class Parsed:
-    """The words of some documents and the windows still alive after the
-    rounds whose answers are given: per round and document the indices of the
-    symbols that occur elsewhere (None: none does)."""
+    """The words of some documents, the windows still alive after the rounds
+    whose answers are given, and the symbols that the next round counts.
+
+    An answer holds per document the indices of its symbols that occur
+    elsewhere as a bitmap (None: none does)."""
 
-    def __init__(self, texts: list[bytes], levels: tuple[int, ...], answers: list[list], window: int):
+    def __init__(self, texts: list[bytes], levels: tuple[int, ...], answers: list[list], long: tuple[int, ...], window: int,
+                 long_words: int = LONG_WORDS):
+        self.window = window
         self.word, self.counts = flat_words(texts)
+        self.second = flat_words(texts, _BASES[1])[0]
         edge = np.flatnonzero(self.word == 0)
         self.edge = edge[:-1]
+        self.edges = np.concatenate([[0], np.cumsum(self.word == 0)])
         self.alive = ~_marked(edge - window + 1, edge, len(self.word))
-        self.found = None
-        for k, (name, first, last) in enumerate(symbols(self.word, levels, window)):
-            doc, index = self.number(last)
-            if k < len(answers):
-                shared = np.zeros(len(name), bool)
-                begin = np.searchsorted(doc, np.arange(len(texts)))
-                for d, places in enumerate(answers[k]):
-                    if places is not None:
-                        shared[begin[d] + np.asarray(places, np.int64)] = True
-                self.alive &= ~_marked(first[~shared], last[~shared], len(self.word))
+        self.found, done, before = [], 0, np.zeros(0, np.int64)
+        for level, name, first, last, start, stop in symbols(self.word, (*levels, *long), window):
+            if level in levels:
+                fits = np.flatnonzero(first <= last)
+                fits = fits[self.edges[first[fits] + window] == self.edges[np.maximum(last[fits], 0)]]
+                name, first, last = name[fits], first[fits], last[fits]
+                doc, index = self.number(last)
+                if done < len(answers):
+                    shared = np.zeros(len(name), bool)
+                    begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+                    for d, bits in enumerate(answers[done]):
+                        if bits is not None:
+                            own = shared[begin[d]:begin[d + 1]]
+                            own[:] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)) if len(bits) * 8 >= len(own) else \
+                                np.concatenate([np.unpackbits(np.frombuffer(bits, np.uint8)), np.zeros(len(own) - 8 * len(bits), np.uint8)])
+                    self.alive &= ~_marked(first[~shared], last[~shared], len(self.word))
+                    done += 1
+                else:
+                    living = np.concatenate([[0], np.cumsum(self.alive)])
+                    use = living[last + 1] > living[np.maximum(first, 0)]
+                    self.found.append((name[use], np.zeros(use.sum(), _U), doc[use], index[use], np.zeros(use.sum(), np.int64)))
             else:
-                living = np.concatenate([[0], np.cumsum(self.alive)])
-                use = living[last + 1] > living[np.maximum(first, 0)]
-                self.found = (name[use],), doc[use], index[use]
+                span = start.astype(np.int64) << 32 | stop
+                use = (stop - start >= max(long_words, window)) & ~np.isin(span, before)
+                before = span
+                start, stop = start[use].astype(np.int64), stop[use].astype(np.int64)
+                doc = np.searchsorted(self.edge, start, side="right") - 1
+                self.found.append((name[use], self.checks(start, stop), doc, start - self.edge[doc] - 1, stop - start))
 
     def number(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document of each place and its number among the document's places."""
         doc = np.searchsorted(self.edge, place, side="right") - 1
         return doc, np.arange(len(doc)) - np.searchsorted(doc, doc)
 
-    def windows(self, texts: list[bytes], window: int):
+    def checks(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """A second hash of word ranges."""
+        base = _BASES[0]
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.second * _powers(base, len(self.second)), dtype=_U)])
+        back = _powers(pow(base, -1, 1 << 64), len(self.second) + 1)
+        return mix((sums[stop] - sums[start]) * back[start] + (stop - start).astype(_U))
+
+    def settle(self, proofs: list) -> None:
+        """Take out the windows of proven symbols of which an earlier
+        occurrence stands for them."""
+        first, last = [], []
+        for d, own in enumerate(proofs):
+            for p in own or ():
+                if not p["first"]:
+                    first.append(self.edge[d] + 1 + p["start"])
+                    last.append(first[-1] + p["words"] - self.window)
+        if first:
+            self.alive &= ~_marked(np.array(first), np.array(last), len(self.word))
+
+    def windows(self):
         """Two hashes, document and first word of the windows alive."""
         at = np.flatnonzero(self.alive)
         doc = np.searchsorted(self.edge, at, side="right") - 1
-        factor = mix(np.arange(1, window + 1).astype(_U) * _U(_BASES[1])) | _U(1)
+        factor = mix(np.arange(1, self.window + 1).astype(_U) * _U(_BASES[1])) | _U(1)
         hashes = []
-        for word in (self.word, flat_words(texts, _BASES[1])[0]):
+        for word in (self.word, self.second):
             total = np.zeros(len(at), _U)
-            for k in range(window):
+            for k in range(self.window):
                 total += word[at + k] * factor[k]
             hashes.append(mix(total))
-        return tuple(hashes), doc, at - self.edge[doc] - 1
+        return *hashes, doc, at - self.edge[doc] - 1, np.zeros(len(at), np.int64)
 
 
-def _sliced(batch: pa.RecordBatch, column: str):
-    """(slice, texts) of about BATCH_BYTES each."""
+def _sliced(batch: pa.RecordBatch, column: str, slice_bytes: int = BATCH_BYTES):
+    """(slice, texts) of about ``slice_bytes`` each."""
     texts = [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
     i = 0
     while i < len(texts):
         j, held = i, 0
-        while j < len(texts) and (j == i or held + len(texts[j]) <= BATCH_BYTES):
+        while j < len(texts) and (j == i or held + len(texts[j]) <= slice_bytes):
             held += len(texts[j])
             j += 1
         yield batch.slice(i, j - i), texts[i:j]
         i = j
 
 
-def _occurrences(levels: tuple[int, ...], answered: int, window: int, last: bool):
-    """Rows (name, name2, n, file, place): one per symbol or window.  What
-    occurs twice in one slice is settled: its first row counts for two, the
-    others get a key of their own."""
+_ROWS = "name bigint, name2 bigint, file bigint, place bigint, code bigint"
+
+
+def _occurrences(levels: tuple[int, ...], answered: int, long: tuple[int, ...], window: int, last: bool, slice_bytes: int, long_words: int):
+    """Rows (name, name2, file, place, code) of symbols or windows, ``code`` =
+    4 * words + kind.  Kind 1: alone in its slice.  What occurs again in one
+    slice is settled there: its first row (kind 2) counts for two, the others
+    (kind 3) get a key of their own."""
     def run(batches):
         for b in batches:
-            for part, texts in _sliced(b, "text"):
-                answers = [part.column(f"answer{k}").to_pylist() for k in range(answered)]
-                parsed = Parsed(texts, levels, answers, window)
-                names, doc, index = parsed.windows(texts, window) if last else parsed.found
-                order = np.lexsort(names)
-                same = np.ones(max(len(order) - 1, 0), bool)
-                for n in names:
-                    same &= n[order][1:] == n[order][:-1]
-                again = np.concatenate([[False], same])[:len(order)]
-                twice = again | np.concatenate([same, [False]])[:len(order)]
-                file, pos = (part.column(c).to_numpy()[doc[order]] for c in RID)
-                place = pos * PLACES + index[order]
-                keys = [np.where(again, mix(place.astype(_U) + file.astype(_U) * _U(k + 1)), n[order]).view(np.int64) for k, n in enumerate(names)]
-                keys += [np.zeros(len(order), np.int64)] * (2 - len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.where(twice, 2, 1).astype(np.int32)),
-                                                  pa.array(file), pa.array(place)], names=["name", "name2", "n", "file", "place"])
+            for part, texts in _sliced(b, "text", slice_bytes):
+                parsed = Parsed(texts, levels, [part.column(f"answer{k}").to_pylist() for k in range(answered)], long, window, long_words)
+                if last:
+                    parsed.settle(part.column("proofs").to_pylist())
+                name, name2, doc, index, size = parsed.windows() if last else (np.concatenate(x) for x in zip(*parsed.found))
+                file, pos = (part.column(c).to_numpy()[doc] for c in RID)
+                place = pos * PLACES + index
+                order = np.lexsort((place, file, size, name2, name))
+                name, name2, file, place, size = (x[order] for x in (name, name2, file, place, size))
+                same = (name[1:] == name[:-1]) & (name2[1:] == name2[:-1]) & (size[1:] == size[:-1])
+                again, before = np.concatenate([[False], same])[:len(name)], np.concatenate([same, [False]])[:len(name)]
+                own = mix(place.astype(_U) + mix(file.astype(_U) + size.astype(_U)))
+                kind = np.where(again, 3, np.where(before, 2, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.where(again, own, name).view(np.int64)), pa.array(np.where(again, mix(own), name2 + size.astype(_U)).view(np.int64)),
+                     pa.array(file), pa.array(place), pa.array(4 * size + kind)], names=["name", "name2", "file", "place", "code"])
     return run
 
 
-def _answers(rows: DataFrame, column: str) -> DataFrame:
-    """Per document the places whose name occurs twice or more.  A hot name
-    has one row a task slice, so its sorted group stays small and may spill."""
-    total = F.sum("n").over(Window.partitionBy("name", "name2"))
-    shared = rows.withColumn("total", total).filter("total > 1")
-    return (shared.select(F.col("file").alias(RID[0]), F.floor(F.col("place") / PLACES).cast("bigint").alias(RID[1]),
-                          F.pmod("place", F.lit(PLACES)).cast("int").alias("at"))
-            .groupBy(*RID).agg(F.collect_list("at").alias(column)))
+def _shared(rows: DataFrame) -> DataFrame:
+    """Row id, index, words and ``first`` of what occurs twice or more.  A hot
+    name has one row a task slice, so its sorted group stays small and may
+    spill."""
+    same = Window.partitionBy("name", "name2")
+    kind = F.col("code") % 4
+    counted = rows.withColumn("total", F.sum(kind).over(same)).withColumn("least", F.min(F.struct("file", "place")).over(same)).filter("total > 1")
+    return counted.select(
+        F.col("file").alias(RID[0]), F.floor(F.col("place") / PLACES).cast("bigint").alias(RID[1]), F.pmod("place", F.lit(PLACES)).cast("int").alias("index"),
+        F.floor(F.col("code") / 4).cast("int").alias("words"), ((kind < 3) & (F.struct("file", "place") == F.col("least"))).alias("first"))
 
 
-def _joined(docs: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-    """``docs`` with its answers; they are broadcast only when both their rows
-    and their list entries are counted to be few."""
-    size = answers.agg(F.count("*"), F.coalesce(F.sum(F.size(column)), F.lit(0))).first()
-    small = size[0] <= BROADCAST_DOCS and size[1] <= BROADCAST_PLACES
-    return docs.join(F.broadcast(answers) if small else answers.hint("merge"), RID, "left")
+def _bitmaps(batches):
+    """Lists of indices to bitmaps."""
+    for b in batches:
+        bits = []
+        for own in b.column("places").to_pylist():
+            flags = np.zeros(max(own) + 1 if own else 0, np.uint8)
+            flags[own] = 1
+            bits.append(np.packbits(flags).tobytes() if own else None)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in RID), pa.array(bits, pa.binary()), b.column("proofs")], names=[*RID, "answer", "proofs"])
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """Row id and ``starts``: the first words (from 0) of the windows of each
-    document that occur elsewhere; documents without any are left out."""
-    base = with_row_id(docs, ["text"]).withColumn("text", F.col("text").cast("string"))
-    schema = "name bigint, name2 bigint, n int, file bigint, place bigint"
-    for k in range(len(levels)):
-        rows = map_arrow(base, _occurrences(levels[:k + 1], k, window, False), schema)
-        base = _joined(base, write_table(_answers(rows, f"answer{k}"), "shared-symbols"), f"answer{k}")
-    rows = map_arrow(base, _occurrences(tuple(levels), len(levels), window, True), schema)
-    return write_table(_answers(rows, "starts"), "repeated-windows")
+_PROOFS = "array<struct<start:int,words:int,first:boolean>>"
 
 
-def _kept(window: int):
+def _answers(rows: DataFrame) -> DataFrame:
+    """Per document ``answer`` (bitmap of its shared symbols) and ``proofs``."""
+    proof = F.when(F.col("words") > 0, F.struct(F.col("index").alias("start"), "words", "first"))
+    lists = _shared(rows).groupBy(*RID).agg(F.collect_list(F.when(F.col("words") == 0, F.col("index"))).alias("places"), F.collect_list(proof).alias("proofs"))
+    return map_arrow(lists, _bitmaps, f"{RID[0]} bigint, {RID[1]} bigint, answer binary, proofs {_PROOFS}")
+
+
+def _joined(docs: DataFrame, answers: DataFrame, size) -> DataFrame:
+    """``docs`` with its answers; they are broadcast only when both their rows
+    and their bytes are counted to be few."""
+    rows, held = answers.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    small = rows <= BROADCAST_DOCS and held <= BROADCAST_BYTES
+    return docs.join(F.broadcast(answers) if small else answers.hint("merge"), RID, "left")
+
+
+def _merged(window: int):
+    """Starts of repeated windows and proven symbols to ranges of words."""
     def run(batches):
         for b in batches:
-            for part, texts in _sliced(b, "text"):
-                out = []
-                for text, starts in zip(texts, part.column("starts").to_pylist()):
-                    words, spans = text.split(), []
-                    if starts:
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], _marked(np.array(starts), np.array(starts) + window - 1, len(words)), [0]]).astype(np.int8)))
-                        spans = edge.reshape(-1, 2).tolist()
-                        for a, z in reversed(spans):
-                            del words[a:z]
-                    removed = sum(z - a for a, z in spans)
-                    out.append((len(words) + removed, removed, [{"start": a, "stop": z} for a, z in spans], b" ".join(words).decode()))
-                n, removed, spans, kept = zip(*out)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in (*RID, "doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.string())],
-                    names=[*RID, "doc_id", "n_words", "n_removed", "spans", "kept_text"])
+            out = []
+            for starts, proofs in zip(b.column("starts").to_pylist(), b.column("proofs").to_pylist()):
+                ranges = sorted([(s, s + window) for s in starts or ()] + [(p["start"], p["start"] + p["words"]) for p in proofs or ()])
+                spans: list[list[int]] = []
+                for a, z in ranges:
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], z)
+                    else:
+                        spans.append([a, z])
+                out.append([{"start": a, "stop": z} for a, z in spans])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in RID), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
+                                             names=[*RID, "spans"])
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = LEVELS, long: tuple[int, ...] = LONG,
+                   slice_bytes: int = BATCH_BYTES, long_words: int = LONG_WORDS) -> DataFrame:
+    """Row id and ``spans``: the word ranges (stop exclusive) covered by
+    windows that occur elsewhere; documents without any are left out."""
+    spark = docs.sparkSession
+    text = with_row_id(docs, ["text"]).withColumn("text", F.col("text").cast("string"))
+    base, proofs = text, None
+    for k in range(len(levels)):
+        rows = map_arrow(base, _occurrences(levels[:k + 1], k, () if k else long, window, False, slice_bytes, long_words), _ROWS)
+        found = write_table(_answers(rows), "shared-symbols")
+        if proofs is None:
+            proofs = found.select(*RID, "proofs").filter(F.size("proofs") > 0)
+        else:
+            found = found.drop("proofs")
+        base = _joined(base, found.withColumnRenamed("answer", f"answer{k}"), F.coalesce(F.octet_length(f"answer{k}"), F.lit(0)) + (16 * F.size("proofs") if not k else 0))
+        release(spark)
+    if proofs is None:
+        base = base.withColumn("proofs", F.lit(None).cast(_PROOFS))
+    rows = map_arrow(base, _occurrences(tuple(levels), len(levels), (), window, True, slice_bytes, long_words), _ROWS)
+    starts = _shared(rows).groupBy(*RID).agg(F.collect_list("index").alias("starts"))
+    both = starts.join(proofs, RID, "full") if proofs is not None else starts.withColumn("proofs", F.lit(None).cast(_PROOFS))
+    schema = f"{RID[0]} bigint, {RID[1]} bigint, spans array<struct<start:int,stop:int>>"
+    spans = write_table(map_arrow(both, _merged(window), schema), "repeated-spans")
+    release(spark)
+    return spans
+
+
+def _kept(batches):
+    for b in batches:
+        for part, texts in _sliced(b, "text"):
+            out = []
+            for text, spans in zip(texts, part.column("spans").to_pylist()):
+                words = text.split()
+                n = len(words)
+                for span in reversed(spans or ()):
+                    del words[span["start"]:span["stop"]]
+                out.append((n, n - len(words), spans or [], b" ".join(words).decode()))
+            n, removed, spans, kept = zip(*out)
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(c) for c in (*RID, "doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.string())],
+                names=[*RID, "doc_id", "n_words", "n_removed", "spans", "kept_text"])
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, levels: tuple[int, ...] = LEVELS, long: tuple[int, ...] = LONG, **sizes) -> DataFrame:
     """One row per input row: row id, doc_id, n_words, n_removed, ``spans``
     (removed word ranges, stop exclusive) and ``kept_text`` (the kept words
     joined by one space).
@@ -278,8 +377,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, levels: tuple[int, ..
     those of repeated rows; texts with fewer words than a window keep all;
     texts of any length are read whole; other columns are ignored; an empty
     table gives an empty result."""
-    starts = repeated_windows(docs, window, levels)
+    spans = repeated_spans(docs, window, levels, long, **sizes)
     base = with_row_id(docs, ["doc_id", "text"]).select(*RID, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = (f"{RID[0]} bigint, {RID[1]} bigint, doc_id bigint, n_words bigint, n_removed bigint, "
               "spans array<struct<start:int,stop:int>>, kept_text string")
-    return map_arrow(_joined(base, starts, "starts"), _kept(window), schema)
+    return map_arrow(_joined(base, spans, 16 * F.size("spans")), _kept, schema)
