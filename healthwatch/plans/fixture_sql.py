@@ -93,8 +93,18 @@ VIEWS["log_lines"] = f"""
 SELECT event_id AS line_no, {_text_list(LOG_LINES)}[event_id % {len(LOG_LINES)} + 1] AS line FROM events
 """
 
+VIEWS["rush"] = """
+SELECT * REPLACE (CASE WHEN patient_id = 'PT-ATTACKER-0000'
+  THEN CAST('2024-01-16 00:00:00' AS TIMESTAMP) + to_milliseconds(CAST(substr(event_id, 4) AS BIGINT) % 2500) ELSE ts END AS ts) FROM vitals
+"""
+
+VIEWS["crowded"] = """
+SELECT event_id, CASE WHEN event_id % 10 < 3 THEN 'PT-ATTACKER-0000' WHEN event_id % 10 = 3 THEN 'PT-GATEWAY-0001'
+                      ELSE 'PT-' || CAST(event_id AS VARCHAR(20)) END AS patient_id, ts FROM events
+"""
+
 # Views that depend on other views.
-DEPENDS = {"base": ["vitals"], "inc": ["vitals"], "raw": ["vitals"]}
+DEPENDS = {"base": ["vitals"], "inc": ["vitals"], "raw": ["vitals"], "rush": ["vitals"]}
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from healthwatch.functions import fields as fd
@@ -9,6 +11,7 @@ from healthwatch.functions import predicates as pr
 from healthwatch.operators.schema_drift import present_fields
 from healthwatch.plans import sqlgen as sg
 from healthwatch.plans.registry import register
+from healthwatch.session import scratch_path
 from healthwatch.sources import events as ev
 from healthwatch.sources import fixtures as fx
 
@@ -29,7 +32,12 @@ def _json_sql(names=None):
 @register("latest_n_events", sql="SELECT * FROM vitals ORDER BY ts DESC, event_id DESC LIMIT 50",
           views=("vitals",))
 def q_latest_n_events(spark, sf_dir):
-    return ev.latest_n(fx.vitals(spark, sf_dir), ["ts", "event_id"], 50)
+    """The newest 50 events of the log: each partition is read from ``high -
+    50`` on, as offsets rise with time inside a partition."""
+    from healthwatch.sources import offset_log as ol
+    path = scratch_path(spark, f"topic-{uuid.uuid4().hex[:12]}")
+    ol.follow(fx.event_log(spark, sf_dir), path, len(fx.LOG_CUTS) + 1)
+    return ev.latest_n(ol.read_log(spark, path, n=50).drop("partition", "offset"), ["ts", "event_id"], 50)
 
 
 # ---------------------------------------------------------------- A2

@@ -14,6 +14,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from healthwatch.functions.fields import ATTACKER_ID
 from healthwatch.session import checkpoint_dir
 from healthwatch.sources.tables import table
 
@@ -92,6 +93,72 @@ def vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
                         lambda: vitals_from_events(table(spark, sf_dir, "events")))
 
 
+def rush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vitals whose attacker events all fall into 2.5 seconds: a planted burst."""
+    return rush_of(vitals(spark, sf_dir))
+
+
+def rush_of(v: DataFrame) -> DataFrame:
+    number = F.substring("event_id", 4, 20).cast("long")
+    when = F.timestamp_add("MILLISECOND", number % 2500, _inc_start())
+    return v.withColumn("ts", F.when(F.col("patient_id") == ATTACKER_ID, when).otherwise(F.col("ts")))
+
+
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which 30 % come from one id, 10 % from another, and the rest
+    from an id of their own each."""
+    i = F.col("event_id")
+    key = (F.when(i % 10 < 3, ATTACKER_ID).when(i % 10 == 3, "PT-GATEWAY-0001").otherwise(F.concat(F.lit("PT-"), i.cast("string"))))
+    return table(spark, sf_dir, "events").select("event_id", key.alias("patient_id"), "ts")
+
+
+#: The appends of a log of vitals end at these times; the last ends with the table.
+LOG_CUTS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00"]
+
+
+def event_log(spark: SparkSession, sf_dir: str, name: str = "vitals", cuts: tuple[str, ...] = tuple(LOG_CUTS)) -> str:
+    """An offset log of ``vitals`` or ``rush`` (``late``: with repeats and late
+    events), written once per application: one append per time slice, then a
+    heartbeat a day after the last event, without an id, which lets watermarks
+    pass all others.  Returns its folder."""
+    from healthwatch.sources import offset_log as ol
+    app = spark.sparkContext.applicationId
+    key = hashlib.sha1(f"{app}|{os.path.abspath(sf_dir)}|log|{name}|{cuts}".encode()).hexdigest()[:16]
+    path = os.path.join(checkpoint_dir(spark), "logs", key)
+    if key not in _MATERIALIZED:
+        v = vitals(spark, sf_dir)
+        rows = rush_of(v) if name == "rush" else v
+        ol.create(spark, path, v.schema, partitions=4)
+        edges = [None, *cuts, None]
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            part = rows
+            if lo:
+                part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+            if hi:
+                part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+            if name == "late":
+                part = part.unionByName(_repeats_and_late(rows, lo))
+            ol.append(part, path, "event_id", ["ts", "event_id"])
+        beat = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in v.schema.fields if f.name != "ts"]
+        ol.append(beat.select("ts", *blank).select(*v.columns), path, "event_id", ["ts", "event_id"])
+        _MATERIALIZED.add(key)
+    return path
+
+
+def _repeats_and_late(rows: DataFrame, start: str | None) -> DataFrame:
+    """What a slice that begins at ``start`` brings again: every event of the
+    day before it, and copies under new ids of every 50th event at least three
+    days older."""
+    if start is None:
+        return rows.filter(F.lit(False))
+    begin = F.lit(start).cast("timestamp_ntz")
+    number = F.substring("event_id", 4, 20).cast("long")
+    again = rows.filter((F.col("ts") < begin) & (F.col("ts") >= begin - F.expr("INTERVAL 1 DAY")))
+    late = rows.filter((F.col("ts") < begin - F.expr("INTERVAL 3 DAYS")) & (number % 50 == 7))
+    return again.unionByName(late.withColumn("event_id", F.concat(F.lit(f"LATE-{start[8:10]}-"), number.cast("string"))))
+
+
 def split_base_inc(v: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Baseline half (before INC_START) and incoming half (from INC_START)."""
     return v.filter(F.col("ts") < _inc_start()), v.filter(F.col("ts") >= _inc_start())
