@@ -34,23 +34,23 @@ from healthwatch.llm.common import map_arrow, ship_package, sized, write_table
 
 MIN_LENGTH, MIN_COUNT, PLANT = 5, 3, 97
 #: Words a cell may hold, letters its words may have together, and searches one task answers for it.
-CELL_WORDS, CELL_LETTERS, CELL_SEARCHES = 2048, 1_000_000, 16_384
+CELL_WORDS, CELL_LETTERS, CELL_SEARCHES = 32_768, 1_000_000, 65_536
 #: Points of a leaf, and (search, node) pairs looked at together.
-LEAF, PAIRS = 16, 20_000
+LEAF, PAIRS = 64, 20_000
 #: Distinct words of a task that are counted together before they are handed on.
 HELD_WORDS = 200_000
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_FOLD = {c: c + 32 for c in range(65, 91)}
 #: Place of a letter in a count vector: a to z, then U+00C0 to U+00FF.
 LETTERS = 26 + 64
 
 
 # ------------------------------------------------------------------ counting
 
-def planted(doc_id, run: str, plant: int = PLANT) -> str:
-    """The run, or the run without one letter when ``plant`` divides the hash."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+def planted(seed: int, run: str, plant: int = PLANT) -> str:
+    """The run, or the run without one letter when ``plant`` divides the hash
+    of the document's name (``seed``, hashed with the colon) and the run."""
+    h = zlib.crc32(run.encode(), seed)
     if h % plant:
         return run
     at = h % len(run)
@@ -67,11 +67,12 @@ def _word_batches(min_length: int):
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                found = Counter(_RUN.findall((text.as_py() or "").translate(_FOLD)))
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary())):
+                found = Counter(_RUN.findall((text.as_py() or b"").lower().decode()))   # lowers A-Z only
+                seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
                 for word, n in found.items():
                     if len(word) >= min_length:
-                        held[planted(doc_id, word)] += n
+                        held[planted(seed, word)] += n
                 if len(held) >= HELD_WORDS:
                     yield handed()
         yield handed()
@@ -158,44 +159,56 @@ def letter_codes(words: list[str]) -> np.ndarray:
 
 def letter_counts(codes: np.ndarray) -> np.ndarray:
     flat = np.repeat(np.arange(len(codes)), codes.shape[1]) * LETTERS + codes.ravel()
-    return np.bincount(flat, minlength=len(codes) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
+    return np.bincount(flat, minlength=len(codes) * LETTERS).reshape(-1, LETTERS)
+
+
+def odd_letters(points: np.ndarray) -> np.ndarray:
+    """A bit per letter (some share one) that is set for odd counts: vectors
+    at L1 distance d differ in at most d bits."""
+    bits = np.zeros(len(points), np.uint64)
+    for j in range(points.shape[1]):
+        bits ^= (points[:, j] & 1).astype(np.uint64) << np.uint64(j % 64)
+    return bits
 
 
 class KdTree:
-    """Median splits on the widest letter; nodes keep the box of their points."""
+    """Median splits on the widest letter; nodes keep the box of their points.
+    Letters that no point has are left out: what a search has of them counts
+    against its radius from the start."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.letters = np.flatnonzero(points.any(axis=0))
+        self.kind = np.int16 if points.max(initial=0) < 10_000 else np.int32
+        self.points = points[:, self.letters].astype(self.kind)
+        self.bits = odd_letters(points)
         self.order = np.arange(len(points))
-        self.low, self.high, self.left, self.right, self.span = [], [], [], [], []
-        self.points = points
-        self._grow(0, len(points), leaf)
-        self.low, self.high, self.span = np.array(self.low), np.array(self.high), np.array(self.span)
-        self.left, self.right = np.array(self.left), np.array(self.right)
-
-    def _grow(self, begin: int, end: int, leaf: int) -> None:
-        todo = [(begin, end, None, None)]
+        low, high, left, right, span = [], [], [], [], []
+        todo = [(0, len(points), None, None)]
         while todo:
             a, z, parent, side = todo.pop()
             own = self.points[self.order[a:z]]
-            node = len(self.low)
-            low, high = own.min(axis=0), own.max(axis=0)
-            self.low.append(low), self.high.append(high), self.left.append(-1), self.right.append(-1), self.span.append((a, z))
+            node = len(low)
+            low.append(own.min(axis=0)), high.append(own.max(axis=0)), left.append(-1), right.append(-1), span.append((a, z))
             if parent is not None:
-                (self.left if side == 0 else self.right)[parent] = node
-            axis = int(np.argmax(high - low))
-            if z - a <= leaf or high[axis] == low[axis]:
+                (left if side == 0 else right)[parent] = node
+            axis = int(np.argmax(high[node] - low[node]))
+            if z - a <= leaf or high[node][axis] == low[node][axis]:
                 continue
             values = own[:, axis]
-            cut = max(int(np.median(values)), int(low[axis]) + 1)
-            goes = values >= cut
+            goes = values >= max(int(np.median(values)), int(low[node][axis]) + 1)
             part = self.order[a:z]
             self.order[a:z] = np.concatenate([part[~goes], part[goes]])
             middle = z - int(goes.sum())
             todo += [(a, middle, node, 0), (middle, z, node, 1)]
-
-    def within(self, searches: np.ndarray, radius: np.ndarray):
-        """(search, point) pairs at L1 distance of at most the radius."""
-        todo = [(np.arange(len(searches)), np.zeros(len(searches), np.int64))]
+        self.low, self.high, self.span = np.array(low), np.array(high), np.array(span)
+        self.left, self.right = np.array(left), np.array(right)
+
+    def within(self, searches: np.ndarray, radius: int):
+        """(search, point) pairs at L1 distance of at most ``radius``."""
+        outside = searches.sum(axis=1) - searches[:, self.letters].sum(axis=1)
+        bits, searches, left = odd_letters(searches), searches[:, self.letters].astype(self.kind), radius - outside
+        start = np.flatnonzero(left >= 0)
+        todo = [(start, np.zeros(len(start), np.int64))]
         while todo:
             s, node = todo.pop()
             if len(s) > PAIRS:
@@ -203,20 +216,27 @@ class KdTree:
                 continue
             q = searches[s]
             away = np.maximum(self.low[node] - q, 0) + np.maximum(q - self.high[node], 0)
-            near = away.sum(axis=1) <= radius[s]
+            near = away.sum(axis=1, dtype=np.int64) <= left[s]
             s, node = s[near], node[near]
             end = self.left[node] < 0
-            for n in np.unique(node[end]):
-                who, points = s[end & (node == n)], self.order[slice(*self.span[n])]
-                for k in range(0, len(points), max(1, PAIRS // max(len(who), 1))):
-                    some = points[k:k + max(1, PAIRS // max(len(who), 1))]
-                    gap = np.abs(searches[who][:, None, :] - self.points[some][None, :, :]).sum(axis=2)
-                    i, j = np.nonzero(gap <= radius[who][:, None])
-                    yield who[i], some[j]
+            if end.any():
+                yield from self._leaves(s[end], node[end], searches, bits, left, radius)
             if not end.all():
                 s, node = s[~end], node[~end]
                 todo.append((np.concatenate([s, s]), np.concatenate([self.left[node], self.right[node]])))
 
+    def _leaves(self, s, node, searches, bits, left, radius: int):
+        """Points of the leaves, first by their odd letters, then exactly."""
+        size = self.span[node, 1] - self.span[node, 0]
+        for k in np.array_split(np.arange(len(s)), max(1, int(size.sum()) // (50 * PAIRS) + 1)):
+            many = size[k]
+            at = np.repeat(self.span[node[k], 0], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            who, point = np.repeat(s[k], many), self.order[at]
+            maybe = np.bitwise_count(bits[who] ^ self.bits[point]) <= radius
+            who, point = who[maybe], point[maybe]
+            gap = np.abs(searches[who] - self.points[point]).sum(axis=1, dtype=np.int64)
+            yield who[gap <= left[who]], point[gap <= left[who]]
+
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Rows of codes that differ by exactly one replaced letter, or by one
@@ -229,24 +249,23 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _search(members: pa.Table, searches: pa.Table) -> pa.Table:
-    out = {"word": [], "other": [], "other_n": []}
-    words, counts = members["word"].to_pylist(), np.asarray(members["n"], np.int64)
-    if words and searches.num_rows:
-        codes = letter_codes(words)
+    parts = []
+    if members.num_rows and searches.num_rows:
+        codes = letter_codes(members["word"].to_pylist())
         tree = KdTree(letter_counts(codes))
-        asked, asked_n, reach = searches["word"].to_pylist(), np.asarray(searches["n"], np.int64), np.asarray(searches["reach"], np.int64)
+        reach = np.asarray(searches["reach"], np.int64)
         for radius in (1, 2):
             mine = np.flatnonzero(reach == radius)
-            if not len(mine):
-                continue
-            own = letter_codes([asked[k] for k in mine])
-            for s, p in tree.within(letter_counts(own), np.full(len(mine), radius)):
-                hit = one_edit(own[s], codes[p])
-                for i, j in zip(mine[s[hit]].tolist(), p[hit].tolist()):
-                    out["word"].append(asked[i]), out["other"].append(words[j]), out["other_n"].append(int(counts[j]))
-                    if radius == 1:  # the longer word does not search for the shorter
-                        out["word"].append(words[j]), out["other"].append(asked[i]), out["other_n"].append(int(asked_n[i]))
-    return pa.table({"word": pa.array(out["word"], pa.string()), "other": pa.array(out["other"], pa.string()), "other_n": pa.array(out["other_n"], pa.int64())})
+            for k in range(0, len(mine), PAIRS):
+                some = mine[k:k + PAIRS]
+                own = letter_codes(searches["word"].take(pa.array(some)).to_pylist())
+                pairs = [(s[hit], p[hit]) for s, p in tree.within(letter_counts(own), radius) for hit in [one_edit(own[s], codes[p])]]
+                s, p = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+                asked, found = searches.take(pa.array(some[s])), members.take(pa.array(p))
+                parts.append(pa.table({"word": asked["word"], "other": found["word"], "other_n": found["n"]}))
+                if radius == 1:  # the longer word does not search for the shorter
+                    parts.append(pa.table({"word": found["word"], "other": asked["word"], "other_n": asked["n"]}))
+    return pa.concat_tables(parts) if parts else pa.table({"word": pa.array([], pa.string()), "other": pa.array([], pa.string()), "other_n": pa.array([], pa.int64())})
 
 
 def near_words(words: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:

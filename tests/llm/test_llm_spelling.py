@@ -68,7 +68,7 @@ def got(df, **options):
 def test_tree_finds_all_points_in_the_ball(words, radius, leaf):
     points = sp.letter_counts(sp.letter_codes(words))
     tree = sp.KdTree(points, leaf)
-    found = [(int(s), int(p)) for a, b in tree.within(points, np.full(len(words), radius)) for s, p in zip(a, b)]
+    found = [(int(s), int(p)) for a, b in tree.within(points, radius) for s, p in zip(a, b)]
     want = {(i, j) for i in range(len(words)) for j in range(len(words)) if np.abs(points[i] - points[j]).sum() <= radius}
     assert len(found) == len(set(found)) and set(found) == want
 
