@@ -2,7 +2,7 @@
 
     python -m healthwatch.cli baseline --table T --out DIR [--approx]
     python -m healthwatch.cli detect   --table T --baseline DIR [--out DIR]
-    python -m healthwatch.cli stream   --folder F --name events --baseline DIR --interval 30
+    python -m healthwatch.cli stream   --folder F --name events --baseline DIR --interval 30 --out DIR --checkpoint DIR
     python -m healthwatch.cli audit    --table T --column sql --out DIR
 
 Tables are parquet paths; results are written as parquet (no driver collect).
@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--name", default="events")
     s.add_argument("--baseline", required=True)
     s.add_argument("--interval", type=int, default=30, help="seconds between micro-batches")
+    s.add_argument("--out", help="table of the alerts, one partition per micro-batch")
+    s.add_argument("--checkpoint", help="with --out: a stopped stream goes on where it ended")
     s.add_argument("--once", action="store_true", help="consume what is available, then stop")
     a = sub.add_parser("audit", help="audit a table of SQL statements")
     a.add_argument("--table", required=True)
@@ -67,7 +69,7 @@ def main(argv: list[str] | None = None) -> None:
         from healthwatch.streaming import pipeline as sp
         stats, hist = _baseline(spark, args.baseline)
         trigger = {"availableNow": True} if args.once else {"processingTime": f"{args.interval} seconds"}
-        sp.stream_detect(sp.read_table_stream(spark, args.folder, args.name), stats, hist, trigger=trigger)
+        sp.stream_detect(sp.read_table_stream(spark, args.folder, args.name), stats, hist, trigger=trigger, out=args.out, checkpoint=args.checkpoint)
     elif args.cmd == "audit":
         au.audit_sql(spark.read.parquet(args.table), args.column).write.mode("overwrite").parquet(args.out)
 

@@ -99,21 +99,11 @@ def range_violations(df: DataFrame, ranges: dict | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def classify_log(line: Column, tags: list | None = None) -> Column:
-    """Category of an agent log line by its first matching tag family."""
-    tags = tags or fd.LOG_TAGS
-    expr = F.lit("plain")
-    for name, pats in reversed(tags):
-        cond = None
-        for p in pats:
-            c = line.contains(p)
-            cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.lit(name)).otherwise(expr)
-    return expr
-
-
-def classify_log_lines(df: DataFrame, col: str = "line") -> DataFrame:
-    """Drop blank lines, trim, and tag each line with its category."""
+def classify_log_lines(df: DataFrame, col: str = "line", rules: DataFrame | None = None) -> DataFrame:
+    """Drop blank lines, trim, and tag each line with the category of the first
+    ``log`` rule whose pattern it contains (``plain`` without one)."""
+    from healthwatch.operators import rules as rl
     t = F.regexp_replace(F.col(col), r"^\s+|\s+$", "")
-    return (df.withColumn(col, t).filter(F.length(col) > 0)
-              .withColumn("category", classify_log(F.col(col))))
+    trimmed = df.withColumn(col, t).filter(F.length(col) > 0)
+    ruled = rl.with_rule(trimmed, rl.default_rules(df.sparkSession) if rules is None else rules, "log", col)
+    return ruled.withColumn("category", F.coalesce("rule.code", F.lit("plain"))).drop("rule")

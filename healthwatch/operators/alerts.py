@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from healthwatch.functions import fields as fd
@@ -25,7 +25,8 @@ from healthwatch.operators import zscore as zs
 from healthwatch.operators.baseline import stats_map
 
 ALERT_COLUMNS = ["detector", "priority", "signal_count", "detail"]
-DETECTOR_ORDER = {"stall": 0, "zscore": 1, "ks_test": 2, "schema_entropy": 3, "security": 4}
+DETECTOR_ORDER = {"stall": 0, "zscore": 1, "ks_test": 2, "schema_entropy": 3, "security": 4, "telemetry_zscore": 5, "isolation_forest": 6,
+                  "latency_monitor": 7}
 
 
 def _alert(df: DataFrame, name: str, count_col: str, detail, keys: list[str] | None = None) -> DataFrame:
@@ -62,8 +63,8 @@ def ks_alert(batch: DataFrame, base_hist: DataFrame, base_stats: DataFrame | Non
 
 
 def schema_alert(batch: DataFrame, contracts=None, threshold: float = fd.SCHEMA_THRESHOLD,
-                 keys: list[str] | None = None) -> DataFrame:
-    checked = sd.schema_check(batch, contracts, threshold,
+                 keys: list[str] | None = None, present: Column | None = None) -> DataFrame:
+    checked = sd.schema_check(batch, contracts, threshold, present=present,
                               columns=[c for c in batch.columns if c not in (keys or [])])
     flagged = _group(checked, keys).agg(F.count_if("anomaly_detected").alias("flagged"))
     counts = sd.schema_field_counts(checked, keys)        # one row per distinct field name (per batch)
@@ -106,7 +107,7 @@ def with_batch(df: DataFrame, batch_seconds: int, ts: str = "ts", name: str = "b
 
 
 def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | None,
-                     include_security: bool, include_stall: bool, ids: list[str] | None) -> DataFrame:
+                     include_security: bool, include_stall: bool, ids: list[str] | None, include_schema: bool = True) -> DataFrame:
     """z-score, schema, security and (whole-frame) stall alerts from ONE
     aggregation over the batch: z flags, schema masks and denylist matches
     are narrow columns of the same rows, so every figure is a ``count_if``
@@ -114,14 +115,14 @@ def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | No
     keys = keys or []
     contracts = contracts or fd.CONTRACTS
     cols = [c for c in batch.columns if c not in keys]
-    checked = zs.zscore_flags(sd.schema_check(batch, contracts, columns=cols), sm)
+    checked = zs.zscore_flags(sd.schema_check(batch, contracts, columns=cols) if include_schema else batch, sm)
     zfields = [f for f in sm if f in cols]
     rename = sd.DEFAULT_RENAME
-    names = sorted({rename.get(c, c) for c in cols} | {f for _, fl in contracts for f in fl})
+    names = sorted({rename.get(c, c) for c in cols} | {f for _, fl in contracts for f in fl}) if include_schema else []
     ids = ids or [fd.ATTACKER_ID]
     thr = fd.ZSCORE_THRESHOLD
     q, lit = sd._q, sd._s
-    aggs = ["count(1) AS _n", "count_if(is_anomalous) AS _zf", "count_if(anomaly_detected) AS _sf"]
+    aggs = ["count(1) AS _n", "count_if(is_anomalous) AS _zf", f"{'count_if(anomaly_detected)' if include_schema else 'CAST(0 AS BIGINT)'} AS _sf"]
     aggs += [f"count_if({q('z_' + f)} > {thr}) AS _z_{i}" for i, f in enumerate(zfields)]
     aggs += [f"count_if(anomaly_detected AND array_contains(missing_fields, {lit(n)})) AS _m_{i}"
              for i, n in enumerate(names)]
@@ -141,7 +142,7 @@ def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | No
         or [F.lit(None).cast("string")])), ",")
     sparts = sorted([(f"extra:{n}", f"_e_{i}") for i, n in enumerate(names)]
                     + [(f"missing:{n}", f"_m_{i}") for i, n in enumerate(names)])
-    sdetail = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(t)) for t, c in sparts])), ",")
+    sdetail = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(t)) for t, c in sparts])), ",") if sparts else F.lit("")
     cands = [alert("zscore", F.col("_zf"), zdetail, F.col("_zf") > 0),
              alert("schema_entropy", F.col("_sf"), sdetail, F.col("_sf") > 0)]
     if include_security:
@@ -156,22 +157,50 @@ def _one_pass_alerts(batch: DataFrame, sm: dict, contracts, keys: list[str] | No
 def detect_all(batch: DataFrame, stats: DataFrame, base_hist: DataFrame, contracts=None,
                include_security: bool = True, include_stall: bool = True,
                keys: list[str] | None = None, batch_seconds: int | None = None,
-               ids: list[str] | None = None) -> DataFrame:
+               ids: list[str] | None = None, presence: str = "non_null", json_keys: str = "keys") -> DataFrame:
     """Alert rows ``([keys...,] detector, priority, signal_count, detail)``:
     for the whole frame, or per batch when ``keys`` are given (e.g. the
     ``batch_start`` of ``with_batch`` — then ``batch_seconds`` enables stall
     alerts for empty batch windows).
 
     Two passes over the batch in total: one aggregation yields the z-score,
-    schema, security and stall figures, and the KS collapse is the other."""
+    schema, security and stall figures, and the KS collapse is the other.
+
+    ``presence="json"`` is the topic path: the fields an event has are the keys
+    listed in the array column ``json_keys`` (``events.decode_variant``), so a
+    key with a JSON null is present and any other key counts as extra."""
     sm = stats_map(stats)
-    parts = [_one_pass_alerts(batch, sm, contracts, keys, include_security, include_stall, ids),
+    if presence not in ("non_null", "json"):
+        raise ValueError(f"unknown presence {presence!r}")
+    by_keys = presence == "json"
+    parts = [_one_pass_alerts(batch, sm, contracts, keys, include_security, include_stall, ids, not by_keys),
              ks_alert(batch, base_hist, stats, keys=keys)]
+    if by_keys:
+        parts.append(schema_alert(batch, contracts, keys=keys, present=F.col(json_keys)))
     if include_stall and keys and batch_seconds:
         parts.append(stall_alert(batch, keys, batch_seconds))
     return reduce(DataFrame.unionByName, parts)
 
 
+def telemetry_alerts(tel: DataFrame, base: DataFrame, fields: list[str] | None = None, row_id: str | None = None,
+                     latency: str = "db_latency_sec", threshold_sec: float = fd.LATENCY_SECONDS) -> DataFrame:
+    """Alert rows of a telemetry series: ``telemetry_zscore`` (rows with a
+    latency, lag or load spike against the moments of ``base``),
+    ``isolation_forest`` (rows that a forest over both series finds anomalous)
+    and ``latency_monitor`` (rows above the latency threshold)."""
+    from healthwatch.operators import forest as fo
+    from healthwatch.operators.baseline import baseline_moments
+    from healthwatch.operators.telemetry import TELEMETRY_FIELDS
+    fields = fields or TELEMETRY_FIELDS
+    spikes = zscore_alert(tel, baseline_moments(base, fields)).withColumns(
+        {"detector": F.lit("telemetry_zscore"), "priority": F.lit(DETECTOR_ORDER["telemetry_zscore"])})
+    both = base.withColumn("_new", F.lit(False)).unionByName(tel.withColumn("_new", F.lit(True)))
+    odd = fo.isolation_forest(both, fields, row_id=row_id).agg(F.count_if(F.col("_new") & F.col("is_anomaly")).alias("n"))
+    late = tel.agg(F.count_if(F.col(latency) > threshold_sec).alias("n"))
+    return (spikes.unionByName(_alert(odd.filter("n > 0"), "isolation_forest", "n", F.lit(",".join(fields))))
+                  .unionByName(_alert(late.filter("n > 0"), "latency_monitor", "n", F.lit(latency))))
+
+
 def validate(batch: DataFrame, stats: DataFrame, base_hist: DataFrame, contracts=None,
              include_security: bool = False) -> DataFrame:
     """Steady-state check after a repair: re-run z-score, KS and schema (and

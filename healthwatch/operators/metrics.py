@@ -96,14 +96,26 @@ def backfill_mttr(incidents: DataFrame, fixes: DataFrame, id_col: str = "log_id"
     whose id has a fix; others keep their value.  Of several fixes for one id
     the one with the latest end counts, so no incident is repeated.  A hash
     join on the id (the fix table is shuffled alongside, never collected)."""
+    f = _mttr(fixes, id_col).withColumnRenamed("mttr_seconds", "_mttr")
+    return (incidents.join(f, id_col, "left")
+                     .withColumn("mttr_seconds", F.coalesce("_mttr", "mttr_seconds")).drop("_mttr"))
+
+
+def _mttr(fixes: DataFrame, id_col: str) -> DataFrame:
+    """Seconds from fault to fix per id, of its latest fix."""
     from healthwatch.functions.columns import epoch_micros
     sch = fixes.schema
     f = fixes.select(id_col, F.round((epoch_micros("fix_end", sch["fix_end"].dataType)
                                       - epoch_micros("fault_start", sch["fault_start"].dataType)) / F.lit(1e6), 2)
-                     .alias("_mttr"), "fix_end")
-    f = f.groupBy(id_col).agg(F.max_by("_mttr", "fix_end").alias("_mttr"))
-    return (incidents.join(f, id_col, "left")
-                     .withColumn("mttr_seconds", F.coalesce("_mttr", "mttr_seconds")).drop("_mttr"))
+                     .alias("mttr_seconds"), "fix_end")
+    return f.groupBy(id_col).agg(F.max_by("mttr_seconds", "fix_end").alias("mttr_seconds"))
+
+
+def backfill_log(spark, path: str, fixes: DataFrame, id_col: str = "log_id") -> list[int]:
+    """:func:`backfill_mttr` on a stored log (``operators.bucket_log``): only
+    the buckets of the ids that have a fix are rewritten; returns them."""
+    from healthwatch.operators import bucket_log as bk
+    return bk.update(spark, path, _mttr(fixes, id_col), ["mttr_seconds"])
 
 
 def _truth(col: Column) -> Column:

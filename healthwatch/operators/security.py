@@ -7,6 +7,8 @@ partition before the shuffle — the hot key never lands whole on one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,32 @@ def hot_keys(df: DataFrame, share: float = fd.HOT_KEY_SHARE, key: str = "patient
               .withColumn("is_hot", F.col("event_count") > F.lit(share) * total))
 
 
+#: Counters of the frequency sketch per wanted key: its error is then below a sixth of the share asked for.
+SKETCH_ITEMS = 16
+
+
+def heavy_hitters(df: DataFrame, share: float = fd.HOT_KEY_SHARE, key: str = "patient_id", floor: float | None = None) -> DataFrame:
+    """Keys with more than ``floor`` (default: ``share``) of all events, their
+    exact count and share, and ``is_hot`` above ``share``.
+
+    Unlike :func:`hot_keys` this never shuffles the keys.  One pass fills a
+    mergeable frequency sketch per task; a key above the floor is among its
+    2 / floor largest estimates, as the sketch errs by less than floor / 6 of
+    the events.  A second pass counts these few candidates exactly.  Rows
+    without a key count for the total only."""
+    floor = share if floor is None else floor
+    if not 0 < floor <= share:
+        raise ValueError("the floor must lie between 0 and the share")
+    wanted = math.ceil(2 / floor)
+    seen = df.agg(F.expr(f"approx_top_k(`{key}`, {wanted}, {max(SKETCH_ITEMS * wanted, 64)}) FILTER (WHERE `{key}` IS NOT NULL)").alias("top"),
+                  F.count(F.lit(1)).alias("_total"))
+    candidates = seen.select(F.explode("top.item").alias(key), "_total")           # at most 2 / floor rows
+    counted = df.select(key).join(F.broadcast(candidates), key).groupBy(key, "_total").agg(F.count(F.lit(1)).alias("event_count"))
+    return counted.filter(F.col("event_count") > F.lit(floor) * F.col("_total")).select(
+        key, "event_count", F.round(F.col("event_count") / F.col("_total"), 4).alias("share"),
+        (F.col("event_count") > F.lit(share) * F.col("_total")).alias("is_hot"))
+
+
 def _slide_counts(df: DataFrame, key: str, ts: str, slide_seconds: int) -> DataFrame:
     """Events per key per slide step — collapsed map-side before any window
     copies are made, so a burst of many events costs one row per step."""

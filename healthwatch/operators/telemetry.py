@@ -50,18 +50,38 @@ def stall_gaps(df: DataFrame, gap_seconds: float = fd.STALL_SECONDS, ts: str = "
                        ((F.col("first_us") - F.col("prev_us")) / F.lit(1e6)).alias("gap_seconds"))
 
 
+#: Empty batches that one row is expanded to.
+CALENDAR = 10_000
+
+
+def batch_gaps(df: DataFrame, batch_seconds: int, ts: str = "ts") -> DataFrame:
+    """Runs of empty batch windows between two batches with events: start and
+    end of the run and its number of batches.  One row a run, however long."""
+    from healthwatch.functions.columns import epoch_micros, from_epoch_micros
+    width = batch_seconds * 1_000_000
+    dtype = df.schema[ts].dataType
+    first = from_epoch_micros(F.floor(epoch_micros(ts, dtype) / width) * width, dtype)
+    gaps = stall_gaps(df.select(first.alias(ts)), batch_seconds, ts, super_seconds=max(86400, 1000 * batch_seconds))
+    length = (epoch_micros("gap_end", dtype) - epoch_micros("gap_start", dtype)) / width
+    return gaps.select(from_epoch_micros(epoch_micros("gap_start", dtype) + width, dtype).alias("gap_start"), "gap_end",
+                       (F.round(length).cast("long") - 1).alias("batches"))
+
+
 def empty_batches(df: DataFrame, batch_seconds: int, ts: str = "ts") -> DataFrame:
     """Batch windows (of ``batch_seconds``) between the first and last event
-    that received no event at all — the empty-batch stall signal."""
+    that received no event at all -- the empty-batch stall signal.  A long run
+    is expanded in pieces of :data:`CALENDAR` rows (``batch_gaps`` keeps it as
+    one row)."""
     from healthwatch.functions.columns import epoch_micros, from_epoch_micros
     width = batch_seconds * 1_000_000
     dtype = df.schema[ts].dataType
-    b = df.select(F.floor(epoch_micros(ts, dtype) / width).alias("b")).groupBy("b").count()
-    rng = b.agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
-    cal = rng.select(F.explode(F.sequence("lo", "hi")).alias("b"))     # span / batch rows
-    return (cal.join(b, "b", "left_anti")
-               .select(from_epoch_micros(F.col("b") * width, dtype).alias("batch_start"),
-                       from_epoch_micros((F.col("b") + 1) * width, dtype).alias("batch_end")))
+    runs = batch_gaps(df, batch_seconds, ts).select(epoch_micros("gap_start", dtype).alias("us"), "batches")
+    blocks = runs.select("us", "batches", F.explode(F.sequence(F.lit(0), F.floor((F.col("batches") - 1) / F.lit(CALENDAR * CALENDAR)))).alias("k"))
+    blocks = blocks.select("us", "batches", (F.col("k") * CALENDAR * CALENDAR).alias("at"))
+    pieces = blocks.select("us", "batches", F.explode(F.sequence(F.col("at"), F.least(F.col("batches"), F.col("at") + CALENDAR * CALENDAR) - 1, F.lit(CALENDAR))).alias("at"))
+    rows = pieces.select("us", F.explode(F.sequence(F.col("at"), F.least(F.col("batches"), F.col("at") + CALENDAR) - 1)).alias("at"))
+    start = F.col("us") + F.col("at") * width
+    return rows.select(from_epoch_micros(start, dtype).alias("batch_start"), from_epoch_micros(start + width, dtype).alias("batch_end"))
 
 
 def latency_breaches(tel: DataFrame, threshold_sec: float = fd.LATENCY_SECONDS,

@@ -3,7 +3,7 @@ ordered action plan, and nearest-runbook retrieval.
 
 Per packet the alert list is bounded by the number of detectors, so the
 ``collect_list`` calls below aggregate at most a handful of rows per group.
-Rules are literal ``CASE`` expressions (no rule-table join).
+Components, goals and actions come from a rule table (``operators.rules``).
 """
 
 from __future__ import annotations
@@ -12,69 +12,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from healthwatch.functions import fields as fd
+from healthwatch.operators import rules as rl
+from healthwatch.operators.nearest import nearest_docs  # noqa: F401  (part of the triage surface)
 
-# Repair actions per detector (deterministic part of the runbook rules):
-# the first entry whose text occurs in the detector's name applies.
-ACTIONS = {
-    "security": ("D", 0, "quarantine attacker id"),
-    "zscore": ("A", 1, "impute impossible vitals with jitter"),
-    "ks_test": ("A", 1, "impute impossible vitals with jitter"),
-    "schema_entropy": ("B", 2, "impute missing spo2 with jitter"),
-    "latency": ("E", 3, "alert the on-call team"),
-    "warehouse_monitor": ("E", 3, "alert the on-call team"),
-    "resource_limit": ("E", 3, "alert the on-call team"),
-    "stall": ("F", 4, "check the connector status"),
-}
+#: Repair step (code, rank, text) per signal pattern, as in the default rule table.
+ACTIONS = {pattern: tuple(step) for pattern, *step in rl.ACTIONS}
 #: A signal without a rule keeps a step of its own in the plan.
 NO_RULE = ("Z", 9, "no repair rule: inspect ")
 
 
-def components(detector: Column) -> Column:
-    """Affected components of one detector (exact name match)."""
-    expr = F.array(F.lit(fd.UNKNOWN_COMPONENT))
-    for names, comps in reversed(fd.DETECTOR_COMPONENTS):
-        expr = F.when(detector.isin(names), F.array(*[F.lit(c) for c in comps])).otherwise(expr)
-    return expr
+def _ruled(alerts: DataFrame, rules: DataFrame | None, kind: str) -> DataFrame:
+    return rl.with_rule(alerts, rl.default_rules(alerts.sparkSession) if rules is None else rules, kind, "detector")
 
 
-def goal(detector: Column) -> Column:
-    """Completion goal of one signal: substring rules, first match wins
-    (the latency rule matches case-insensitively)."""
-    expr = F.lit(None).cast("string")
-    for pats, text in reversed(fd.GOAL_RULES):
-        cond = None
-        for p in pats:
-            c = F.lower(detector).contains(p) if p == "latency" else detector.contains(p)
-            cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.lit(text)).otherwise(expr)
-    return expr
-
-
-def crisis_packet(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def crisis_packet(alerts: DataFrame, keys: list[str] | None = None, rules: DataFrame | None = None, crisis_id: Column | None = None) -> DataFrame:
     """One packet per ``keys`` group: signals (in detector order), sorted
     distinct components, severity (UNKNOWN without signals; CRITICAL for a
-    security signal or two or more signals; else HIGH)."""
+    security signal or two or more signals; else HIGH), ``signals`` (detector,
+    count and detail of each), the attacker's id (the default one when a
+    security signal names none) and, when given, the ``crisis_id``."""
     keys = keys or []
-    a = alerts.withColumn("components", components(F.col("detector")))
+    a = _ruled(alerts, rules, "component").withColumn("_parts", F.split(F.coalesce("rule.text", F.lit(fd.UNKNOWN_COMPONENT)), ","))
     g = a.groupBy(*keys) if keys else a
-    sig = F.array_sort(F.collect_list(F.struct("priority", "detector")))
+    sig = F.array_sort(F.collect_list(F.struct("priority", "detector", "signal_count", "detail")))
     p = g.agg(sig.alias("_sig"),
-              F.array_sort(F.array_distinct(F.flatten(F.collect_list("components")))).alias("_comp"),
+              F.array_sort(F.array_distinct(F.flatten(F.collect_list("_parts")))).alias("_comp"),
               F.count(F.lit(1)).alias("n_signals"),
               F.bool_or(F.col("detector") == "security").alias("_sec"))
     severity = (F.when(F.col("n_signals") == 0, "UNKNOWN")
                  .when(F.col("_sec") | (F.col("n_signals") > 1), "CRITICAL").otherwise("HIGH"))
-    return p.select(*keys,
+    guilty = F.get(F.filter("_sig", lambda s: s["detector"] == "security"), F.lit(0))["detail"]
+    return p.select(*keys, *([crisis_id.alias("crisis_id")] if crisis_id is not None else []),
                     F.array_join(F.transform("_sig", lambda s: s["detector"]), ",").alias("fault_signals"),
                     F.array_join("_comp", ",").alias("affected_components"),
-                    "n_signals", severity.alias("severity"))
+                    "n_signals", severity.alias("severity"),
+                    F.transform("_sig", lambda s: s.dropFields("priority")).alias("signals"),
+                    F.when(F.col("_sec"), F.coalesce(guilty, F.lit(fd.ATTACKER_ID))).alias("attacker_id"))
 
 
-def completion_goals(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def completion_goals(alerts: DataFrame, keys: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Stop condition per packet: the goals of its signals in signal order,
     joined by `` AND `` (duplicates kept); the fallback when none match."""
     keys = keys or []
-    a = alerts.withColumn("goal", goal(F.col("detector")))
+    a = _ruled(alerts, rules, "goal").withColumn("goal", F.col("rule.text"))
     g = a.groupBy(*keys) if keys else a
     goals = F.array_sort(F.collect_list(F.when(F.col("goal").isNotNull(),
                                                F.struct("priority", "detector", "goal"))))
@@ -84,21 +64,16 @@ def completion_goals(alerts: DataFrame, keys: list[str] | None = None) -> DataFr
                       .alias("stop_condition"))
 
 
-def action_plan(alerts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def action_plan(alerts: DataFrame, keys: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Ordered repair steps: quarantine first, one vitals imputation even when
     both zscore and ks_test fired, then spo2 imputation, alerting, connector
-    check.  Rules match as substrings; a signal without a rule gets an explicit
-    step that names it, so no alert is dropped.  ``step`` numbers the plan
-    within each group."""
+    check.  A signal without a rule gets an explicit step that names it, so no
+    alert is dropped.  ``step`` numbers the plan within each group."""
     keys = keys or []
-    code, rank = F.lit(NO_RULE[0]), F.lit(NO_RULE[1])
-    text = F.concat(F.lit(NO_RULE[2]), F.col("detector"))
-    for det, (c, r, t) in reversed(ACTIONS.items()):
-        hit = F.lower("detector").contains(det)
-        code = F.when(hit, F.lit(c)).otherwise(code)
-        rank = F.when(hit, F.lit(r)).otherwise(rank)
-        text = F.when(hit, F.lit(t)).otherwise(text)
-    acts = (alerts.select(*keys, code.alias("action_code"), rank.alias("rank"), text.alias("action"))
+    ruled = _ruled(alerts, rules, "action")
+    code, rank = F.coalesce("rule.code", F.lit(NO_RULE[0])), F.coalesce("rule.rank", F.lit(NO_RULE[1]))
+    text = F.coalesce("rule.text", F.concat(F.lit(NO_RULE[2]), F.col("detector")))
+    acts = (ruled.select(*keys, code.alias("action_code"), rank.alias("rank"), text.alias("action"))
                   .dropDuplicates([*keys, "action_code", "action"]))
     w = Window.partitionBy(*keys).orderBy("rank", "action_code", "action") if keys else \
         Window.orderBy("rank", "action_code", "action")       # one packet: a few rows
@@ -110,34 +85,7 @@ def plan_codes(plan: DataFrame) -> list[str]:
     return [r["action_code"] for r in plan.orderBy("step").select("action_code").collect()]
 
 
-# ---------------------------------------------------------------- F5
-def _sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def nearest_docs(queries: DataFrame, docs: DataFrame, k: int = 3, vec: str = "embedding",
-                 doc_id: str = "doc_id", max_docs: int = 10000) -> DataFrame:
-    """k nearest documents (squared L2) for every query vector.
-
-    The runbook set is small by nature; its size is checked and it is then
-    inlined into the plan as one literal array, so each query row is scored by
-    a narrow projection (no join, no pair table).  Larger document sets are
-    refused rather than silently broadcast."""
-    rows = docs.select(doc_id, vec).limit(max_docs + 1).collect()
-    if len(rows) > max_docs:
-        raise ValueError(f"document set exceeds {max_docs} vectors; use a partitioned index")
-    lit_docs = F.array(*[F.struct(F.lit(r[doc_id]).alias("doc"),
-                                  F.array(*[F.lit(float(x)) for x in r[vec]]).alias("v"))
-                         for r in rows])
-    scored = F.transform(lit_docs, lambda d: F.struct(_sq_dist(F.col(vec).cast("array<double>"), d["v"])
-                                                      .alias("distance"), d["doc"].alias("doc")))
-    top = F.slice(F.array_sort(scored), 1, k)
-    other = [c for c in queries.columns if c != vec]
-    return (queries.select(*other, F.posexplode(top).alias("pos", "hit"))
-                   .select(*other, (F.col("pos") + 1).alias("rank"),
-                           F.col("hit.doc").alias(doc_id), F.col("hit.distance").alias("distance")))
-
-
+# ---------------------------------------------------------------- F5 (search: operators.nearest)
 def centroids(df: DataFrame, key: str, vec: str = "embedding", dims: int | None = None) -> DataFrame:
     """Mean vector per key (one partially aggregated pass over the rows)."""
     if dims is None:
@@ -145,9 +93,9 @@ def centroids(df: DataFrame, key: str, vec: str = "embedding", dims: int | None
     return df.groupBy(key).agg(F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dims)]).alias(vec))
 
 
-def crisis_id(now_epoch_s: int | None = None) -> Column:
+def crisis_id(now_epoch_s: int | Column | None = None) -> Column:
     """``CRISIS-<epoch seconds>`` of the build time (or a given clock)."""
-    ts = F.lit(now_epoch_s) if now_epoch_s is not None else F.unix_timestamp(F.current_timestamp())
+    ts = F.unix_timestamp(F.current_timestamp()) if now_epoch_s is None else now_epoch_s if isinstance(now_epoch_s, Column) else F.lit(now_epoch_s)
     return F.concat(F.lit("CRISIS-"), ts.cast("string"))
 
 

@@ -89,6 +89,9 @@ FROM (SELECT event_id, ts, '{' || concat_ws(',', '"event_id":"' || event_id || '
         '"diagnosis_code":"' || diagnosis_code || '"', '"timestamp":"' || CAST(ts AS VARCHAR(40)) || '"') || '}' AS j FROM vitals) q
 """
 
+VIEWS["topic"] = VIEWS["raw"].replace("CAST(spo2 AS VARCHAR(20))",
+                                      "coalesce(CAST(spo2 AS VARCHAR(20)), CASE WHEN CAST(substr(event_id, 4) AS BIGINT) % 2 = 0 THEN 'null' END)")
+
 VIEWS["log_lines"] = f"""
 SELECT event_id AS line_no, {_text_list(LOG_LINES)}[event_id % {len(LOG_LINES)} + 1] AS line FROM events
 """
@@ -98,13 +101,22 @@ SELECT * REPLACE (CASE WHEN patient_id = 'PT-ATTACKER-0000'
   THEN CAST('2024-01-16 00:00:00' AS TIMESTAMP) + to_milliseconds(CAST(substr(event_id, 4) AS BIGINT) % 2500) ELSE ts END AS ts) FROM vitals
 """
 
+_NO = "CAST(substr(event_id, 4) AS BIGINT)"
+VIEWS["mixed"] = f"""
+SELECT * REPLACE (CASE WHEN {_NO} % 11 = 0 THEN 'LOBBY' ELSE ward END AS ward,
+  CASE WHEN {_NO} % 17 = 0 THEN CAST(-5 AS DOUBLE) WHEN {_NO} % 17 = 1 THEN CAST(301.5 AS DOUBLE) ELSE heart_rate END AS heart_rate,
+  CASE WHEN {_NO} % 19 = 0 THEN CAST(100.5 AS DOUBLE) ELSE spo2 END AS spo2,
+  CASE WHEN {_NO} % 23 = 0 THEN CAST(12.5 AS DOUBLE) WHEN {_NO} % 23 <> 1 THEN temperature_c END AS temperature_c,
+  CASE WHEN {_NO} % 2 <> 0 THEN respiratory_rate END AS respiratory_rate) FROM vitals
+"""
+
 VIEWS["crowded"] = """
 SELECT event_id, CASE WHEN event_id % 10 < 3 THEN 'PT-ATTACKER-0000' WHEN event_id % 10 = 3 THEN 'PT-GATEWAY-0001'
                       ELSE 'PT-' || CAST(event_id AS VARCHAR(20)) END AS patient_id, ts FROM events
 """
 
 # Views that depend on other views.
-DEPENDS = {"base": ["vitals"], "inc": ["vitals"], "raw": ["vitals"], "rush": ["vitals"]}
+DEPENDS = {"base": ["vitals"], "inc": ["vitals"], "raw": ["vitals"], "topic": ["vitals"], "rush": ["vitals"], "mixed": ["vitals"]}
 
 
 def with_views(sql: str, *names: str) -> str:

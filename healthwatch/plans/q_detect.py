@@ -137,14 +137,14 @@ def q_schema_distance(spark, sf_dir):
     return sd.schema_check(fx.vitals(spark, sf_dir)).select("event_id", "d_v1", "d_v2")
 
 
-@register("schema_best_match", sql="WITH " + SCHEMA_ROWS.format(view="vitals") + f"""
+@register("schema_best_match", sql="WITH " + SCHEMA_ROWS.format(view="mixed") + f"""
 SELECT event_id, best_schema, distance, match_rate, anomaly_detected,
        {sg.joined('missing_fields')} AS missing_fields, {sg.joined('extra_fields')} AS extra_fields FROM sb""",
-          views=("vitals",))
+          views=("mixed",))
 def q_schema_best_match(spark, sf_dir):
     from healthwatch.functions.columns import join_or_null
     from healthwatch.operators import schema_drift as sd
-    return sd.schema_check(fx.vitals(spark, sf_dir)).select(
+    return sd.schema_check(fx.mixed(spark, sf_dir)).select(
         "event_id", "best_schema", "distance", "match_rate", "anomaly_detected",
         join_or_null(F.col("missing_fields")).alias("missing_fields"),
         join_or_null(F.col("extra_fields")).alias("extra_fields"))

@@ -46,6 +46,27 @@ def q_health_score(spark, sf_dir):
     return mt.health_score(_kpis(spark, sf_dir))
 
 
+# Per half day: clean shifts are green, faulty ones amber or red.
+@register("health_by_shift", sql=f"""WITH shifts AS (SELECT *, make_timestamp(CAST(floor(epoch_us(ts) / 43200000000) AS BIGINT) * 43200000000) AS shift FROM vitals),
+{sg.stats_cte()}, {sg.z_cte('shifts')}, {SCHEMA_ROWS.format(view='shifts').strip()},
+zf AS (SELECT DISTINCT event_id FROM zl WHERE z > 3),
+k AS (SELECT s.shift, COUNT(*) AS events, COUNT(zf.event_id) AS zscore_flagged, COUNT(*) FILTER (WHERE sb.anomaly_detected) AS schema_errors
+      FROM shifts s JOIN sb ON s.event_id = sb.event_id LEFT JOIN zf ON s.event_id = zf.event_id GROUP BY s.shift),
+hs AS (SELECT *, CAST(GREATEST(0, LEAST(100, 100 - 2 * zscore_flagged - 3 * schema_errors)) AS BIGINT) AS health_score FROM k)
+SELECT *, CASE WHEN health_score < 40 THEN 'red' WHEN health_score < 70 THEN 'amber' ELSE 'green' END AS band FROM hs""", views=("base",))
+def q_health_by_shift(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from healthwatch.operators import alerts as al
+    from healthwatch.operators import schema_drift as sd
+    from healthwatch.operators import zscore as zs
+    v = fx.vitals(spark, sf_dir)
+    base, _ = fx.split_base_inc(v)
+    rows = al.with_batch(zs.zscore_flags(sd.schema_check(v), bl.baseline_moments(base)), 43_200, name="shift")
+    kpis = rows.groupBy("shift").agg(F.count(F.lit(1)).alias("events"), F.count_if("is_anomalous").alias("zscore_flagged"),
+                                     F.count_if("anomaly_detected").alias("schema_errors"))
+    return mt.health_score(kpis.withColumn("drifted_fields", F.lit(0))).drop("drifted_fields")
+
+
 # ---------------------------------------------------------------- D4
 @register("throughput", sql="SELECT date_trunc('hour', ts) AS bucket, COUNT(*) AS events FROM vitals GROUP BY 1",
           views=("vitals",))

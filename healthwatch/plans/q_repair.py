@@ -9,7 +9,7 @@ from healthwatch.operators import audit as au
 from healthwatch.operators import baseline as bl
 from healthwatch.operators import metrics as mt
 from healthwatch.operators import remediate as rm
-from healthwatch.plans.q_triage import alert_ctes
+from healthwatch.plans.q_triage import PLAN_SELECT, alert_ctes
 from healthwatch.plans.registry import register
 from healthwatch.sources import events as ev
 from healthwatch.sources import fixtures as fx
@@ -167,9 +167,16 @@ FROM incidents i LEFT JOIN (
   SELECT log_id, ROUND(CAST(epoch_us(fix_end) - epoch_us(fault_start) AS DOUBLE) / 1000000, 2) AS m
   FROM incidents WHERE validation_status = 'STEADY_STATE') f ON i.log_id = f.log_id""", views=("incidents",))
 def q_mttr_backfill(spark, sf_dir):
+    """The incidents as a keyed log in 64 buckets, updated in place."""
+    import uuid
+    from healthwatch.operators import bucket_log as bk
+    from healthwatch.session import scratch_path
+    path = scratch_path(spark, f"incident-log-{uuid.uuid4().hex[:12]}")
     inc = fx.incidents(spark, sf_dir)
+    bk.write_log(inc, path, "log_id")
     fixes = inc.filter(F.col("validation_status") == "STEADY_STATE").select("log_id", "fault_start", "fix_end")
-    return mt.backfill_mttr(inc, fixes).select("log_id", "mttr_seconds")
+    mt.backfill_log(spark, path, fixes)
+    return bk.read_log(spark, path).select("log_id", "mttr_seconds")
 
 
 # ---------------------------------------------------------------- D7
@@ -223,7 +230,8 @@ _RESTORED = f"SELECT * REPLACE (COALESCE(spo2, {_jit(96, 30)}) AS spo2) FROM los
 
 @register("closed_loop", sql=f"""
 WITH lost AS ({_LOST}), fixed AS ({_RESTORED})
-SELECT d.fault_signals, 'impute missing spo2 with jitter' AS actions_taken,
+SELECT d.fault_signals, (WITH {alert_ctes('lost', stall=False)} SELECT string_agg(action, ' | ' ORDER BY step) FROM ({PLAN_SELECT}) q
+        WHERE action_code IN ('A', 'B', 'D')) AS actions_taken,
        (SELECT COUNT(*) FROM lost WHERE spo2 IS NULL) AS lost_rows, v.validation_status,
        (SELECT COUNT(*) FROM fixed WHERE spo2 IS NULL) AS missing_after
 FROM (WITH {alert_ctes('lost', stall=False)} SELECT string_agg(detector, ',' ORDER BY priority) AS fault_signals FROM alerts) d,

@@ -54,10 +54,10 @@ _A4 = ["patient_id", "heart_rate", "spo2", "bp_systolic", "bp_diastolic", "tempe
        "respiratory_rate", "ward", "ts"]
 
 
-@register("latest_table_rows", sql=f"SELECT {', '.join(_A4)} FROM vitals ORDER BY ts DESC LIMIT 100",
+@register("latest_table_rows", sql=f"SELECT {', '.join(_A4)} FROM vitals ORDER BY ts DESC, event_id DESC LIMIT 100",
           views=("vitals",))
 def q_latest_table_rows(spark, sf_dir):
-    return ev.latest_n(fx.vitals(spark, sf_dir).select(*_A4), ["ts"], 100)
+    return ev.latest_n(fx.vitals(spark, sf_dir).select(*_A4, "event_id"), ["ts", "event_id"], 100).drop("event_id")
 
 
 # ---------------------------------------------------------------- A5
@@ -91,13 +91,25 @@ def q_topic_total(spark, sf_dir):
 # ---------------------------------------------------------------- A10
 @register("telemetry_series", sql="SELECT * FROM telemetry", views=("telemetry",))
 def q_telemetry_series(spark, sf_dir):
-    return fx.telemetry(spark, sf_dir)
+    """Appended to a JSON-lines log in two parts and read back."""
+    tel = fx.telemetry(spark, sf_dir)
+    cut = F.lit(fx.INC_START).cast("timestamp_ntz")
+    return _through_jsonl(spark, "telemetry", [tel.filter(F.col("ts") < cut), tel.filter(F.col("ts") >= cut)])
+
+
+def _through_jsonl(spark, name, parts):
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    for part in parts:
+        ev.write_jsonl(part, path)
+    return ev.read_jsonl(spark, path, parts[0].schema)
 
 
 # ---------------------------------------------------------------- A12
 @register("incident_records", sql="SELECT * FROM incidents", views=("incidents",))
 def q_incident_records(spark, sf_dir):
-    return fx.incidents(spark, sf_dir)
+    inc = fx.incidents(spark, sf_dir)
+    solved = F.col("validation_status") == "STEADY_STATE"
+    return _through_jsonl(spark, "incidents", [inc.filter(solved), inc.filter(~solved)])
 
 
 # ---------------------------------------------------------------- B1
@@ -184,9 +196,9 @@ def _violations_sql():
 
 @register("contract_violations", sql=f"""
 SELECT event_id, array_to_string(v, ',') AS violations, CAST(len(v) AS INTEGER) AS n_violations
-FROM (SELECT event_id, {_violations_sql()} AS v FROM vitals) q WHERE len(v) > 0""", views=("vitals",))
+FROM (SELECT event_id, {_violations_sql()} AS v FROM mixed) q WHERE len(v) > 0""", views=("mixed",))
 def q_contract_violations(spark, sf_dir):
-    v = fx.vitals(spark, sf_dir)
+    v = fx.mixed(spark, sf_dir)
     return (v.select("event_id", pr.contract_violations(v).alias("v"))
              .filter(F.size("v") > 0)
              .select("event_id", F.array_join("v", ",").alias("violations"),

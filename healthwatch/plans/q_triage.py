@@ -1,4 +1,4 @@
-"""Registered security, telemetry, fan-in and triage queries (E8-E15, C1, C4, F1-F6)."""
+"""Registered security, telemetry, fan-in and triage queries (E8-E15, C4, F1-F6)."""
 
 from __future__ import annotations
 
@@ -40,14 +40,22 @@ def q_hot_key_share(spark, sf_dir):
     return sec.hot_keys(fx.vitals(spark, sf_dir))
 
 
+@register("heavy_hitters", sql="""
+SELECT patient_id, COUNT(*) AS event_count, ROUND(CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM crowded), 4) AS share,
+       COUNT(*) > CAST(0.2 AS DOUBLE) * (SELECT COUNT(*) FROM crowded) AS is_hot
+FROM crowded GROUP BY patient_id HAVING COUNT(*) > CAST(0.05 AS DOUBLE) * (SELECT COUNT(*) FROM crowded)""", views=("crowded",))
+def q_heavy_hitters(spark, sf_dir):
+    return sec.heavy_hitters(fx.crowded(spark, sf_dir), floor=0.05)
+
+
 @register("burst_rate", sql="""
 WITH w AS (SELECT patient_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) - t.k AS ws
-           FROM vitals, range(0, 3) t(k)),
+           FROM rush, range(0, 3) t(k)),
 c AS (SELECT patient_id, ws, COUNT(*) AS n FROM w GROUP BY patient_id, ws)
 SELECT patient_id, MAX(n) AS max_events, MAX(n) >= 50 AS is_burst FROM c GROUP BY patient_id""",
-          views=("vitals",))
+          views=("rush",))
 def q_burst_rate(spark, sf_dir):
-    return sec.burst_rate(fx.vitals(spark, sf_dir))
+    return sec.burst_rate(fx.rush(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- E11
@@ -98,6 +106,59 @@ def q_consumer_lag(spark, sf_dir):
     return tm.consumer_lag(fx.offsets(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- E8
+def _forest_ctes(trees: int = 100, psi: int = 256, seed: int = 42, contamination: float = 0.05) -> str:
+    """The same forest in SQL: md5 draws, one pair of CTEs per level of the
+    trees, then every row walks down all trees."""
+    from healthwatch.operators import forest as fo
+    f, levels = _TF, fo.max_depth(psi)
+    xs = ", ".join(f"CAST({c} AS DOUBLE) AS x{j}" for j, c in enumerate(f, 1))
+    names = ", ".join(f"x{j}" for j in range(1, len(f) + 1))
+    ranges = ", ".join(f"min(x{j}) AS lo{j}, max(x{j}) AS hi{j}" for j in range(1, len(f) + 1))
+    lo, hi, moves = (", ".join(p.format(j=j) for j in range(1, len(f) + 1)) for p in ("lo{j}", "hi{j}", "hi{j} > lo{j}"))
+    paths = "[" + ", ".join(str(fo.c_units(n)) for n in range(1, psi + 1)) + "]"
+    hexa = "CAST(('0x' || substr(md5('{seed}|' || tree || '|' || node), {at}, 8)) AS BIGINT)"
+    out = [f"tel AS MATERIALIZED (SELECT ts, {', '.join(f)}, {xs}, CAST(ts AS VARCHAR) AS id FROM telemetry)",
+           f"size AS MATERIALIZED (SELECT least({psi}, count(*)) AS psi, CAST(ceil(log2(greatest(least({psi}, count(*)), 2))) AS INTEGER) AS depth FROM tel)",
+           f"kept AS MATERIALIZED (SELECT id, {names} FROM tel ORDER BY md5('{seed}|' || id), id LIMIT {fo.KEEP})",
+           f"drawn AS (SELECT t.t AS tree, k.*, row_number() OVER (PARTITION BY t.t ORDER BY md5('{seed}|' || t.t || '|' || id), id) AS rn FROM kept k, range({trees}) t(t))",
+           f"a0 AS MATERIALIZED (SELECT tree, id, {names}, 1 AS node FROM drawn WHERE rn <= (SELECT psi FROM size))"]
+    for d in range(levels + 1):
+        out += [f"g{d} AS (SELECT tree, node, count(*) AS n, {ranges} FROM a{d} GROUP BY tree, node)",
+                f"""m{d} AS (SELECT *, list_filter(range(1, {len(f) + 1}), lambda j: [{moves}][j]) AS mv, {hexa.format(seed=seed, at=1)} AS pick,
+  {hexa.format(seed=seed, at=9)} / CAST(4294967296 AS DOUBLE) AS u FROM g{d})""",
+                f"""s{d} AS MATERIALIZED (SELECT tree, node, leaf, f, CASE WHEN NOT leaf THEN [{lo}][f] + u * ([{hi}][f] - [{lo}][f]) END AS thr,
+  CASE WHEN leaf THEN {d} * {fo.UNIT} + {paths}[n] END AS path
+  FROM (SELECT *, {d} >= (SELECT depth FROM size) OR n <= 1 OR len(mv) = 0 AS leaf, mv[1 + pick % greatest(len(mv), 1)] AS f FROM m{d}) q)"""]
+        if d < levels:
+            out += [f"""a{d + 1} AS MATERIALIZED (SELECT a.tree, a.id, {', '.join('a.' + x for x in names.split(', '))},
+  2 * a.node + CASE WHEN [{names}][s.f] >= s.thr THEN 1 ELSE 0 END AS node FROM a{d} a JOIN s{d} s USING (tree, node) WHERE NOT s.leaf)"""]
+    out += ["nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(levels + 1)) + ")",
+            f"w0 AS (SELECT id, {names}, t.t AS tree, 1 AS node FROM tel, range({trees}) t(t))"]
+    for d in range(levels):
+        out += [f"""w{d + 1} AS MATERIALIZED (SELECT w.id, {', '.join('w.' + x for x in names.split(', '))}, w.tree,
+  CASE WHEN o.leaf THEN w.node ELSE 2 * w.node + CASE WHEN [{names}][o.f] >= o.thr THEN 1 ELSE 0 END END AS node FROM w{d} w JOIN nodes o USING (tree, node))"""]
+    out += [f"h AS (SELECT w.id, CAST(sum(o.path) AS BIGINT) AS total FROM w{levels} w JOIN nodes o USING (tree, node) GROUP BY w.id)",
+            f"e AS (SELECT id, -pow(2, -(CAST(total AS DOUBLE) / ({trees} * {paths}[(SELECT psi FROM size)]))) AS neg FROM h)",
+            f"cut AS (SELECT quantile_cont(neg, {contamination}) AS c FROM e)",
+            f"verdict AS (SELECT ts, {', '.join(f)}, CASE WHEN round(neg - c, 4) = 0 THEN CAST(0 AS DOUBLE) ELSE round(neg - c, 4) END AS score, neg - c < 0 AS is_anomaly FROM e JOIN tel USING (id), cut)"]
+    return ",\n".join(out)
+
+
+@register("isolation_forest", sql=f"WITH {_forest_ctes()}\nSELECT ts, score, is_anomaly FROM verdict", views=("telemetry",))
+def q_isolation_forest(spark, sf_dir):
+    from healthwatch.operators import forest as fo
+    tel = fx.telemetry(spark, sf_dir)
+    return fo.isolation_forest(tel, tm.TELEMETRY_FIELDS, row_id="ts").select("ts", "score", "is_anomaly")
+
+
+@register("forest_latest", sql=f"""WITH {_forest_ctes()}
+SELECT ts, {', '.join(_TF)}, score, is_anomaly FROM verdict ORDER BY ts DESC LIMIT 1""", views=("telemetry",))
+def q_forest_latest(spark, sf_dir):
+    from healthwatch.operators import forest as fo
+    return fo.analyze_latest(fx.telemetry(spark, sf_dir), tm.TELEMETRY_FIELDS, row_id="ts").drop("details")
+
+
 # ---------------------------------------------------------------- E15
 def alert_ctes(inc: str = "inc", security: bool = True, stall: bool = True) -> str:
     sec_part = "\n  UNION ALL SELECT 'security', 4, CAST(n AS BIGINT), patient_id FROM sec" if security else ""
@@ -137,6 +198,41 @@ def q_alerts(spark, sf_dir):
     return _alerts(spark, sf_dir)
 
 
+# ---------------------------------------------------------------- E15 on the topic path (key presence in JSON)
+_TOPIC_KEYS = "list_sort(json_keys(raw))"
+_TINC = f"""tinc AS (SELECT json_extract_string(raw, '$.event_id') AS event_id, json_extract_string(raw, '$.patient_id') AS patient_id,
+  {', '.join(f"CAST(json_extract(raw, '$.{c}') AS DOUBLE) AS {c}" for c in fd.NUMERIC_FIELDS)}, raw, ts
+  FROM topic WHERE json_valid(raw) AND ts >= CAST('{fx.INC_START}' AS TIMESTAMP))"""
+
+
+@register("alerts_topic", sql=f"WITH {_TINC}, {alert_ctes('tinc').replace(sg.present_list(), _TOPIC_KEYS)}\nSELECT * FROM alerts", views=("base", "topic"))
+def q_alerts_topic(spark, sf_dir):
+    """The fan-in on raw messages: a key with a JSON null is present."""
+    from healthwatch.sources import events as ev
+    base, _ = _halves(spark, sf_dir)
+    raw = fx.topic(spark, sf_dir)
+    batch = ev.decode_variant(raw.filter(F.col("ts") >= F.lit(fx.INC_START).cast("timestamp_ntz")))
+    return al.detect_all(batch, *bl.fit(base, quantiles=False), presence="json")
+
+
+# ---------------------------------------------------------------- E15 on telemetry
+@register("alerts_telemetry", sql=f"""
+WITH {_forest_ctes()},
+tb AS (SELECT * FROM telemetry WHERE ts < CAST('{fx.INC_START}' AS TIMESTAMP)),
+ti AS (SELECT * FROM telemetry WHERE ts >= CAST('{fx.INC_START}' AS TIMESTAMP)),
+{sg.stats_cte('tb', _TF)}, {sg.z_cte('ti', ('ts',), _TF)},
+late AS (SELECT count(*) AS n FROM ti WHERE db_latency_sec > 3),
+spikes AS (SELECT count(DISTINCT ts) AS n, string_agg(DISTINCT field, ',' ORDER BY field) AS d FROM zl WHERE z > 3),
+odd AS (SELECT count(*) AS n FROM verdict WHERE is_anomaly AND ts >= CAST('{fx.INC_START}' AS TIMESTAMP))
+SELECT 'telemetry_zscore' AS detector, 5 AS priority, n AS signal_count, d AS detail FROM spikes WHERE n > 0
+UNION ALL SELECT 'isolation_forest', 6, n, '{",".join(_TF)}' FROM odd WHERE n > 0
+UNION ALL SELECT 'latency_monitor', 7, n, 'db_latency_sec' FROM late WHERE n > 0""", views=("telemetry",))
+def q_alerts_telemetry(spark, sf_dir):
+    tel = fx.telemetry(spark, sf_dir)
+    cut = F.lit(fx.INC_START).cast("timestamp_ntz")
+    return al.telemetry_alerts(tel.filter(F.col("ts") >= cut), tel.filter(F.col("ts") < cut), row_id="ts")
+
+
 def _components_sql(det):
     expr = f"['{fd.UNKNOWN_COMPONENT}']"
     for names, comps in reversed(fd.DETECTOR_COMPONENTS):
@@ -154,9 +250,22 @@ SELECT COALESCE(string_agg(detector, ',' ORDER BY priority, detector), '') AS fa
 FROM (SELECT detector, priority, {_components_sql('detector')} AS comp FROM alerts) a"""
 
 
-@register("crisis_packet", sql=f"WITH {ALERT_CTES}{PACKET_SELECT}", views=("base", "inc"))
+_PACKET = f"""WITH {ALERT_CTES},
+pk AS ({PACKET_SELECT}),
+sg AS (SELECT string_agg(detector || '/' || signal_count || '/' || detail, ';' ORDER BY priority, detector) AS signals,
+              max(CASE WHEN detector = 'security' THEN detail END) AS attacker_id FROM alerts)
+SELECT 'CRISIS-' || (SELECT CAST(floor(epoch_us(MAX(ts)) / 1000000) AS BIGINT) FROM inc) AS crisis_id, pk.*, COALESCE(sg.signals, '') AS signals, sg.attacker_id FROM pk, sg"""
+
+
+@register("crisis_packet", sql=_PACKET, views=("base", "inc"))
 def q_crisis_packet(spark, sf_dir):
-    return tr.crisis_packet(_alerts(spark, sf_dir))
+    """The packet built at the time of the last event."""
+    from healthwatch.functions.columns import epoch_micros
+    _, inc = _halves(spark, sf_dir)
+    now = inc.agg(F.floor(F.max(epoch_micros("ts", inc.schema["ts"].dataType)) / 1_000_000)).scalar()
+    packet = tr.crisis_packet(_alerts(spark, sf_dir), crisis_id=tr.crisis_id(now))
+    text = F.transform("signals", lambda s: F.concat_ws("/", s["detector"], s["signal_count"].cast("string"), s["detail"]))
+    return packet.withColumn("signals", F.array_join(text, ";"))
 
 
 # ---------------------------------------------------------------- F4
@@ -216,14 +325,6 @@ def q_runbook_topk(spark, sf_dir):
     return hits.select("vec_id", "rank", "label", F.round("distance", 6).alias("distance"))
 
 
-# ---------------------------------------------------------------- C1
-@register("self_cross_count", sql="SELECT COUNT(*) AS pair_count FROM nation a, nation b")
-def q_self_cross_count(spark, sf_dir):
-    """Size of the self cross product, computed as count^2 — no pairs are built."""
-    n = table(spark, sf_dir, "nation").agg(F.count(F.lit(1)).alias("n"))
-    return n.select((F.col("n") * F.col("n")).alias("pair_count"))
-
-
 # ---------------------------------------------------------------- C4
 def _truth_sql(col):
     expr = "CAST(NULL AS VARCHAR)"
@@ -242,14 +343,6 @@ def q_detection_correct(spark, sf_dir):
         "run", "fault_type", "expected_detector", "detection_correct")
 
 
-# ---------------------------------------------------------------- E8 (rows-only check + unit tests)
-@register("isolation_forest")
-def q_isolation_forest(spark, sf_dir):
-    from healthwatch.operators import forest as fo
-    tel = fx.telemetry(spark, sf_dir)
-    return fo.isolation_forest(tel, tm.TELEMETRY_FIELDS, row_id="ts").select("ts", "score", "is_anomaly")
-
-
 # ---------------------------------------------------------------- E15 per batch (one batch per day)
 def _alerts_by_day_sql():
     from healthwatch.plans.q_detect import SCHEMA_ROWS as SR

@@ -75,6 +75,22 @@ def decode_events(df: DataFrame, col: str = "raw", schema: T.StructType = EVENT_
     return out if keep_corrupt else out.drop("_corrupt")
 
 
+def decode_variant(df: DataFrame, col: str = "raw", schema: T.StructType = EVENT_JSON_SCHEMA, name: str = "event") -> DataFrame:
+    """Parse JSON text once to VARIANT: the known fields with their types, the
+    present ``keys`` (a key with a JSON null is present), ``key_types`` (the
+    type of each key's value) and the variant itself as ``name``.  Malformed
+    text and values that are no object are skipped; a value of another type
+    than its field becomes NULL.  A key that occurs twice in one object makes
+    it malformed (``decode_events`` takes the last one instead)."""
+    v = F.try_parse_json(F.col(col))
+    keep = [F.col(c) for c in df.columns if c != col and c not in schema.fieldNames()]
+    parsed = df.select("*", F.explode(F.array(v)).alias(name)).filter(F.startswith(F.schema_of_variant(name), F.lit("OBJECT<")))
+    members = parsed.withColumn("_m", F.expr(f"CAST({name} AS MAP<STRING, VARIANT>)"))
+    fields = [F.try_variant_get(F.col(name), F.lit(f"$['{f.name}']"), f.dataType.simpleString()).alias(f.name) for f in schema.fields if f.name != "_corrupt"]
+    return members.select(*keep, *fields, F.array_sort(F.map_keys("_m")).alias("keys"),
+                          F.transform_values("_m", lambda k, x: F.schema_of_variant(x)).alias("key_types"), name)
+
+
 def corrupt_count(df: DataFrame, col: str = "raw") -> DataFrame:
     """Number of malformed JSON rows (the skipped-record metric)."""
     return df.agg(F.count_if(F.json_object_keys(F.col(col)).isNull()).alias("corrupt_rows"),
@@ -128,6 +144,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
+    """JSON-lines sink: one object a line, null fields written out, times to
+    the microsecond."""
+    (df.write.mode(mode).option("ignoreNullFields", "false").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+       .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path))
+
+
 def read_jsonl(spark, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON-lines source; blank and malformed lines are skipped, a fixed schema
     avoids an inference pass over the data."""

@@ -104,6 +104,20 @@ def rush_of(v: DataFrame) -> DataFrame:
     return v.withColumn("ts", F.when(F.col("patient_id") == ATTACKER_ID, when).otherwise(F.col("ts")))
 
 
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vitals that break every declared rule somewhere, half of them without
+    respiratory_rate (the older contract fits these)."""
+    v = vitals(spark, sf_dir)
+    n = F.substring("event_id", 4, 20).cast("long")
+    gone = lambda c, when: F.when(~when, F.col(c))
+    return v.withColumns({
+        "ward": F.when(n % 11 == 0, F.lit("LOBBY")).otherwise(F.col("ward")),
+        "heart_rate": F.when(n % 17 == 0, F.lit(-5.0)).when(n % 17 == 1, F.lit(301.5)).otherwise(F.col("heart_rate")),
+        "spo2": F.when(n % 19 == 0, F.lit(100.5)).otherwise(F.col("spo2")),
+        "temperature_c": F.when(n % 23 == 0, F.lit(12.5)).otherwise(gone("temperature_c", n % 23 == 1)),
+        "respiratory_rate": gone("respiratory_rate", n % 2 == 0)})
+
+
 def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of which 30 % come from one id, 10 % from another, and the rest
     from an id of their own each."""
@@ -267,10 +281,20 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, sf_dir, "raw", lambda: _raw_from_vitals(vitals(spark, sf_dir)))
 
 
-def _raw_from_vitals(v: DataFrame) -> DataFrame:
+def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``raw_events``, but every other event without spo2 names the key with
+    a JSON null instead of leaving it out."""
+    return materialized(spark, sf_dir, "topic", lambda: _raw_from_vitals(vitals(spark, sf_dir), named_nulls=True))
+
+
+def _raw_from_vitals(v: DataFrame, named_nulls: bool = False) -> DataFrame:
 
     def kv_num(name):
-        return F.concat(F.lit(f'"{name}":'), F.col(name).cast("string"))
+        value = F.col(name).cast("string")
+        if named_nulls and name == "spo2":
+            named = F.substring("event_id", 4, 20).cast("long") % 2 == 0
+            value = F.coalesce(value, F.when(named, F.lit("null")))
+        return F.concat(F.lit(f'"{name}":'), value)
 
     def kv_str(name, col=None):
         c = F.col(col or name).cast("string")
