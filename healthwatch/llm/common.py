@@ -41,6 +41,23 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Plan nodes that pass a scan's rows on at most once each.
+_PASSING = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation", "DataSourceV2Relation", "ResolvedHint"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only projects and filters one scan.  What multiplies,
+    combines or picks rows (explode, union, join, limit, ...) does not."""
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _PASSING:
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 def _stable_id(df: DataFrame, keep: list[str]) -> DataFrame:
     meta = df.metadataColumn("_metadata")
     return df.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64(meta["file_path"]).alias(RID[0]),
@@ -52,17 +69,19 @@ def with_row_id(df: DataFrame, keep: list[str]) -> DataFrame:
 
     The id comes from the scanned parquet file, so it is the same in every
     plan that reads the table again and after a task is recomputed; repeated
-    rows and null keys stay apart.  An input that is not a parquet scan is
-    written to the shared checkpoint folder first, once per DataFrame, so all
-    reads of it agree."""
-    try:
-        out = _stable_id(df, keep)
-        out.schema
-        return out
-    except AnalysisException:
-        if not hasattr(df, "_stored_rows"):
-            df._stored_rows = write_table(df, "rows")
-        return _stable_id(df._stored_rows, keep)
+    rows and null keys stay apart.  An input that is not a plain scan of parquet
+    files (rows multiplied, joined, limited, ...) is written to the shared
+    checkpoint folder first, once per DataFrame, so all reads of it agree."""
+    if _is_scan(df):
+        try:
+            out = _stable_id(df, keep)
+            out.schema
+            return out
+        except AnalysisException:  # a scan without file positions
+            pass
+    if not hasattr(df, "_stored_rows"):
+        df._stored_rows = write_table(df, "rows")
+    return _stable_id(df._stored_rows, keep)
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

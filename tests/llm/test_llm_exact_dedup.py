@@ -73,3 +73,18 @@ def test_stage_leaves_one_row_of_each_text(spark):
     assert out.columns == df.columns
     assert sorted(lower(r["text"]) for r in out.collect()) == sorted({lower(r[1]) for r in ROWS})
     assert ed.exact_duplicates(frame(spark, [])).count() == 0
+
+
+def test_multiplied_joined_and_unioned_rows_keep_one_row_a_group(spark):
+    """Rows that share a scanned row are still rows of their own."""
+    docs = sample(spark)
+    texts = len({lower(r["text"]) for r in docs.collect()})
+    n = docs.count()
+    inputs = [docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), docs.unionByName(docs),
+              docs.join(spark.createDataFrame([("en",), ("en",), ("de",)], "lang string"), "lang", "left")]
+    for df in inputs:
+        got = ed.exact_duplicates(df).collect()
+        assert len(got) == df.count() and len({(r["__row_file"], r["__row_pos"]) for r in got}) == len(got)
+        assert sum(r["kept"] for r in got) == len({lower(r["text"]) for r in df.collect()}) <= texts
+        assert ed.stage(spark, df, "").count() == sum(r["kept"] for r in got)
+    assert inputs[0].count() == 2 * n
