@@ -6,7 +6,10 @@ pairs: word mass moves at random from one document to the other until one of
 the two fractions is 0 or 1, so the expected copies of each document and the
 exact word total of each pair are kept.  Each leaf of a (source, leaf) tree
 leaves one unsettled document; these residuals are combined level by level
-until one per source remains, which is rounded last.
+until one per source remains, which is rounded last.  What that adds to or
+takes from the total is made up by documents of the last group, larger ones
+first, as far as they fit: a source's total ends near its target, at the price
+of the expectation of these few documents.
 
 Leaves have about :data:`LEAF_ROWS` rows whatever the size of the source, so a
 source with a third of all rows is settled by as many tasks as its rows need.
@@ -109,7 +112,8 @@ def _draw(a: int, b: int) -> float:
 def pivotal(sizes, fractions, hashes, last: bool) -> tuple[np.ndarray, np.ndarray]:
     """Settle fractions in pairs.  Returns (fractions after, settled flags);
     one entry may stay unsettled unless ``last``.  Larger documents come
-    first, so the one left over is a small one and totals end near target."""
+    first: the one with less room settles, so what is left over shrinks as it
+    meets many small ones, but may be large where these are few."""
     order = np.lexsort((hashes, -np.asarray(sizes)))
     p, done = np.asarray(fractions, float).copy(), np.zeros(len(order), bool)
     held = -1
@@ -132,9 +136,24 @@ def pivotal(sizes, fractions, hashes, last: bool) -> tuple[np.ndarray, np.ndarra
     return p, done
 
 
+def made_up(sizes, before, after, hashes) -> np.ndarray:
+    """Whole numbers ``after`` changed where that brings the group's total
+    nearer to that of ``before``: larger documents first, ties by hash, each
+    only if less is missing (or too much) afterwards."""
+    sizes, p = np.asarray(sizes, float), np.asarray(after, float).copy()
+    short = float((sizes * before).sum() - (sizes * p).sum())
+    for j in np.lexsort((hashes, -sizes)):
+        if 0 < sizes[j] < 2 * abs(short) and p[j] == (0.0 if short > 0 else 1.0):
+            p[j] = 1.0 - p[j]
+            short += sizes[j] * (1 - 2 * p[j])
+    return p
+
+
 def _settle(last: bool):
     def run(t: pa.Table) -> pa.Table:
         p, done = pivotal(t["size"].to_numpy(), t["p"].to_numpy(), t["h"].to_numpy(), last)
+        if last:
+            p = made_up(t["size"].to_numpy(), t["p"].to_numpy(), p, t["h"].to_numpy())
         copies = t["copies"].to_numpy() + np.where(done, p, 0).astype(np.int32)
         names = t.column_names
         t = t.set_column(names.index("p"), "p", pa.array(np.where(done, 0.0, p)))

@@ -101,3 +101,18 @@ def test_stage_repeats_and_empty(spark):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {k: v for k, v in want.items() if v}
     assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_one_document_of_half_a_source_and_many_small_ones():
+    """The total ends within one small document of what was asked for."""
+    rng = np.random.default_rng(4)
+    for trial in range(40):
+        sizes = np.concatenate([[4000], rng.integers(20, 90, 75)])
+        share = rng.uniform(0.2, 0.8)
+        hashes = rng.integers(-2 ** 62, 2 ** 62, 76)
+        p, done = mixing.pivotal(sizes, np.full(76, share), hashes, True)
+        p = mixing.made_up(sizes, np.full(76, share), p, hashes)
+        assert done.all() and set(p.tolist()) <= {0.0, 1.0}
+        want, rest = share * sizes.sum(), sizes[1:].sum()
+        feasible = min(max(want, 0 if p[0] == 0 else 4000), rest if p[0] == 0 else 4000 + rest)
+        assert abs((sizes * p).sum() - feasible) <= 90
