@@ -97,9 +97,6 @@ def q_fix_impact(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- G8
-_FIXED = f"""SELECT * REPLACE (COALESCE(spo2, {_jit(96, 30)}) AS spo2) FROM inc
-WHERE NOT COALESCE(patient_id = '{ATT}', false) AND NOT {_IMP}"""
-
 # what the plan of the incoming half does: quarantine, jitter, spo2 imputation
 _PLANNED = f"""SELECT * REPLACE (CASE WHEN {_IMP} THEN {_jit(78, 6)} ELSE heart_rate END AS heart_rate,
   CASE WHEN {_IMP} THEN {_jit(115, 10)} ELSE bp_systolic END AS bp_systolic,
@@ -108,7 +105,7 @@ WHERE NOT COALESCE(patient_id = '{ATT}', false)"""
 
 
 @register("validate_pipeline", sql=f"""
-WITH fixed AS ({_FIXED}), {alert_ctes('fixed', security=False, stall=False)}
+WITH fixed AS ({_PLANNED}), {alert_ctes('fixed', security=False, stall=False)}
 SELECT (SELECT COUNT(*) FROM fixed) AS events_checked, (SELECT COUNT(*) FROM alerts) AS n_failures,
        COALESCE((SELECT string_agg(detector, ',' ORDER BY priority) FROM alerts), '') AS failures,
        CASE WHEN (SELECT COUNT(*) FROM alerts) = 0 AND (SELECT COUNT(*) FROM fixed) > 0
@@ -116,7 +113,7 @@ SELECT (SELECT COUNT(*) FROM fixed) AS events_checked, (SELECT COUNT(*) FROM ale
 def q_validate_pipeline(spark, sf_dir):
     base, inc = _halves(spark, sf_dir)
     kept, _ = rm.quarantine(inc, ATT)
-    fixed = rm.impute_null(rm.drop_impossible(kept), "spo2", method="md5")
+    fixed = rm.repair_vitals(kept, mode="jitter", method="md5")
     out = al.validate(fixed, *bl.fit(base, quantiles=False))
     return out.withColumn("n_failures", F.col("n_failures").cast("long"))
 

@@ -15,7 +15,10 @@ def _plan(spark, name):
 
 
 def test_no_cartesian_or_nested_loop_join_anywhere(spark):
-    bad = [n for n in se.queries() if re.search(r"CartesianProduct|BroadcastNestedLoopJoin", _plan(spark, n))]
+    """Streams are left out: what they return is a scan of their result."""
+    from healthwatch.plans.catalog import QUERIES
+    names = [n for n in QUERIES if not n.startswith("stream_")]
+    bad = [n for n in names if re.search(r"CartesianProduct|BroadcastNestedLoopJoin", _plan(spark, n))]
     assert bad == []
 
 
