@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Bytes of text whose signatures are computed together.
 BATCH_BYTES = 4_000_000
-#: Nodes of a bucket that one task compares with as many others.
-BLOCK_NODES = 512
+#: Nodes of a bucket that one task compares with as many others, and shingles they have together on average.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 500_000
 
 _U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -308,8 +308,8 @@ def link_nodes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD) -> tupl
     while True:
         members = write_table(_rooted(members, roots, "node", "root"), "members")
         # a bucket is open while members of two components were not compared in one earlier bucket (``seen``)
-        per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.min("seen").alias("lo"), F.max("seen").alias("hi"))
-        open_ = (per_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"),
+        per_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("held"), F.min("size").alias("low"), F.min("seen").alias("lo"), F.max("seen").alias("hi"))
+        open_ = (per_root.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("held").alias("held"), F.min("low").alias("low"),
                                              F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max_by("root", "n").alias("major"))
                  .filter("roots > 1 and lo != hi").drop("roots", "lo", "hi"))
         open_ = write_table(open_, "open-buckets")
@@ -337,10 +337,13 @@ def link_nodes(nodes: DataFrame, texts_of, threshold: float = THRESHOLD) -> tupl
 def _blocks(work: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links inside whole buckets between members outside the commonest
     component and all members.  Both sides are cut into blocks of about
-    :data:`BLOCK_NODES` nodes and a task compares one block with one other, so
-    no pair becomes a row and no task holds more than two blocks."""
-    wide = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_NODES)), F.lit(1)).cast("int")
-    tall = F.greatest(F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK_NODES)), F.lit(1)).cast("int")
+    :data:`BLOCK_NODES` nodes or :data:`BLOCK_SHINGLES` shingles, and a task
+    compares one block with one other, so no pair becomes a row and no task
+    holds more than two blocks.  A task returns only links that join
+    components which it has not joined yet: fewer than it has components."""
+    heavy = F.ceil(F.col("held") / F.lit(BLOCK_SHINGLES))
+    wide = F.greatest(F.ceil(F.col("n") / F.lit(BLOCK_NODES)), heavy, F.lit(1)).cast("int")
+    tall = F.greatest(F.ceil((F.col("n") - F.col("most")) / F.lit(BLOCK_NODES)), F.ceil(heavy * (F.col("n") - F.col("most")) / F.col("n")), F.lit(1)).cast("int")
     spot = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     minor = (work.filter("root != major").select("key", "node", "root", spot(1, tall).alias("i"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("j"))
              .withColumn("minor", F.lit(True)))
@@ -357,6 +360,13 @@ def _compare_blocks(threshold: float):
         sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
         left, right = np.flatnonzero(flags), np.flatnonzero(~flags)
         found = ([], [])
+        parent = {r: r for r in roots}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
         if len(left) and len(right):
             flat = np.concatenate([sets[k] for k in right])
             kinds, ids = np.unique(flat, return_inverse=True)
@@ -369,7 +379,9 @@ def _compare_blocks(threshold: float):
                 mark[at[np.isin(kinds[at], sets[k])]] = 1
                 both = np.add.reduceat(mark[ids], starts)
                 for r in right[both >= threshold * (len(sets[k]) + sizes - both) - 1e-9]:
-                    if roots[r] != roots[k]:
+                    a, b = top(roots[r]), top(roots[k])
+                    if a != b:
+                        parent[a] = b
                         found[0].append(max(nodes[k], nodes[r]))
                         found[1].append(min(nodes[k], nodes[r]))
         return pa.table({"a": pa.array(found[0], pa.binary()), "b": pa.array(found[1], pa.binary())})

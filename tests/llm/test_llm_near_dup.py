@@ -77,3 +77,19 @@ def test_stage_and_empty(spark):
     out = nd.stage(spark, df, "")
     assert out.columns == df.columns and out.count() == len(set(near_classes(rows_of(df))))
     assert nd.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_rows_of_a_block_are_fewer_than_its_components(spark):
+    """All members of one bucket are alike: a task returns a spanning tree."""
+    import numpy as np
+    import pyarrow as pa
+    n = 300
+    sets = [np.arange(100, dtype=np.uint64).tobytes() for _ in range(n)]
+    nodes = [k.to_bytes(4, "big") for k in range(n)]
+    both = pa.table({"minor": [True] * n + [False] * n, "node": nodes * 2, "root": nodes * 2, "shingles": sets * 2})
+    out = nd._compare_blocks(0.8)(both)
+    assert out.num_rows == n - 1
+    seen = {nodes[0]}
+    for _ in range(n):
+        seen |= {x for e in zip(out["a"].to_pylist(), out["b"].to_pylist()) for x in e if set(e) & seen}
+    assert len(seen) == n
