@@ -42,6 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 #: Bytes of text whose signatures are computed together.
 BATCH_BYTES = 4_000_000
+#: Rows whose whole shingle sets a task holds together.
+SLICE_ROWS = 256
 #: Nodes of a bucket that one task compares with as many others, and shingles they have together on average.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 500_000
 
@@ -180,9 +182,16 @@ def signed(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int =
 
 # -------------------------------------------------------- links and classes
 
+def _sliced(batches):
+    """Batches of a few rows: whole sets are held for these only."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
+
 def _set_batches(size: int):
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches):
             sets = []
             for t in b.column("text").cast(pa.large_binary()).to_pylist():
                 sets.append(shingle_sets([t or b""], size)[1].tobytes())
@@ -192,7 +201,7 @@ def _set_batches(size: int):
 
 def _link_batches(threshold: float):
     def run(batches):
-        for b in batches:
+        for b in _sliced(batches):
             keep = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
@@ -265,7 +274,7 @@ def _can_link(size, found, other_size, other_found, threshold: float):
 
 
 def _shingle_rows(batches):
-    for b in batches:
+    for b in _sliced(batches):
         for i in range(0, b.num_rows, 64):
             part = b.slice(i, 64)
             sets = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
